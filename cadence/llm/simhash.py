@@ -28,10 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, free_name, stored
+from .common import components, free_name, small_enough, stored
 
 GROUP_VARIANTS = 2_000_000
 BLOCK = 1 << 22
+BROADCAST_IDS = 500_000
 
 
 def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
@@ -167,3 +168,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
     fps = stored(with_fingerprint(docs, shingle, id_col, text_col), "simhash")
     return (fps.join(cluster(fps, radius), "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row, that of the least doc_id, of each group of near-duplicates; all columns stay.
+
+    Only ids travel: the losers are broadcast if few, else anti-joined. Rows with a null
+    doc_id cannot be named as members of a group and stay; rows that repeat a doc_id are one document.
+    """
+    own, = free_name(docs, "__loser")
+    found = stored(near_duplicates(docs.where(F.col(id_col).isNotNull()), shingle, radius, id_col, text_col).select("doc_id", "component_id"), "groups")
+    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    near = F.broadcast(losers) if small_enough(losers, BROADCAST_IDS) else losers
+    out = docs.join(near, F.col(id_col).cast("long") == F.col(own), "left_anti")
+    twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(own))
+    if twice.isEmpty():
+        return out
+    repeated = out.join(twice, F.col(id_col).cast("long") == F.col(own), "left_semi").dropDuplicates([id_col])
+    return out.join(twice, F.col(id_col).cast("long") == F.col(own), "left_anti").unionByName(repeated)

@@ -16,6 +16,7 @@ allowed; repeated rows count again; with no URLs of one kind everything else is
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -136,19 +137,19 @@ def filter_urls(pages: DataFrame, rules: tuple = RULES, sample: int = SAMPLE, id
     rows = rows.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)^.*?://", "").alias("text"))
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     model = train(rows.where("r is not null").select("text", F.col("r.verdict").alias("verdict")), sample)
-    sent = pages.sparkSession.sparkContext.broadcast((model.good.counts, model.bad.counts, model.cutoff, model.ready))
-    margin = F.pandas_udf(margins(sent), "double")
+    sent, key = pages.sparkSession.sparkContext.broadcast((model.good.counts, model.bad.counts, model.cutoff, model.ready)), uuid.uuid4().hex
+    margin = F.pandas_udf(margins(sent, key), "double")
     rows = rows.withColumn("margin", F.when(F.col("r").isNull(), margin(F.when(F.col("r").isNull(), F.col("text")))))
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("margin") >= 0, F.lit("allow")).otherwise(F.lit("block")))
     return rows.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "margin")
 
 
-def margins(sent):
+def margins(sent, key: str):
     def run(texts: pd.Series) -> pd.Series:
-        if sent.id not in _held:
+        if key not in _held:
             _held.clear()
-            _held[sent.id] = restored(*sent.value)
-        model = _held[sent.id]
+            _held[key] = restored(*sent.value)
+        model = _held[key]
         return pd.Series([None if t is None else model.judge(t) for t in texts], dtype="float64")
 
     return run
