@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, mixing, puquality, quality_rules, simhash, sql, urlfilter
+from . import decontam, langid, linededup, lmscore, mixing, puquality, quality_rules, secrets, simhash, sql, urlfilter
 from .common import fold, table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's score; a document's source stands for its path."""
+    return secrets.scan(table(spark, sf_dir, "documents"), path=F.col("source"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages by nearest centroid; fold 0 of 5 is held out of all learning."""
     docs = table(spark, sf_dir, "documents")
@@ -45,6 +50,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, labels, stratum=F.col("lang"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores; fold 1 of 5 is held out of all counts and training."""
+    docs = table(spark, sf_dir, "documents")
+    scored = lmscore.lm_scores(docs, fold(F.col("doc_id"), 5) != 1)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by positive-unlabelled learning; labels of fold 1 of 3 are never read."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -55,8 +67,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_language_id, op3_simhash_near_dedup, op4_source_mixing, op5_line_dedup, op6_url_filter,
-        op7_benchmark_decontamination, op8_quality_rules, op10_quality_classifier)}
+        op1_secret_scan, op2_language_id, op3_simhash_near_dedup, op4_source_mixing, op5_line_dedup, op6_url_filter,
+        op7_benchmark_decontamination, op8_quality_rules, op9_lm_scoring, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
