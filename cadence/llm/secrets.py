@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, hash60
+from .common import ascii_lower, hash60, stored
 
 #: A candidate: 16 to 512 token characters that hold a digit.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=.\-]{0,511}[0-9])[A-Za-z0-9+/_=.\-]{16,512}(?![A-Za-z0-9+/_=.\-])"
@@ -33,7 +33,7 @@ BESIDE = 48  #: characters kept on either side
 NAMING = ("token", "secret", "password", "passwd", "api_key", "apikey", "key", "auth", "bearer", "credential", "private", "access")
 INNOCENT = ("commit", "sha1", "sha256", "md5", "hash", "checksum", "digest", "uuid", "rev", "revision", "etag", "example", "isbn", "url", "href")
 FEATURES = ("length", "digit_share", "upper_share", "hex_only", "transitions", "class_changes", "entropy", "coverage", "vowel_pairs", "named", "innocent", "assigned", "quoted", "path_code", "path_docs")
-TRIGRAMS = 2000
+TRIGRAMS = 500
 MAX_FINDINGS = 20_000
 TREES, DEPTH = 40, 6
 
@@ -130,7 +130,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
 
     Without a table of reviewed ``findings`` the candidates that ``seed_label`` is sure of train the forest.
     """
-    found = candidates(docs, id_col, text_col, path)
+    found = stored(candidates(docs, id_col, text_col, path), "candidates")
     trigrams = common_trigrams(docs, text_col)
     labelled = found.withColumn("label", seed_label(F.col("before"), F.col("after"))) if findings is None else findings
     model = train(labelled, trigrams)
