@@ -352,10 +352,10 @@ def series_validation(spark, d):
     return series.validation(series.date_grid(I.weekly(spark, d), DEPT, "week_start"), DEPT, "cases")
 
 
-@query(I.sql(f"{GRIDDED}, known(department, reliable_from) AS (VALUES ('PERU', 1998), ('CHINA', 1997))", "SELECT department, CAST(reliable_from AS BIGINT) AS reliable_from, count(*) AS zero_weeks FROM gridded JOIN known USING (department) WHERE year(week_start) < reliable_from AND coalesce(cases, 0) = 0 GROUP BY 1, 2"))
+@query(I.sql(f"{GRIDDED}, known(department, reliable_from) AS (VALUES ('NATION_0', 1998), ('NATION_1', 1997))", "SELECT department, CAST(reliable_from AS BIGINT) AS reliable_from, count(*) AS zero_weeks FROM gridded JOIN known USING (department) WHERE year(week_start) < reliable_from AND coalesce(cases, 0) = 0 GROUP BY 1, 2"))
 def underreporting(spark, d):
     g = series.date_grid(I.weekly(spark, d), DEPT, "week_start").na.fill(0, ["cases"])
-    return longs(series.underreported(g, "department", "week_start", "cases", {"PERU": 1998, "CHINA": 1997}), "reliable_from")
+    return longs(series.underreported(g, "department", "week_start", "cases", {"NATION_0": 1998, "NATION_1": 1997}), "reliable_from")
 
 
 # --- outliers --------------------------------------------------------------------------
