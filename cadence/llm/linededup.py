@@ -23,14 +23,15 @@ removes such rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, components, drop_stored, free_name, small_enough, stored
+from .common import GAP, WORD, components, free_name, small_enough, stored
 
 TAU = 2
 MIN_CHARS = 30
 MIN_WORDS = 3
+GAP_OR_START = r"^[\x20\x09-\x0D]*"
 LETTERS = " etnaior"
 BROADCAST_IDS = 300_000
 
@@ -65,21 +66,18 @@ def segment_start(length: Column, i: int, tau: int) -> Column:
 
 
 def segment_keys(line: Column, n: Column, tau: int) -> Column:
-    """Array of (key, probe) of a line: its own segments, and its substrings that may be segments of a partner no longer than it."""
+    """Array of longs: 63 bits of the hash of (length, segment number, text) over a bit that tells probes from a line's own segments.
+
+    Own segments are the index; probes are the substrings that may be segments of a partner no longer than the line.
+    """
     out = []
     for gap in range(tau + 1):
-        size = n - gap
+        size = (n - gap).cast("int")
         for i in range(tau + 1):
             start, end = segment_start(size, i, tau), segment_start(size, i + 1, tau) if i < tau else size
-            lo, hi = max(-i, gap - (tau - i)), min(i, gap + (tau - i))
-            for shift in range(lo, hi + 1):
-                text = F.substring(line, start + 1 + shift, end - start)
-                key = F.xxhash64(size.cast("int"), F.lit(i), text)
-                ok = (start + shift >= 0) & (end + shift <= n) & (size > tau)
-                if gap == 0 and shift == 0:
-                    out.append(F.struct(key.alias("key"), F.lit(False).alias("probe"), ok.alias("ok")))
-                if gap or shift:
-                    out.append(F.struct(key.alias("key"), F.lit(True).alias("probe"), ok.alias("ok")))
+            for shift in range(max(-i, gap - (tau - i)), min(i, gap + (tau - i)) + 1):
+                key = F.shiftleft(F.xxhash64(size, F.lit(i), F.substring(line, start + 1 + shift, end - start)), 1)
+                out.append(key.bitwiseOR(F.lit(1 if gap or shift else 0).cast("long")))
     return F.array(*out)
 
 
@@ -131,32 +129,42 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc_id, place, line, id) of every line with ``min_words`` words or more."""
-    lines = docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("place", "line"))
-    return lines.where(F.regexp_count("line", F.lit(WORD)) >= min_words).withColumn("id", F.xxhash64("line"))
-
-
-def edit_links(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
-    """Verified links (a, b) between the line ids of ``lines(id, line)``."""
-    long_ = lines.where(F.length("line") >= min_chars)
-    keyed = (long_.select("id", F.length("line").alias("n"), letter_counts(F.col("line")).alias("counts"), "line")
-             .select("id", "counts", F.explode(segment_keys(F.col("line"), F.col("n"), tau)).alias("x")).where("x.ok")
-             .select("id", "counts", F.col("x.key").alias("key"), F.col("x.probe").alias("probe")))
-    # Equal lines emit equal rows; each is kept once. Keys of one line alone link nothing and go before the join.
-    once = keyed.groupBy("key", "id").agg(F.min("counts").alias("counts"), F.min("probe").alias("probe"))
-    met = stored(once, "segments")
-    shared = met.groupBy("key").agg(F.count("*").alias("n"), F.min("probe").alias("m")).where("n > 1 and not m").select("key")
-    some = stored(met.join(shared, "key", "left_semi"), "shared-segments")
-    drop_stored(met)
-    index = some.where("not probe").select("key", F.col("id").alias("a"), F.col("counts").alias("ca"))
-    probe = some.select("key", F.col("id").alias("b"), F.col("counts").alias("cb"), "probe")
-    pair = (F.col("i.key") == F.col("p.key")) & (F.col("a") != F.col("b")) & (F.col("p.probe") | (F.col("a") < F.col("b"))) & (count_distance(F.col("ca"), F.col("cb")) <= 2 * tau)
+    """(row, doc_id, place, line, id, spot) of every line with ``min_words`` words or more; spot is a number of the place."""
+    rows = docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    if min_words > 0:
+        lines = lines.where(F.col("line").rlike(GAP_OR_START + (WORD + GAP) * (min_words - 1) + WORD[:-1]))
+    return lines.withColumn("id", F.xxhash64("line")).withColumn("spot", F.xxhash64("row", "place"))
+
+
+def near(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
+    """Marked for broadcast where it has few rows; else joins shuffle."""
+    return F.broadcast(df) if small_enough(df, rows) else df
+
+
+def edit_links(lines: DataFrame, twice: DataFrame, tau: int, min_chars: int) -> DataFrame:
+    """Verified links (a, b) between the line ids of ``lines(id, spot, line)``.
+
+    ``twice(id, first)``: where lines that occur more than once are to be read.
+    """
+    if min_chars < 3 * (tau + 1):
+        raise ValueError("min_chars must be three times the number of segments at least")
+    again = near(twice.select(F.col("id").alias("__id"), "first"))
+    once = (lines.where(F.length("line") >= min_chars).join(again, F.col("id") == F.col("__id"), "left")
+            .where(F.col("first").isNull() | (F.col("first") == F.col("spot"))).select("id", "line"))
+    keyed = once.select("id", F.explode(segment_keys(F.col("line"), F.length("line"), tau)).alias("k")).select("id", F.shiftright("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1)).alias("probe"))
+    # One shuffle by key; only keys that an own segment of one line shares with another line go on.
+    by_key = Window.partitionBy("key")
+    shared = (keyed.withColumns({"lo": F.min("id").over(by_key), "hi": F.max("id").over(by_key), "own": F.min("probe").over(by_key)})
+              .where("lo <> hi and own = 0").select("key", "id", "probe").distinct())
+    some = stored(shared, "shared-segments")
+    ids = some.select(F.col("id").alias("__want")).distinct()
+    texts = stored(once.join(near(ids), F.col("id") == F.col("__want"), "left_semi").dropDuplicates(["id"]).select("id", "line", letter_counts(F.col("line")).alias("counts")), "candidate-lines")
+    counted = some.join(texts.select("id", "counts"), "id")
+    index = counted.where("probe = 0").select("key", F.col("id").alias("a"), F.col("counts").alias("ca"))
+    probe = counted.select("key", F.col("id").alias("b"), F.col("counts").alias("cb"), "probe")
+    pair = (F.col("i.key") == F.col("p.key")) & (F.col("a") != F.col("b")) & ((F.col("p.probe") == 1) | (F.col("a") < F.col("b"))) & (count_distance(F.col("ca"), F.col("cb")) <= 2 * tau)
     found = stored(index.alias("i").join(probe.alias("p"), pair).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    drop_stored(some)
-    # The texts of the candidates: a small set of ids is sent to the scan, a large one is joined to it.
-    ids = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
-    texts = stored(long_.join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "candidate-lines")
     both = (found.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b"))
     first = F.length("la") >= F.length("lb")
@@ -171,16 +179,16 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, mi
     (first_doc, first_line) names the class: its first line by doc_id, then place from 0.
     """
     named = lines_of(docs, min_words, id_col, text_col)
-    classes = stored(components(edit_links(named.select("id", "line"), tau, min_chars)), "classes")
-    near = F.broadcast(classes) if small_enough(classes, BROADCAST_IDS) else classes
-    lined = stored(named.select("row", "doc_id", "place", "id").join(near, F.col("id") == F.col("node"), "left")
-                   .select("row", "doc_id", "place", F.coalesce("component", "id").alias("class")), "lines")
-    many = lined.groupBy("class").agg(F.count("*").alias("n")).where("n > 1")
+    placed = stored(named.select("row", "doc_id", "place", "id", "spot"), "lines")
+    twice = stored(placed.groupBy("id").agg(F.count("*").alias("n"), F.min("spot").alias("first")).where("n > 1").select("id", "first"), "repeated-lines")
+    classes = stored(components(edit_links(named.select("id", "spot", "line"), twice, tau, min_chars)), "classes")
+    # A class is named by its edit component or by the line; the others are lines that occur once and stay.
+    several = stored(twice.select("id").join(classes.withColumnRenamed("node", "id"), "id", "full_outer").select(F.col("id").alias("__id"), F.coalesce("component", "id").alias("class")), "several")
+    lined = placed.join(near(several), F.col("id") == F.col("__id"), "left").select("row", "doc_id", "place", "class")
     spot = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("first_doc"), F.col("row").alias("first_row"), F.col("place").alias("first_line"))
-    lead = lined.join(many, "class", "left_semi").groupBy("class").agg(F.min(spot).alias("x"))
+    lead = lined.where("class is not null").groupBy("class").agg(F.min(spot).alias("x"))
     lead = stored(lead.select("class", "x.first_doc", "x.first_row", "x.first_line"), "first-lines")
-    near = F.broadcast(lead) if small_enough(lead, BROADCAST_IDS) else lead
-    out = lined.join(near, "class", "left")
+    out = lined.join(near(lead), "class", "left")
     alone = F.col("first_row").isNull()
     return out.select("row", "doc_id", F.col("place").cast("long").alias("line_no"),
                       F.when(alone, F.col("doc_id")).otherwise(F.col("first_doc")).alias("first_doc"),
@@ -193,10 +201,9 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, min
     row, gone, kept, key = free_name(docs, "__row", "__gone", "__kept", "__key")
     lost = line_classes(docs, tau, min_chars, min_words, id_col, text_col).where("not kept")
     lost = stored(lost.groupBy(F.col("row").alias(row)).agg(F.collect_set(F.col("line_no").cast("int")).alias(gone)), "gone-lines")
-    near = F.broadcast(lost) if small_enough(lost, BROADCAST_IDS) else lost
     text = F.col(text_col).cast("string")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
-    new = docs.withColumn(key, row_key(id_col, text_col)).join(near, F.col(key) == F.col(row), "left").withColumn(kept, F.when(F.col(gone).isNull(), text).otherwise(left))
+    new = docs.withColumn(key, row_key(id_col, text_col)).join(near(lost), F.col(key) == F.col(row), "left").withColumn(kept, F.when(F.col(gone).isNull(), text).otherwise(left))
     if drop_empty:
         blank = F.length(F.regexp_replace(F.coalesce(F.col(kept), F.lit("")), GAP, "")) == 0
         new = new.where(F.col(gone).isNull() | ~blank)
