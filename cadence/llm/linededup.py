@@ -8,8 +8,8 @@ of a class in (doc_id, place) order stays and the others go.
   segment of the shorter line is found unchanged in the longer one, at a place that the
   lengths and the segment's number narrow to a few: the index holds (length, segment
   number, text) and each line probes it with those substrings for every partner length.
-- Candidates are filtered inside the join by counts of a few common letters, which one
-  edit can change by two in sum, and then verified by edit distance: a bit-parallel band of
+- Candidates are filtered inside the join by counts of letters, which one edit can change
+  by two in sum, and then verified by edit distance: a bit-parallel band of
   2*tau+1 rows that moves along the diagonal, so lines of any length need one word of bits.
 - Verified links are joined to classes by components().
 
@@ -32,7 +32,8 @@ TAU = 2
 MIN_CHARS = 30
 MIN_WORDS = 3
 GAP_OR_START = r"^[\x20\x09-\x0D]*"
-LETTERS = " etnaior"
+#: White space and the small letters but the two rarest: one edit changes their counts by two in sum at most.
+LETTERS = " abcdefghijklmnoprstuvwy"
 BROADCAST_IDS = 300_000
 
 
@@ -42,18 +43,22 @@ def let(value: Column, body) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """Eight letter counts of a line in the bytes of a long, each at most 255 (capping keeps what one edit can change)."""
-    out = F.lit(0).cast("long")
-    for i, c in enumerate(LETTERS):
-        n = F.least(F.lit(255), F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))))
-        out = out.bitwiseOR(F.shiftleft(n.cast("long"), 8 * i))
-    return out
+    """Counts of LETTERS in a line, eight to a long, each at most 255 (capping keeps what one edit can change)."""
+    packed = []
+    for at in range(0, len(LETTERS), 8):
+        out = F.lit(0).cast("long")
+        for i, c in enumerate(LETTERS[at:at + 8]):
+            n = F.least(F.lit(255), F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))))
+            out = out.bitwiseOR(F.shiftleft(n.cast("long"), 8 * i))
+        packed.append(out.alias(f"c{at // 8}"))
+    return F.struct(*packed)
 
 
 def count_distance(a: Column, b: Column) -> Column:
     out = F.lit(0).cast("long")
     for i in range(len(LETTERS)):
-        out = out + F.abs(F.shiftright(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * i).bitwiseAND(F.lit(255)))
+        x, y = a[f"c{i // 8}"], b[f"c{i // 8}"]
+        out = out + F.abs(F.shiftright(x, 8 * (i % 8)).bitwiseAND(F.lit(255)) - F.shiftright(y, 8 * (i % 8)).bitwiseAND(F.lit(255)))
     return out
 
 
