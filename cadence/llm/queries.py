@@ -72,4 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": sql.LINE_DEDUP}
+    return {
+        "op4_source_mixing": sql.MIXING,
+        "op5_line_dedup": sql.LINE_DEDUP,
+        "op7_benchmark_decontamination": sql.DECONTAMINATION,
+        "op8_quality_rules": sql.quality_rules(quality_rules.CUTOFFS, quality_rules.ALPHA, quality_rules.DELTA),
+    }

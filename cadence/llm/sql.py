@@ -30,3 +30,85 @@ WITH RECURSIVE lines AS (
 SELECT p.doc_id, p.line_no, f.first_doc, f.first_line, (p.doc_id = f.first_doc AND p.line_no = f.first_line) AS kept
 FROM placed p JOIN firsts f USING (c)
 """
+
+DECONTAMINATION = f"""
+WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, {AZ}), '{WORD7}'), []) AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, {AZ}), '{WORD7}') AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT item, 10 AS n, array_to_string(list_slice(w, i, i + 9), ' ') AS g FROM items, unnest(range(1, len(w) - 8)) AS u(i) WHERE len(w) >= 10
+  UNION SELECT item, len(w), array_to_string(w, ' ') FROM items WHERE len(w) BETWEEN 1 AND 9
+), grams AS (
+  SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM docs, (SELECT DISTINCT n FROM windows), unnest(range(1, greatest(1, len(w) - n + 2))) AS u(i)
+), hits AS (
+  SELECT doc_id, i, n, item FROM grams JOIN windows USING (n, g)
+), places AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) AS u(p) GROUP BY 1
+), met AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN places USING (doc_id) LEFT JOIN met USING (doc_id)
+"""
+
+MIXING = f"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size,
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h FROM documents
+), src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM sized GROUP BY source
+), capped AS (
+  SELECT *, 2.0::DOUBLE * source_size AS lim, 2.0::DOUBLE * source_size / w AS ratio FROM src
+), tried AS (
+  SELECT *, row_number() OVER o AS rn, (1.5::DOUBLE * sum(source_size) OVER () - (sum(lim) OVER o - lim)) / (sum(w) OVER () - (sum(w) OVER o - w)) AS level FROM capped WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), target AS (
+  SELECT source, source_size, least(w * (SELECT arg_min(level, rn) FROM tried WHERE level <= ratio), lim) AS target FROM capped
+), plan AS (
+  SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0) AS whole, target - coalesce(floor(target / nullif(source_size, 0)), 0) * source_size AS extra FROM target
+), mass AS (
+  SELECT source, h, sum(size) AS m FROM sized WHERE size > 0 GROUP BY 1, 2
+), run AS (
+  SELECT *, sum(m) OVER (PARTITION BY source ORDER BY h ROWS UNBOUNDED PRECEDING) AS r FROM mass
+), ends AS (
+  SELECT run.source, arg_min(CASE WHEN r + r - m < 2 * extra THEN h ELSE h - 1 END, h) AS t FROM run JOIN plan ON run.source IS NOT DISTINCT FROM plan.source WHERE r > extra AND extra > 0 GROUP BY 1
+), cut AS (
+  SELECT plan.*, coalesce(t, CASE WHEN extra > 0 THEN 1152921504606846975 ELSE -1 END) AS t FROM plan LEFT JOIN ends ON ends.source IS NOT DISTINCT FROM plan.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (whole + CAST(h <= t AS INTEGER)) AS BIGINT) AS taken
+FROM sized JOIN cut ON sized.source IS NOT DISTINCT FROM cut.source
+"""
+
+
+def quality_rules(cutoffs: dict[str, tuple[float, ...]], alpha: float, delta: float) -> str:
+    """Base counts, and the cutoffs by the exact binomial tail."""
+    tests = "UNION ALL ".join(f"SELECT stratum, '{rule}' AS rule, {c} AS cutoff, count(*) AS n, count(*) FILTER ({rule} > {c}) AS k FROM good GROUP BY 1 " for rule, cs in cutoffs.items() for c in cs)
+    n_tests = sum(map(len, cutoffs.values()))
+    hit = " OR ".join(f"coalesce(m.{rule} > (SELECT min(cutoff) FROM safe WHERE safe.rule = '{rule}' AND safe.stratum = m.stratum), false)" for rule in cutoffs)
+    tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln(1 - {alpha}))))"
+    return f"""
+WITH base AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w FROM documents
+), lines AS (
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM base
+), grams AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(list_slice(w, i, i + 4), ' ')) AS n FROM base, unnest(range(1, greatest(1, len(w) - 3))) AS u(i)
+), repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM grams, unnest(range(i, i + 5)) AS u(p) WHERE n > 1 GROUP BY 1
+), counted AS (
+  SELECT b.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines,
+    len(regexp_extract_all(text, '!')) AS bangs, len(regexp_extract_all(text, '[A-Z]')) AS uppers, len(list_filter(w, lambda x: NOT regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))) AS bare
+  FROM base b JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)
+), m AS (
+  SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+    coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_share, coalesce(bangs / nullif(word_chars, 0), 0) AS bang_share, coalesce(uppers / nullif(word_chars, 0), 0) AS upper_share,
+    coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_share, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share, coalesce(bare / nullif(n_words, 0), 0) AS bare_word_share
+  FROM counted
+), good AS (
+  SELECT * FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY 1 HAVING max(quality) = 1)
+), tests AS (
+  {tests}
+), safe AS (
+  SELECT * FROM tests WHERE k <= n * {alpha} AND {tail} <= {delta} / ({n_tests} * (SELECT count(DISTINCT stratum) FROM good))
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({hit}) AS kept FROM m
+"""
