@@ -75,3 +75,25 @@ def test_keep_one(spark):
     kept = simhash.keep_one(awkward(spark))
     assert kept.columns == awkward(spark).columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 6, 7, 8]
+
+
+def test_several_short_fingerprints_find_edited_copies(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{int(rng.integers(0, 3000))}"
+    docs, parent = [], {}
+    for i in range(60):
+        base = [word() for _ in range(200)]
+        docs.append(" ".join(base))
+        if i < 30:  # one word changed: similarity 0.95
+            base[int(rng.integers(0, 200))] = "changed"
+            parent[len(docs)] = len(docs) - 1
+            docs.append(" ".join(base))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert sum(got[i] == p for i, p in parent.items()) >= 28
+    assert all(got[i] == i for i in range(len(docs)) if i not in parent)
+
+
+def test_signature_starts_with_the_fingerprint_bits():
+    text = b"a b c d e f g h i"
+    assert int(simhash.signature(text, 5, 4, 48)[0]) == simhash.fingerprint(text, 5) & ((1 << 48) - 1)
+    assert not simhash.signature(None, 5, 4, 48).any()
