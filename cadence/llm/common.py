@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,5 +138,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return pairs.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def slices(batches: Iterable, rows: int = 500) -> Iterator:
+    """Record batches in parts of at most ``rows`` rows, so that few texts are Python objects at a time.
+
+    Arrow's own pool keeps what it once had; the system's gives it back, which many workers on one machine need.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)

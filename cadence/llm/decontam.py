@@ -17,12 +17,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, free_name, stored
+from .common import LOWER, UPPER, slices, stored
 
 #: ASCII bytes that are not a digit or letter separate words; A-Z become a-z.
 NORMAL = bytes(ord(LOWER[UPPER.index(chr(c))]) if chr(c) in UPPER else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -178,7 +177,7 @@ def scan_block(rows: DataFrame, block: list, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sam = automaton_of(sent.value, key, window)
-        for b in batches:
+        for b in slices(batches):
             n, spans, met = [], [], []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 found = normal_words(t)
@@ -230,33 +229,33 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_share
 
     With ``max_share`` 0 every contaminated row goes; with 1 only spans are cut. All columns stay.
     """
-    cols, out = docs.columns, docs
-    here, = free_name(docs, "__sam")
+    out = docs.withColumn(text_col, F.col(text_col).cast("string"))
     for block in item_blocks(items, item_col, item_text_col, block_words):
-        cut = cutter(docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex, window)
-        out = out.withColumn(here, cut(F.col(text_col).cast("string"))).where(F.col(f"{here}.share") <= max_share)
-        out = out.withColumn(text_col, F.col(f"{here}.text")).select(*cols)
+        out = out.mapInArrow(cutter(docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex, window, max_share, out.columns.index(text_col)), out.schema)
     return out
 
 
-def cutter(sent, key: str, window: int):
-    """Pandas function: a text without its hit spans, and the share of its words they held."""
-    def cut(texts: pd.Series) -> pd.DataFrame:
+def cutter(sent, key: str, window: int, max_share: float, at: int):
+    """Rows whose hit words are no more than ``max_share``, their text in column ``at`` without its hit spans."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sam = automaton_of(sent.value, key, window)
-        kept, share = [], []
-        for t in texts:
-            found = normal_words(None if t is None else t.encode())
-            spans, _ = sam.scan(found)
-            kept.append(cut_spans(t, spans) if spans else t)
-            share.append(sum(b - a for a, b in spans) / max(1, len(found)))
-        return pd.DataFrame({"text": kept, "share": share})
+        for b in slices(batches):
+            texts, stays, cut = b.column(at).cast(pa.binary()).to_pylist(), [], False
+            for i, t in enumerate(texts):
+                found = normal_words(t)
+                spans, _ = sam.scan(found)
+                stays.append(sum(y - x for x, y in spans) <= max_share * max(1, len(found)))
+                if spans and stays[-1]:
+                    texts[i], cut = cut_spans(t, spans), True
+            if cut:
+                b = b.set_column(at, b.schema.field(at), pa.array(texts, pa.binary()).cast(b.schema.field(at).type))
+            yield b.filter(pa.array(stays, pa.bool_()))
 
-    return F.pandas_udf(cut, "text string, share double")
+    return run
 
 
-def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
+def cut_spans(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the given spans of normalised words; separators before a span stay."""
-    raw = text.encode()
     places, start = [], None
     for i, c in enumerate(raw.translate(NORMAL) + b" "):
         if c != 32 and start is None:
@@ -268,4 +267,4 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     for a, b in spans:
         out.append(raw[at:places[a][0]])
         at = places[b - 1][1]
-    return (b"".join(out) + raw[at:]).decode()
+    return b"".join(out) + raw[at:]

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60
+from .common import hash60, slices
 
 DIM = 4096
 SAMPLE = 4000
@@ -83,7 +83,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     """Of every gram over all ``rows(text)``; tasks add up before a row for each gram is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIM + 1, np.int64), 0
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).cast(pa.binary()).to_pylist():
                 if t:
                     df[:DIM] += gram_counts(t) > 0
@@ -139,9 +139,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
+        for b in slices(batches):
+            if b.num_rows:
                 texts = b.column(1).cast(pa.binary()).to_pylist()
                 ok = np.array([has_letter(t) for t in texts], bool) & (len(m.langs) > 0)
                 lang, score, far = np.array(["und"] * len(texts), object), np.zeros(len(texts)), ~ok

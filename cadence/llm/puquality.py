@@ -16,12 +16,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60
+from .common import hash60, slices
 from .langid import gram_counts
 
 GRAMS = 4096
@@ -85,16 +84,25 @@ def sampled(rows: DataFrame, want: int, seed: str) -> np.ndarray:
     """Feature rows of about ``want`` rows of ``rows(doc_id, text)``, MAX_FIT at most, chosen by hash."""
     n = rows.count()
     if not n:
-        return np.zeros((0, FOLDED + STATS), np.float32)
+        return np.zeros((0, FOLDED + STATS), np.float16)
     h = hash60(F.col("doc_id"), seed)
     picked = rows.where(h < F.lit(min(1.0, want / n) * float(1 << 60))).select(h.alias("h"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["h", "x"])
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t).astype(np.float16).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["h", "x"])
 
-    got = picked.mapInArrow(run, "h long, x binary").orderBy("h", "x").limit(MAX_FIT).toArrow()
-    return np.array([np.frombuffer(x, np.float32) for x in got.column("x").to_pylist()], np.float32).reshape(-1, FOLDED + STATS)
+    got = picked.mapInArrow(run, "h long, x binary").orderBy("h", "x").limit(MAX_FIT).toLocalIterator()
+    out = np.zeros((MAX_FIT, FOLDED + STATS), np.float16)
+    n = 0
+    for r in got:
+        out[n] = np.frombuffer(r.x, np.float16)
+        n += 1
+    return out[:n]
+
+
+def margins(x: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    return np.concatenate([x[i:i + 512].astype(np.float64) @ w for i in range(0, len(x), 512)]) + b
 
 
 class Model:
@@ -114,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(np.zeros(FOLDED + STATS), float(np.log(prior / (1 - prior))), prior)
     w, b = nnpu_fit(pos, unl, prior)
     # Score 0.5 lies where the prior's share of unlabelled rows passes, but no trusted positive beyond SPARED fails.
-    cut = min(float(np.quantile(unl @ w + b, 1 - prior)), float(np.quantile(pos @ w + b, SPARED)))
+    cut = min(float(np.quantile(margins(unl, w, b), 1 - prior)), float(np.quantile(margins(pos, w, b), SPARED)))
     return Model(w, b - cut, prior)
 
 
@@ -125,7 +133,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score_texts(b.column(1).cast(pa.binary()).to_pylist(), sent.value))], ["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, score double")
@@ -138,9 +146,11 @@ def score_texts(texts: list[bytes | None], model: Model) -> np.ndarray:
 
 def keep_good(docs: DataFrame, model: Model, cutoff: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` whose score reaches ``cutoff``; all columns stay and nothing is shuffled."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
-    def judged(texts: pd.Series) -> pd.Series:
-        return pd.Series(score_texts([None if t is None else t.encode() for t in texts], sent.value))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.filter(pa.array(score_texts(b.column(at).cast(pa.binary()).to_pylist(), sent.value) >= cutoff))
 
-    return docs.where(F.pandas_udf(judged, "double")(F.col(text_col).cast("string")) >= cutoff)
+    out = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    return out.mapInArrow(run, out.schema)

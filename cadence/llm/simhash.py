@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, free_name, small_enough, stored
+from .common import components, free_name, slices, small_enough, stored
 
 GROUP_VARIANTS = 2_000_000
 BLOCK = 1 << 22
@@ -52,7 +52,7 @@ def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
 def with_fingerprint(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long): the signed 64 bits of every row's fingerprint."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.fromiter((fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -205,7 +205,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, tables: int = 4, width: in
     over shingles), 91 % at 0.9, two thirds at 0.85 and 40 % at 0.8; strangers meet with a chance of 1e-9 a pair.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = np.array([signature(t, shingle, tables, width) for t in b.column(1).cast(pa.binary()).to_pylist()], np.int64).reshape(-1, tables)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(made[:, t]) for t in range(tables)]], ["doc_id", *[f"f{t}" for t in range(tables)]])
 
