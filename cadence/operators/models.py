@@ -43,6 +43,20 @@ def banded(point: np.ndarray, sigma: np.ndarray | float) -> np.ndarray:
     return np.stack([point, point - Z95 * sigma, point + Z95 * sigma], 1)
 
 
+def naive(y: np.ndarray, horizon: int) -> np.ndarray:
+    if not len(y):
+        raise ValueError("empty series")
+    return banded(np.repeat(y[-1], horizon), np.std(np.diff(y)) * np.sqrt(np.arange(1, horizon + 1)) if len(y) > 1 else 0.0)
+
+
+def seasonal_naive(y: np.ndarray, horizon: int, season: int = 52) -> np.ndarray:
+    """The last season repeated; series shorter than a season repeat whole."""
+    if not len(y):
+        raise ValueError("empty series")
+    s = min(season, len(y))
+    return banded(y[len(y) - s + np.arange(horizon) % s], float(np.std(y)))
+
+
 def holt_winters(y: np.ndarray, horizon: int, season: int = 52, least: int = 104) -> np.ndarray:
     """Additive trend (damped) and season; smoothing weights by coordinate search on one-step errors. Short series: the season before."""
     if len(y) < least:
@@ -241,6 +255,7 @@ def model_of(name: str) -> tuple[Callable[..., np.ndarray], dict]:
     """A grouped model by its name, whatever its case, blanks, dashes or underscores."""
     key = name.lower().replace("_", "").replace("-", "").replace(" ", "")
     known = {
+        "naive": (naive, {}), "seasonalnaive": (seasonal_naive, {}),
         "holtwinters": (holt_winters, {}), "sarima": (arimax, {}), "arimax": (arimax, {}), "autosarima": (arimax, {"order": None}),
         "prophet": (additive, {}), "additive": (additive, {}), "lstm": (recurrent, {"cell": "lstm"}), "gru": (recurrent, {"cell": "gru"}),
     }

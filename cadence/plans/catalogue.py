@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rate, tidy
-from ..operators import evaluate, models, outliers, panel, series, trees
+from ..operators import evaluate, models, outliers, panel, series, training, trees
 from ..sources import sinks
 from ..sources.readers import COUNTS
 from ..streaming.weekly import weekly_counts
@@ -563,6 +563,12 @@ def tuning(spark, d):
     return spark.createDataFrame([(p["maxDepth"], float(s) if s is not None else None) for p, s in trials], "max_depth int, mae double")
 
 
+@query()
+def train_pipeline(spark, d):
+    rows = training.held_out(I.clean(spark, d), DEPT, "week_start", "cases", "sarima", least=1)
+    return rounded(training.scores(rows, DEPT), *MET)
+
+
 def region_backtest(spark: SparkSession, d: str) -> DataFrame:
     """Weekly series by region on a whole grid, naive rolling-origin backtest, metrics by horizon."""
     k = ["region"]

@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cadence.functions import scalar
-from cadence.operators import models, outliers, panel, trees
+from cadence.operators import models, outliers, panel, training, trees
 from cadence.sources import readers, sinks
 from cadence.streaming.weekly import weekly_counts
 
@@ -128,3 +128,15 @@ def test_weekly_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.week_start, r.cases) for r in spark.table("weekly").collect()} == batch
+
+
+def test_training_pipeline(spark):
+    df = spark.createDataFrame([("a", DAY + datetime.timedelta(days=7 * i), float(v)) for i, v in enumerate(wave(150, 0))] + [("b", DAY + datetime.timedelta(days=7 * i), 1.0) for i in range(8)], "key string, t date, v double")
+    rows = training.held_out(df, ["key"], "t", "v", "sarima", least=1)
+    got = rows.collect()
+    assert {(r.key, r.split, r.status) for r in got} == {("a", "val", "success"), ("a", "test", "success"), ("b", "val", "failed")}
+    assert sum(r.key == "a" for r in got) == 30
+    best = {r.split: r.best for r in training.report(rows, ["key"]).where("key = 'a'").collect()}
+    assert best == {"val": "sarima", "test": "sarima"}
+    tall = training.long_predictions(df, rows, ["key"], "t", "v", least=1)
+    assert tall.where("split = 'train' and model = 'actual'").count() == 127
