@@ -287,6 +287,44 @@ def residuals(df: DataFrame, keys: Sequence[str], t: str, value: str, order: tup
     return df.select(*cols, value).groupBy(*names).applyInPandas(run, f"{kinds}, `{value}` double, residual double")
 
 
+def dickey_fuller(x: np.ndarray, lags: int = 1) -> float:
+    """t statistic of the level in a regression of differences on it, a constant and lagged differences."""
+    d = np.diff(x)
+    n = len(d) - lags
+    if n < lags + 4:
+        return float("nan")
+    a = np.column_stack([x[lags:-1], np.ones(n), *[d[lags - k - 1:len(d) - k - 1] for k in range(lags)]])
+    b, *_ = np.linalg.lstsq(a, d[lags:], rcond=None)
+    e = d[lags:] - a @ b
+    var = e @ e / max(1, n - a.shape[1]) * np.linalg.pinv(a.T @ a)[0, 0]
+    return float(b[0] / np.sqrt(var)) if var > 0 else float("nan")
+
+
+DIAGNOSTICS = ("n", "aic", "bic", "rmse", "mean", "std", "least", "most", "adf")
+
+
+def diagnosed(df: DataFrame, keys: Sequence[str], t: str, value: str, order: tuple[int, int, int] = (1, 1, 1), pairs: int = 6) -> DataFrame:
+    """Residual diagnostics of each key's model: information criteria, spread, unit root statistic; null where it cannot be fitted."""
+    names = [f.name for f in df.schema.fields if f.name in keys]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values(t)[value].to_numpy(float)
+        out = dict.fromkeys(DIAGNOSTICS)
+        try:
+            e = arimax(y, 1, order, pairs, residuals=True)
+            e = e[np.isfinite(e)]
+            k, mse = order[0] + order[2] + 2 * min(pairs, max(0, (len(y) - 4) // 6)) + 1, float(np.mean(e**2))
+            out = {"n": float(len(e)), "aic": len(e) * np.log(max(mse, 1e-12)) + 2 * k, "bic": len(e) * np.log(max(mse, 1e-12)) + k * np.log(len(e)), "rmse": mse**0.5,
+                   "mean": e.mean(), "std": e.std(ddof=1), "least": e.min(), "most": e.max(), "adf": dickey_fuller(e)}
+            out = {c: float(v) if np.isfinite(v) else None for c, v in out.items()}
+        except (ValueError, np.linalg.LinAlgError):
+            pass
+        return pd.DataFrame([{k: pdf[k].iloc[0] for k in names} | out])[[*names, *DIAGNOSTICS]].astype({c: "Float64" for c in DIAGNOSTICS})
+
+    return df.select(*names, t, value).groupBy(*names).applyInPandas(run, kinds + ", " + ", ".join(f"{c} double" for c in DIAGNOSTICS))
+
+
 def loess(y: np.ndarray, span: int, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Locally linear fits at positions ``at`` with tricube weights over the ``span`` nearest values."""
     n = len(y)

@@ -538,6 +538,11 @@ def arima_outliers(spark, d):
     return outliers.extreme_residuals(models.residuals(I.clean(spark, d), DEPT, "week_start", "cases"), DEPT)
 
 
+@query()
+def residual_diagnostics(spark, d):
+    return rounded(models.diagnosed(I.clean(spark, d), DEPT, "week_start", "cases"), *models.DIAGNOSTICS)
+
+
 @query()
 def stl(spark, d):
     return models.decomposed(I.clean(spark, d), DEPT, "week_start", "cases", 52)

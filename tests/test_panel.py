@@ -140,3 +140,13 @@ def test_training_pipeline(spark):
     assert best == {"val": "sarima", "test": "sarima"}
     tall = training.long_predictions(df, rows, ["key"], "t", "v", least=1)
     assert tall.where("split = 'train' and model = 'actual'").count() == 127
+
+
+def test_diagnostics(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([("a", DAY + datetime.timedelta(days=7 * i), float(v)) for i, v in enumerate(wave(150) + rng.normal(size=150))] + [("b", DAY, 1.0)], "key string, t date, v double")
+    got = {r.key: r for r in models.diagnosed(df, ["key"], "t", "v").collect()}
+    assert got["a"].n == 149 and got["a"].bic > got["a"].aic and got["a"].rmse < 3 and got["a"].adf < -3
+    assert got["b"].n is None and got["b"].adf is None
+    walk = np.cumsum(rng.normal(size=300))
+    assert models.dickey_fuller(walk) > -3.4 and models.dickey_fuller(np.diff(walk)) < -5
