@@ -80,25 +80,16 @@ def nnpu_fit(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = EPOCH
     return w, float(b)
 
 
-def sampled(rows: DataFrame, want: int, seed: str) -> np.ndarray:
-    """Feature rows of about ``want`` rows of ``rows(doc_id, text)``, MAX_FIT at most, chosen by hash."""
-    n = rows.count()
-    if not n:
-        return np.zeros((0, FOLDED + STATS), np.float16)
+def sampled(rows: DataFrame, want: int, seed: str, kind: int) -> DataFrame:
+    """(kind, h, x): features of about ``want`` rows of ``rows(doc_id, text)``, MAX_FIT at most, chosen by hash."""
     h = hash60(F.col("doc_id"), seed)
-    picked = rows.where(h < F.lit(min(1.0, want / n) * float(1 << 60))).select(h.alias("h"), F.col("text").cast("string").alias("text"))
+    picked = rows.where(h < F.lit(min(1.0, want / max(1, rows.count())) * float(1 << 60))).select(h.alias("h"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t).astype(np.float16).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["h", "x"])
 
-    got = picked.mapInArrow(run, "h long, x binary").orderBy("h", "x").limit(MAX_FIT).toLocalIterator()
-    out = np.zeros((MAX_FIT, FOLDED + STATS), np.float16)
-    n = 0
-    for r in got:
-        out[n] = np.frombuffer(r.x, np.float16)
-        n += 1
-    return out[:n]
+    return picked.mapInArrow(run, "h long, x binary").orderBy("h", "x").limit(MAX_FIT).withColumn("kind", F.lit(kind))
 
 
 def margins(x: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
@@ -116,14 +107,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     ones, all_ = marks.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     prior = float(min(0.98, (ones + 1.0) / (all_ + 2.0)))
-    pos = sampled(rows.join(marks.where("y = 1"), "doc_id", "left_semi"), POSITIVES, "pos:")
-    unl = sampled(rows.join(marks, "doc_id", "left_anti"), UNLABELLED, "web:")
-    if not len(pos) or not len(unl):
+    both = sampled(rows.join(marks.where("y = 1"), "doc_id", "left_semi"), POSITIVES, "pos:", 1).unionByName(sampled(rows.join(marks, "doc_id", "left_anti"), UNLABELLED, "web:", 0))
+
+    def fit(t: pa.Table) -> pa.Table:
+        kind = t.column("kind").to_numpy()
+        x = np.array([np.frombuffer(v, np.float16) for v in t.column("x").to_pylist()], np.float16)
+        x, kind = (v[np.lexsort((t.column("h").to_numpy(), kind))] for v in (x, kind))
+        pos, unl = x[kind == 1], x[kind == 0]
+        if not len(pos) or not len(unl):
+            return pa.table({"w": pa.array([], pa.binary()), "b": pa.array([], pa.float64())})
+        w, b = nnpu_fit(pos, unl, prior)
+        # Score 0.5 lies where the prior's share of unlabelled rows passes, but no trusted positive beyond SPARED fails.
+        cut = min(float(np.quantile(margins(unl, w, b), 1 - prior)), float(np.quantile(margins(pos, w, b), SPARED)))
+        return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "b": [b - cut]})
+
+    # The bounded sample is fitted in one task, so the driver only gets the weights.
+    got = both.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "w binary, b double").collect()
+    if not got:
         return Model(np.zeros(FOLDED + STATS), float(np.log(prior / (1 - prior))), prior)
-    w, b = nnpu_fit(pos, unl, prior)
-    # Score 0.5 lies where the prior's share of unlabelled rows passes, but no trusted positive beyond SPARED fails.
-    cut = min(float(np.quantile(margins(unl, w, b), 1 - prior)), float(np.quantile(margins(pos, w, b), SPARED)))
-    return Model(w, b - cut, prior)
+    return Model(np.frombuffer(bytes(got[0].w), np.float64), got[0].b, prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -147,10 +147,10 @@ def local_forest(fps: np.ndarray, left: np.ndarray, suffix: int, r: int, radius:
     return hung, root[hung]
 
 
-def links(nodes: DataFrame, radius: int = 4, width: int = 64) -> DataFrame:
-    """Edges (a, b) between the ``node`` ids of distinct fingerprints whose forests connect all at ``radius`` or less.
+def links(nodes: DataFrame, radius: int = 4, width: int = 64, tables: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """Edges (a, b) between ``node`` ids whose forests connect all at ``radius`` or less in any one table.
 
-    ``nodes(fp long, node long)``: one row for each fingerprint of ``width`` bits.
+    ``nodes(node long, one long column for each table)``: fingerprints of ``width`` bits. All tables share one shuffle.
     """
     if radius < 2 or radius % 2:
         raise ValueError("radius must be even and 2 at least")
@@ -158,26 +158,25 @@ def links(nodes: DataFrame, radius: int = 4, width: int = 64) -> DataFrame:
     suffix = width - k
     by_count = flips(k, r)
     masks = np.concatenate([m << np.uint64(suffix) for m in by_count.values()])
-    spent = np.concatenate([np.full(len(m), n) for n, m in by_count.items()])
+    left = np.concatenate([np.full(len(m), r - n, np.int8) for n, m in by_count.items()])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 5000):
-                part = b.slice(i, 5000)
-                fp = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                key = ((fp[:, None] ^ masks[None, :]) >> np.uint64(suffix)).ravel().astype(np.int32)
-                rep = np.repeat(np.arange(len(fp)), len(masks))
+        for b in slices(batches, 5000):
+            rep = np.repeat(np.arange(b.num_rows), len(masks))
+            for t in range(len(tables)):
+                fp = b.column(t + 1).to_numpy(zero_copy_only=False).view(np.uint64)
+                key = ((fp[:, None] ^ masks[None, :]) >> np.uint64(suffix)).ravel().astype(np.int32) | np.int32(t << 25)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(fp.view(np.int64)[rep]), part.column(1).take(pa.array(rep)), pa.array(np.tile((r - spent).astype(np.int8), len(fp)))],
-                    ["k", "fp", "node", "left"])
+                    [pa.array(key), pa.array(fp.view(np.int64)[rep]), b.column(0).take(pa.array(rep)), pa.array(np.tile(left, len(fp)))], ["k", "fp", "node", "left"])
 
     def meet(t: pa.Table) -> pa.Table:
-        fp = t.column("fp").to_numpy().view(np.uint64)
         node = t.column("node").to_numpy()
-        a, b = local_forest(fp, t.column("left").to_numpy(), suffix, r, radius)
-        return pa.table({"a": node[a], "b": node[b]})
+        fp, first, back = np.unique(t.column("fp").to_numpy().view(np.uint64), return_index=True, return_inverse=True)
+        a, b = local_forest(fp, t.column("left").to_numpy()[first], suffix, r, radius)
+        same = np.flatnonzero(first[back] != np.arange(len(back)))  # nodes of one fingerprint
+        return pa.table({"a": np.concatenate([node[first[a]], node[same]]), "b": np.concatenate([node[first[b]], node[first[back[same]]]])})
 
-    rows = nodes.select("fp", "node").mapInArrow(emit, "k int, fp long, node long, left byte")
+    rows = nodes.select("node", *tables).mapInArrow(emit, "k int, fp long, node long, left byte")
     return rows.groupBy("k").applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -214,13 +213,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, tables: int = 4, width: in
     signed = stored(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)), "signatures")
     # Rows of one whole signature are one node, named by the least doc_id.
     whole = stored(signed.groupBy(*names).agg(F.min("doc_id").alias("node")), "signature-nodes")
-    edges = None
-    for n in names:
-        first = stored(whole.groupBy(F.col(n).alias("fp")).agg(F.min("node").alias("node")), "table-nodes")
-        same = whole.join(first, F.col(n) == F.col("fp")).select(whole["node"].alias("a"), first["node"].alias("b")).where("a <> b")
-        both = links(first, radius, width).unionAll(same)
-        edges = both if edges is None else edges.unionAll(both)
-    found = components(edges)
+    found = components(links(whole, radius, width, tuple(names)))
     named = whole.join(found, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     return signed.join(named, names).select("doc_id", "component_id")
 
