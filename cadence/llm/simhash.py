@@ -33,6 +33,8 @@ from .common import components, free_name, slices, small_enough, stored
 GROUP_VARIANTS = 2_000_000
 BLOCK = 1 << 22
 BROADCAST_IDS = 500_000
+FEW_PAIRS = 200_000  #: candidates that are verified at once
+PROOF_BITS = 20  #: of 64: pairs of similarity 0.8 differ in 9.7 on average, strangers in 32
 
 
 def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
@@ -64,15 +66,23 @@ def flips(bits: int, most: int) -> dict[int, np.ndarray]:
     return {n: np.array([sum(1 << i for i in c) for c in combinations(range(bits), n)], np.uint64) for n in range(most + 1)}
 
 
-def signature(text: bytes | None, shingle: int, tables: int, width: int) -> np.ndarray:
-    """``tables`` independent fingerprints of ``width`` bits: majorities of the bits of mixed shingle hashes."""
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Hashes of the distinct word shingles of an ASCII-lower-cased text, sorted; a shorter text is one shingle, a blank one none."""
     found = (text or b"").lower().split()
-    out = np.zeros(tables, np.int64)
     if not found:
-        return out
+        return np.zeros(0, np.uint64)
     n = max(1, len(found) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(b" ".join(found[i:i + shingle]), 42) for i in range(n)), np.uint64, n)
+    return np.unique(np.fromiter((digest(b" ".join(found[i:i + shingle]), 42) for i in range(n)), np.uint64, n))
+
+
+def signature(text: bytes | None, shingle: int, tables: int, width: int) -> np.ndarray:
+    """``tables`` independent fingerprints of ``width`` bits: majorities of the bits of mixed hashes of the distinct shingles."""
+    out = np.zeros(tables, np.int64)
+    h = shingle_set(text, shingle)
+    n = len(h)
+    if not n:
+        return out
     words = -(-tables * width // 64)
     bits = np.zeros(words * 64, np.int64)
     for i in range(0, n, 1 << 13):
@@ -98,19 +108,10 @@ def prefix_bits(n: int, radius: int, width: int = 64) -> int:
     return int(min(24, max(4, np.ceil(np.log2(max(1, n * ball / GROUP_VARIANTS))))))
 
 
-def local_forest(fps: np.ndarray, left: np.ndarray, suffix: int, r: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Roots of the members of one prefix group, found by equal suffix variants; ``left`` = flips each may still spend."""
+def met(fps: np.ndarray, left: np.ndarray, suffix: int, r: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of pairs (a, b) of members of one prefix group that are neighbours in a list of equal suffix variants; ``left`` = flips each may still spend."""
     mask = np.uint64((1 << suffix) - 1)
     masks = flips(suffix, r)
-    root = np.arange(len(fps))
-
-    def find(x: np.ndarray) -> np.ndarray:
-        while True:
-            up = root[x]
-            if np.array_equal(up, x):
-                return x
-            x = root[up]
-
     # Blocks of the suffix space bound what is expanded at a time: top bits of a variant, mixed.
     total = sum(int((left >= n).sum()) * len(m) for n, m in masks.items())
     parts = max(1, -(-total // BLOCK))
@@ -132,11 +133,23 @@ def local_forest(fps: np.ndarray, left: np.ndarray, suffix: int, r: int, radius:
         order = np.argsort(v)
         v, o = v[order], o[order]
         same = np.flatnonzero(v[1:] == v[:-1])
-        if not len(same):
-            continue
         a, b = o[same], o[same + 1]
         near = np.bitwise_count(fps[a] ^ fps[b]) <= radius
-        a, b = a[near], b[near]
+        yield a[near], b[near]
+
+
+def local_forest(fps: np.ndarray, left: np.ndarray, suffix: int, r: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Roots of the members of one prefix group, found by equal suffix variants."""
+    root = np.arange(len(fps))
+
+    def find(x: np.ndarray) -> np.ndarray:
+        while True:
+            up = root[x]
+            if np.array_equal(up, x):
+                return x
+            x = root[up]
+
+    for a, b in met(fps, left, suffix, r, radius):
         while len(a):  # hang the larger root on the smaller until all links are inside one tree
             ra, rb = find(a), find(b)
             open_ = ra != rb
@@ -147,10 +160,20 @@ def local_forest(fps: np.ndarray, left: np.ndarray, suffix: int, r: int, radius:
     return hung, root[hung]
 
 
-def links(nodes: DataFrame, radius: int = 4, width: int = 64, tables: tuple[str, ...] = ("fp",)) -> DataFrame:
+def local_pairs(fps: np.ndarray, left: np.ndarray, suffix: int, r: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of one prefix group that met, each within the radius itself; no more than its variants."""
+    found = [np.unique(np.minimum(a, b).astype(np.int64) * len(fps) + np.maximum(a, b)) for a, b in met(fps, left, suffix, r, radius)]
+    every = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    every = every[every // max(1, len(fps)) != every % max(1, len(fps))]
+    return every // max(1, len(fps)), every % max(1, len(fps))
+
+
+def links(nodes: DataFrame, radius: int = 4, width: int = 64, tables: tuple[str, ...] = ("fp",), proof: str | None = None) -> DataFrame:
     """Edges (a, b) between ``node`` ids whose forests connect all at ``radius`` or less in any one table.
 
     ``nodes(node long, one long column for each table)``: fingerprints of ``width`` bits. All tables share one shuffle.
+    With ``proof``, a column of 64 more bits, edges are pairs that met themselves, to be verified, and not a forest's; those
+    whose proofs are more than PROOF_BITS apart are left out.
     """
     if radius < 2 or radius % 2:
         raise ValueError("radius must be even and 2 at least")
@@ -167,7 +190,8 @@ def links(nodes: DataFrame, radius: int = 4, width: int = 64, tables: tuple[str,
                 fp = b.column(t + 1).to_numpy(zero_copy_only=False).view(np.uint64)
                 key = ((fp[:, None] ^ masks[None, :]) >> np.uint64(suffix)).ravel().astype(np.int32) | np.int32(t << 25)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(fp.view(np.int64)[rep]), b.column(0).take(pa.array(rep)), pa.array(np.tile(left, len(fp)))], ["k", "fp", "node", "left"])
+                    [pa.array(key), pa.array(fp.view(np.int64)[rep]), b.column(0).take(pa.array(rep)), pa.array(np.tile(left, len(fp))),
+                     *([b.column(len(tables) + 1).take(pa.array(rep))] if proof else [])], ["k", "fp", "node", "left", *(["proof"] if proof else [])])
 
     def meet(t: pa.Table) -> pa.Table:
         node = t.column("node").to_numpy()
@@ -176,6 +200,23 @@ def links(nodes: DataFrame, radius: int = 4, width: int = 64, tables: tuple[str,
         same = np.flatnonzero(first[back] != np.arange(len(back)))  # nodes of one fingerprint
         return pa.table({"a": np.concatenate([node[first[a]], node[same]]), "b": np.concatenate([node[first[b]], node[first[back[same]]]])})
 
+    def meet_pairs(t: pa.Table) -> pa.Table:
+        # Every table has its own order, so that members of one fingerprint have other neighbours in each.
+        node, salt = t.column("node").to_numpy(), np.uint64((t.column("k")[0].as_py() >> 25) * 2 + 1)
+        own = np.argsort((node.view(np.uint64) ^ salt) * np.uint64(0x9E3779B97F4A7C15) * salt, kind="stable")
+        own = own[np.argsort(t.column("fp").to_numpy()[own].view(np.uint64), kind="stable")]
+        node, every, word = node[own], t.column("fp").to_numpy()[own].view(np.uint64), t.column("proof").to_numpy()[own]
+        fp, first = np.unique(every, return_index=True)
+        a, b = local_pairs(fp, t.column("left").to_numpy()[own][first], suffix, r, radius)
+        same = np.flatnonzero(every[1:] == every[:-1])
+        a, b = np.concatenate([first[a], same]), np.concatenate([first[b], same + 1])
+        near = np.bitwise_count(word[a].view(np.uint64) ^ word[b].view(np.uint64)) <= PROOF_BITS
+        a, b = node[a[near]], node[b[near]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    if proof:
+        rows = nodes.select("node", *tables, proof).mapInArrow(emit, "k int, fp long, node long, left byte, proof long")
+        return rows.groupBy("k").applyInArrow(meet_pairs, "a long, b long").where("a <> b").distinct()
     rows = nodes.select("node", *tables).mapInArrow(emit, "k int, fp long, node long, left byte")
     return rows.groupBy("k").applyInArrow(meet, "a long, b long").distinct()
 
@@ -196,36 +237,91 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, tables: int = 4, width: int = 48, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every row with an id: groups linked by any of several shorter fingerprints.
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that hold a spanning forest of all ``pairs(a, b)`` whose shingle sets have the Jaccard similarity or more.
 
-    One 64-bit fingerprint within 4 bits finds only pairs that are almost equal. Four of
-    48 bits find, by the binomial law of differing bits, 99 % of pairs of similarity 0.95 (Jaccard
-    over shingles), 91 % at 0.9, two thirds at 0.85 and 40 % at 0.8; strangers meet with a chance of 1e-9 a pair.
+    ``texts(doc_id, text)``. Where pairs are many, those that a spanning forest needs come first: one for each
+    group, then one for each two groups that are left, then all between groups that are still apart.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            made = np.array([signature(t, shingle, tables, width) for t in b.column(1).cast(pa.binary()).to_pylist()], np.int64).reshape(-1, tables)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(made[:, t]) for t in range(tables)]], ["doc_id", *[f"f{t}" for t in range(tables)]])
-
+            sets = [shingle_set(t, shingle).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "s"])
+
+    def near(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small_enough(df, BROADCAST_IDS) else df
+
+    def holds(some: DataFrame) -> DataFrame:
+        both = some.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
+    sets = stored(texts.join(near(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, s array<long>"), "shingle-sets")
+    if small_enough(pairs, FEW_PAIRS):
+        return holds(pairs)
+    good = None
+    open_ = pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    for by in (["hi"], ["lo", "hi"], None):
+        some = open_.select("a", "b", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi"))
+        if by:
+            some = some.groupBy(*by).agg(F.min(F.struct("lo", "a", "b")).alias("x")).select("x.a", "x.b")
+        tried = stored(some.select("a", "b"), "tried-pairs")
+        held = holds(tried)
+        good = stored(held if good is None else good.unionByName(held), "verified-pairs")
+        if by is None:
+            return good
+        group = stored(components(good), "verified-groups")
+        name = lambda c: near(group.select(F.col("node").alias(c), F.col("component").alias(f"g{c}")))
+        left = pairs.join(name("a"), "a", "left").join(name("b"), "b", "left").join(tried, ["a", "b"], "left_anti")
+        left = left.select("a", "b", F.coalesce("ga", "a").alias("ca"), F.coalesce("gb", "b").alias("cb")).where("ca <> cb")
+        open_ = stored(left, "open-pairs")
+        if open_.isEmpty():
+            return good
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, tables: int = 4, width: int = 48, radius: int = 4, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of every row with an id: groups linked by pairs whose sets of shingles have a Jaccard ``similarity`` or more.
+
+    One 64-bit fingerprint within 4 bits finds only pairs that are almost equal. Pairs that any of several shorter
+    fingerprints brings together are candidates: four of 48 bits find, by the binomial law of differing bits, 99 % of
+    pairs of similarity 0.95, 91 % at 0.9, two thirds at 0.85 and 40 % at 0.8. Each candidate is then verified by its texts' shingles.
+    """
+    words = -(-64 // width)
     names = [f"f{t}" for t in range(tables)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            made = [signature(t, shingle, tables + words, width).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["doc_id", "sign"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 5000):
+            made = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64).reshape(-1, tables + words)
+            proof = made[:, tables].copy()
+            for w in range(1, words):
+                proof |= made[:, tables + w] << (w * width)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(made[:, t]) for t in range(tables)], pa.array(proof)], ["node", *names, "proof"])
+
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)), "signatures")
+    signed = stored(rows.mapInArrow(run, "doc_id long, sign binary"), "signatures")
     # Rows of one whole signature are one node, named by the least doc_id.
-    whole = stored(signed.groupBy(*names).agg(F.min("doc_id").alias("node")), "signature-nodes")
-    found = components(links(whole, radius, width, tuple(names)))
+    whole = stored(signed.groupBy("sign").agg(F.min("doc_id").alias("node")), "signature-nodes")
+    nodes = whole.select("node", "sign").mapInArrow(unpack, "node long, " + ", ".join(f"{n} long" for n in names) + ", proof long")
+    pairs = stored(links(stored(nodes, "signature-words"), radius, width, tuple(names), "proof"), "candidate-pairs")
+    found = components(verified(pairs, rows, shingle, similarity))
     named = whole.join(found, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
-    return signed.join(named, names).select("doc_id", "component_id")
+    return signed.join(named, "sign").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, tables: int = 4, width: int = 48, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, tables: int = 4, width: int = 48, radius: int = 4, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row, that of the least doc_id, of each group of near-duplicates; all columns stay.
 
     Only ids travel: the losers are broadcast if few, else anti-joined. Rows with a null
     doc_id cannot be named as members of a group and stay; rows that repeat a doc_id are one document.
     """
     own, = free_name(docs, "__loser")
-    found = stored(similar_groups(docs, shingle, tables, width, radius, id_col, text_col), "groups")
+    found = stored(similar_groups(docs, shingle, tables, width, radius, similarity, id_col, text_col), "groups")
     losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
     near = F.broadcast(losers) if small_enough(losers, BROADCAST_IDS) else losers
     out = docs.join(near, F.col(id_col).cast("long") == F.col(own), "left_anti")

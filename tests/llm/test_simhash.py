@@ -97,3 +97,50 @@ def test_signature_starts_with_the_fingerprint_bits():
     text = b"a b c d e f g h i"
     assert int(simhash.signature(text, 5, 4, 48)[0]) == simhash.fingerprint(text, 5) & ((1 << 48) - 1)
     assert not simhash.signature(None, 5, 4, 48).any()
+
+
+def planted(seed, pairs, size, shingles_changed):
+    """Texts of ``size`` words and copies with words changed five places or more apart; similarity (n - c) / (n + c) of n shingles, c of them changed."""
+    rng = np.random.default_rng(seed)
+    docs = []
+    for _ in range(pairs):
+        base = [f"w{int(x)}" for x in rng.integers(0, 100_000, size)]
+        other = list(base)
+        for at in range(shingles_changed // 5):
+            other[4 + at * (size - 8) // (shingles_changed // 5)] = "changed"
+        docs += [" ".join(base), " ".join(other)]
+    return docs
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def groups_of(spark, docs):
+    return {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+
+
+def test_links_are_verified_by_shingles(spark):
+    docs = planted(6, 200, 204, 35)
+    assert all(0.65 < jaccard(docs[i], docs[i + 1]) < 0.75 for i in range(0, len(docs), 2))
+    rng = np.random.default_rng(7)  # texts of two shingles have few bits set
+    docs += [" ".join(f"w{int(x)}" for x in rng.integers(0, 100_000, 6)) for _ in range(2000)]
+    got = groups_of(spark, docs)
+    assert all(got[i] == i for i in range(len(docs)))
+
+
+def test_refuted_links_do_not_cut_groups(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(300)]
+    docs = []
+    for _ in range(150):  # near copies of each other at about 0.9, and others too far from them
+        own = list(base)
+        for at in rng.integers(0, 300, 3):
+            own[at] = f"x{int(rng.integers(0, 1000))}"
+        docs.append(" ".join(own))
+    far = planted(9, 20, 204, 35)
+    want = {i: 0 for i in range(150)} | {150 + i: 150 + i for i in range(40)}
+    assert groups_of(spark, docs + far) == want
+    monkeypatch.setattr(simhash, "FEW_PAIRS", 10)
+    assert groups_of(spark, docs + far) == want
