@@ -144,3 +144,17 @@ def test_refuted_links_do_not_cut_groups(spark, monkeypatch):
     assert groups_of(spark, docs + far) == want
     monkeypatch.setattr(simhash, "FEW_PAIRS", 10)
     assert groups_of(spark, docs + far) == want
+
+
+def test_recall_at_the_contract_similarity(spark):
+    for changed, least, at in ((20, 95, 0.82), (15, 98, 0.86), (10, 99, 0.90)):
+        docs = planted(changed, 100, 194, changed)
+        similar = [jaccard(docs[i], docs[i + 1]) for i in range(0, len(docs), 2)]
+        assert all(at - 0.02 < x < at + 0.015 for x in similar), similar[:3]
+        got = groups_of(spark, docs)
+        assert sum(got[i + 1] == i for i in range(0, len(docs), 2)) >= least
+    docs = planted(30, 300, 230, 25)
+    assert all(0.79 < jaccard(docs[i], docs[i + 1]) < 0.81 for i in range(0, len(docs), 2))
+    close = [i for i in range(0, len(docs), 2) if jaccard(docs[i], docs[i + 1]) >= 0.8]
+    got = groups_of(spark, docs)
+    assert len(close) > 200 and sum(got[i + 1] == i for i in close) >= 0.94 * len(close)
