@@ -14,7 +14,8 @@ of a class in (doc_id, place) order stays and the others go.
 - Verified links are joined to classes by components().
 
 Defined results: only lines of ``min_chars`` characters or more take part in the edit
-join, shorter ones in equality; lines with fewer than ``min_words`` words always stay;
+join, shorter ones in equality; with ``per_edit`` a shorter line of a pair has that many characters for
+each edit at least; lines with fewer than ``min_words`` words always stay;
 null texts have no lines and stay null; a null doc_id sorts last; rows equal in doc_id
 and text are one document to this operator and keep the same lines, so their copies are
 left to document dedup; a text whose lines all go becomes empty, and ``drop_empty``
@@ -147,10 +148,10 @@ def near(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
-def edit_links(lines: DataFrame, twice: DataFrame, tau: int, min_chars: int) -> DataFrame:
+def edit_links(lines: DataFrame, twice: DataFrame, tau: int, min_chars: int, per_edit: int = 0) -> DataFrame:
     """Verified links (a, b) between the line ids of ``lines(id, spot, line)``.
 
-    ``twice(id, first)``: where lines that occur more than once are to be read.
+    ``twice(id, first)``: where lines that occur more than once are to be read. ``per_edit``: characters of the shorter line for each edit; 0 asks for none.
     """
     if min_chars < 3 * (tau + 1):
         raise ValueError("min_chars must be three times the number of segments at least")
@@ -174,11 +175,12 @@ def edit_links(lines: DataFrame, twice: DataFrame, tau: int, min_chars: int) ->
             .join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b"))
     first = F.length("la") >= F.length("lb")
     ordered = both.select("a", "b", F.when(first, F.col("la")).otherwise(F.col("lb")).alias("p"), F.when(first, F.col("lb")).otherwise(F.col("la")).alias("t"))
-    close = ordered.where(F.length("p") - F.length("t") <= tau).where(banded_distance(F.col("p"), F.col("t"), tau) <= tau)
+    most = F.least(F.lit(tau), F.floor(F.length("t") / per_edit)) if per_edit else F.lit(tau)
+    close = ordered.where(F.length("p") - F.length("t") <= most).where(banded_distance(F.col("p"), F.col("t"), tau) <= most)
     return close.select("a", "b")
 
 
-def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", per_edit: int = 0) -> DataFrame:
     """(row, doc_id, line_no, first_doc, first_line, kept) of every line with ``min_words`` words or more.
 
     (first_doc, first_line) names the class: its first line by doc_id, then place from 0.
@@ -186,7 +188,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, mi
     named = lines_of(docs, min_words, id_col, text_col)
     placed = stored(named.select("row", "doc_id", "place", "id", "spot"), "lines")
     twice = stored(placed.groupBy("id").agg(F.count("*").alias("n"), F.min("spot").alias("first")).where("n > 1").select("id", "first"), "repeated-lines")
-    classes = stored(components(edit_links(named.select("id", "spot", "line"), twice, tau, min_chars)), "classes")
+    classes = stored(components(edit_links(named.select("id", "spot", "line"), twice, tau, min_chars, per_edit)), "classes")
     # A class is named by its edit component or by the line; the others are lines that occur once and stay.
     several = stored(twice.select("id").join(classes.withColumnRenamed("node", "id"), "id", "full_outer").select(F.col("id").alias("__id"), F.coalesce("component", "id").alias("class")), "several")
     lined = placed.join(near(several), F.col("id") == F.col("__id"), "left").select("row", "doc_id", "place", "class")
@@ -201,10 +203,10 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, mi
                       (alone | ((F.col("row") == F.col("first_row")) & (F.col("place") == F.col("first_line")))).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, drop_empty: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, drop_empty: bool = True, id_col: str = "doc_id", text_col: str = "text", per_edit: int = 0) -> DataFrame:
     """``docs`` without the lines that an earlier line stands for; all columns stay."""
     row, gone, kept, key = free_name(docs, "__row", "__gone", "__kept", "__key")
-    lost = line_classes(docs, tau, min_chars, min_words, id_col, text_col).where("not kept")
+    lost = line_classes(docs, tau, min_chars, min_words, id_col, text_col, per_edit).where("not kept")
     lost = stored(lost.groupBy(F.col("row").alias(row)).agg(F.collect_set(F.col("line_no").cast("int")).alias(gone)), "gone-lines")
     text = F.col(text_col).cast("string")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")

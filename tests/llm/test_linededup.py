@@ -83,3 +83,16 @@ def test_awkward_rows(spark):
 def test_lines_go_but_others_stay(spark):
     docs = spark.createDataFrame([(1, "first line of words here\nshared line that all of them have"), (2, "other words in this line\nshared line that all of them havo\n\nlast words of the text")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}[2] == "other words in this line\n\nlast words of the text"
+
+
+def test_pipeline_takes_short_lines(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([
+        (1, "Read more\nanother thing to read about today\nShare this page\nPart 1\nthe line has twenty-nine chars"),
+        (2, "Read more\nsome quite other words of this text\nShare that page\nShare thes page\nPart 2\nthe line has twenty-nine char\n\nlast"),
+    ], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got[1].split("\n") == docs.where("doc_id = 1").first().text.split("\n")
+    # Share that/thes page: two edits and one at 15 characters; Part 1/Part 2 are other lines.
+    assert got[2] == "some quite other words of this text\nShare that page\nPart 2\n\nlast"
