@@ -121,38 +121,125 @@ def test_language_model(spark):
     assert lmscore.lm_scores(docs.where("false"), train).count() == 0
 
 
-def test_each_id_is_scored_once_and_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    model = lmscore.Attention(np.bincount(rng.integers(0, 50, 5000), minlength=lmscore.VOCAB))
-    model.settle()
-    for n in (0, 1, 15, 16, 17, 100):
-        seq = rng.integers(0, 50, n).astype(np.uint16)
-        x, ok, ids = model.windows(seq)
-        assert list(ids[ok]) == [*seq, lmscore.END]
-    inside = np.bincount(model.of, weights=np.exp(model.inside.astype(float)), minlength=lmscore.CLASSES)
-    assert np.allclose(inside[np.unique(model.of)], 1, atol=1e-3)
-    x = rng.integers(0, lmscore.CLASSES + 1, (5, lmscore.WINDOW))
-    z, _ = model.forward(x, lmscore.CONTEXT)
-    assert np.allclose(np.exp(z).sum(-1), 1, atol=1e-4)
-    y = rng.integers(0, lmscore.CLASSES, z.shape[:2])
-    assert np.allclose(model.log_p(x, y), np.take_along_axis(z, y[..., None], -1)[..., 0], atol=1e-3)
-    later = x.copy()
-    later[:, -1] = (later[:, -1] + 1) % lmscore.CLASSES
-    assert np.allclose(model.forward(later)[0][:, :-1], model.forward(x)[0][:, :-1], atol=1e-5)  # no look-ahead
-
-
-def test_training_lowers_the_loss():
+def brute_force_score(model, ids):
+    """Natural log probability of a text, id by id, from the definition: no batches, windows cut by hand, every id's probability computed."""
+    w, d, stride = model.w, lmscore.DIM, lmscore.WINDOW - lmscore.CONTEXT
+    every = np.append(ids.astype(np.int64), lmscore.END)
+    total = 0.0
+    for i, own in enumerate(every):
+        first = (i // stride) * stride - lmscore.CONTEXT  # where the window of this id starts
+        seen = [model.start if j <= 0 else int(model.row[every[j - 1]]) for j in range(first, i + 1)]
+        h = w["embed"][seen].astype(float)
+        a = np.array([h[-1] @ w["match"].astype(float) @ h[j] + w["distance"][len(seen) - 1 - j] for j in range(len(seen))])
+        a = np.exp(a - a.max())
+        mix = np.concatenate([(a / a.sum()) @ h, h[-1]])
+        zc = w["class"].astype(float) @ mix + w["class_bias"]
+        p = np.zeros(len(model.cls))
+        log_of = lambda z: z - z.max() - math.log(np.exp(z - z.max()).sum())
+        for k in range(model.n_cls):
+            lo, hi = model.lo[k], model.lo[k + 1]
+            zi = w["inside"][lo:hi].astype(float) @ mix + w["inside_bias"][lo:hi]
+            p[lo:hi] = log_of(zc)[k] + log_of(zi)
+        every_id = p[model.row] - np.where(model.row == len(p) - 1, model.unseen, 0)
+        assert math.isclose(np.exp(every_id).sum(), 1, rel_tol=1e-5)  # over all ids of the vocabulary
+        total += every_id[own]
+    return total
+
+
+def small_model(seed=0, kinds=60):
+    rng = np.random.default_rng(seed)
+    model = lmscore.Attention(np.bincount(rng.integers(0, kinds, 5000) ** 2 // kinds, minlength=lmscore.VOCAB))
+    for k in model.w:
+        model.w[k] += (rng.standard_normal(model.w[k].shape) * 0.3).astype(np.float32)
+    return model, rng
+
+
+def test_attention_scores_equal_brute_force():
+    model, rng = small_model()
+    assert lmscore.DIM == 32 and model.n_cls > 4 and (np.diff(model.lo) > 1).any()
+    for n in (0, 1, 7, 8, 23, 24, 25, 31, 32, 49, 100):
+        ids = rng.integers(0, 70, n).astype(np.uint16)  # some are unknown to the model
+        assert math.isclose(model.score([ids])[0], brute_force_score(model, ids), rel_tol=1e-4), n
+    many = [rng.integers(0, 70, n).astype(np.uint16) for n in (0, 300, 5, 0, 64)]
+    assert np.allclose(model.score(many), [model.score([x])[0] for x in many], rtol=1e-5)
+    big, _ = small_model(3)
+    big.w["class"] *= 200  # far from the range in which single precision needs no care
+    big.w["match"] *= 200
+    assert math.isclose(big.score([many[1]])[0], brute_force_score(big, many[1]), rel_tol=1e-2)
+
+
+def test_gradients_are_those_of_the_loss():
+    model, rng = small_model(4, 30)
+    x, y, ok = rng.integers(0, model.start + 1, (3, lmscore.WINDOW)), rng.integers(0, model.start, (3, lmscore.WINDOW)), rng.random((3, lmscore.WINDOW)) < 0.8
+    for k in model.w:
+        model.w[k] = model.w[k].astype(np.float64)
+        model.s[k] = np.zeros_like(model.w[k])
+
+    def loss():
+        h, _, u = model.attend(x, 0)
+        mix = np.concatenate([u, h], -1).reshape(-1, 2 * lmscore.DIM)
+        c = model.cls[y.ravel()]
+        p = lmscore.own_log_p(mix @ model.w["class"].T + model.w["class_bias"], c)
+        for lo, hi, i in model.by_class(c):
+            p[i] += lmscore.own_log_p(mix[i] @ model.w["inside"][lo:hi].T + model.w["inside_bias"][lo:hi], y.ravel()[i] - lo)
+        return -p[ok.ravel()].sum()
+
+    got = {}
+    model._move = lambda name, i, grad, rate: got.setdefault(name, []).append((i, np.array(grad)))
+    model.step(x, y, ok, 0.0)
+    for name, w in model.w.items():
+        full = np.zeros(w.shape)
+        for i, g in got[name]:
+            full[i] += g
+        for at in (np.unravel_index(int(j), w.shape) for j in np.argsort(-np.abs(full).ravel())[:3]):
+            kept, e = w[at], 1e-5
+            w[at] = kept + e
+            up = loss()
+            w[at] = kept - e
+            down = loss()
+            w[at] = kept
+            assert math.isclose((up - down) / (2 * e), full[at], rel_tol=1e-3, abs_tol=1e-4), (name, at)
+
+
+def test_training_in_parts_beats_unigrams(spark):
+    """Averaged tasks and rounds learn an order that frequencies cannot show."""
     rng = np.random.default_rng(1)
-    seq = np.tile(np.arange(6), 600)
-    model = lmscore.Attention(np.bincount(seq, minlength=lmscore.VOCAB) * 1000)
-    model.settle()
-    before = model.score([seq.astype(np.uint16)[:200]])[0]
-    cls = np.concatenate([[0], model.of[seq].astype(np.int64) + 1])
-    n = len(seq) // lmscore.WINDOW
-    x, y = cls[:-1][:n * lmscore.WINDOW].reshape(n, -1), (cls[1:] - 1)[:n * lmscore.WINDOW].reshape(n, -1)
-    model.fit(x, y, np.ones(x.shape, np.float32), steps=150)
-    model.settle()
-    assert model.score([seq.astype(np.uint16)[:200]])[0] > before / 2
+    after = rng.permutation(200)
+    rows = []
+    for i in range(300):
+        seq = [int(rng.integers(200))]
+        while len(seq) < 150:
+            seq.append(int(after[seq[-1]]) if rng.random() < 0.9 else int(rng.integers(200)))
+        rows.append((i, bytearray(np.array(seq, np.uint16).tobytes())))
+    texts = spark.createDataFrame(rows[:250], "row long, ids binary")
+    counts = lmscore.id_counts(texts)
+    assert counts.sum() == 250 * 151 and counts[lmscore.END] == 250
+    held = [np.frombuffer(bytes(b), np.uint16) for _, b in rows[250:]]
+    unigram = sum(np.log((counts[np.append(x, lmscore.END)] + 0.5) / (counts.sum() + 0.5 * lmscore.VOCAB)).sum() for x in held)
+    for parts, fan in ((1, 256), (5, 2)):
+        lmscore.FAN, old = fan, lmscore.FAN
+        try:
+            model = lmscore.train_attention(texts, 1.0, 40_000, -(-40_000 // parts), 2)
+        finally:
+            lmscore.FAN = old
+        assert model.score(held).sum() > 0.6 * unigram
+    again = lmscore.train_attention(texts, 1.0, 40_000, 8000, 2)
+    assert np.array_equal(again.score(held), lmscore.train_attention(texts, 1.0, 40_000, 8000, 2).score(held))
+
+
+def test_sample_follows_the_text():
+    small, large = (min(n, lmscore.FLOOR + lmscore.SHARE * n) for n in (10**8, 10**10))
+    assert large > 50 * small
+
+
+def test_subword_ids_hold_the_word():
+    import base64
+
+    enc = lmscore.encoder(lmscore.TOKENIZER)
+    with open(lmscore.TOKENIZER, "rb") as f:
+        pieces = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    for word in ("the", "was?!12", "naïve", "日本語", "a" * 5000, "<|endoftext|>", "\u00a0x"):
+        assert b"".join(pieces[i] for i in lmscore.subword_ids(word.encode(), enc)) == b" " + word.encode()
 
 
 def test_secrets(spark):
