@@ -1,262 +1,176 @@
-"""Estimators that have no relational form: one grouped function for all keys.
+"""Grouped models: forecasters, residuals, diagnostics and decompositions of every key at once.
 
-Each returns rows (keys, h, date, predicted, lower, upper, status, error); a key whose fit fails
+Each forecast gives rows (keys, h, date, predicted, lower, upper, status, error); a key whose fit fails
 gives one row that says so. Series are bounded by their key, and keys are dealt out by Spark.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-WEEK = pd.Timedelta(days=7)
-PERIOD = 52.1775
-#: Chi-square-free 95 % normal quantile.
-Z95 = 1.959963984540054
+from .estimators import WEEK, Estimator, additive, arima_errors, arima_fit, arimax, holt_winters, mean, naive, recurrent, seasonal_naive
+from .evaluate import origins, refit_origin
+from .series import with_position
+
+FORECAST = "h int, date date, predicted double, lower double, upper double, status string, error string"
+
+
+def key_fields(df: DataFrame, keys: Sequence[str]) -> tuple[list[str], str]:
+    """Names of the key columns in the frame's order, and their part of a schema."""
+    fields = [f for f in df.schema.fields if f.name in keys]
+    return [f.name for f in fields], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+
+def predicted(model: Callable[..., np.ndarray], y: np.ndarray, horizon: int, start, options: dict) -> np.ndarray:
+    """Estimators are told the date of the first value; any other function of (values, horizon) is a model too. Never below 0."""
+    out = model(y, horizon, start=start, **options) if isinstance(model, Estimator) else model(y, horizon, **options)
+    return np.clip(out, 0, None)
+
+
+def forecast_rows(head: dict, last: pd.Timestamp, out: np.ndarray | None, error: str | None = None) -> pd.DataFrame:
+    if out is None:
+        rows = {"h": [0], "date": [last.date()], "predicted": [None], "lower": [None], "upper": [None], "status": ["failed"], "error": [(error or "")[:200]]}
+    else:
+        h = np.arange(1, len(out) + 1)
+        rows = {"h": h, "date": [(last + WEEK * int(k)).date() for k in h], "predicted": out[:, 0], "lower": out[:, 1], "upper": out[:, 2], "status": "success", "error": None}
+    return pd.DataFrame(head | rows)
 
 
 def grouped_forecast(df: DataFrame, keys: Sequence[str], t: str, value: str, forecast: Callable[..., np.ndarray], horizon: int, **options) -> DataFrame:
     """``forecast(values, horizon, **options)`` gives an array (horizon, 3): point, lower, upper. Any such function is a model."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
+    names, kinds = key_fields(df, keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(t)
-        last = pd.Timestamp(pdf[t].iloc[-1])
-        head = {k: pdf[k].iloc[0] for k in keys}
+        head, last = {k: pdf[k].iloc[0] for k in names}, pd.Timestamp(pdf[t].iloc[-1])
         try:
-            out = np.clip(forecast(pdf[value].to_numpy(float), horizon, **options), 0, None)
-            rows = {"h": np.arange(1, horizon + 1), "date": [(last + WEEK * h).date() for h in range(1, horizon + 1)], "predicted": out[:, 0], "lower": out[:, 1], "upper": out[:, 2], "status": "success", "error": None}
+            return forecast_rows(head, last, predicted(forecast, pdf[value].to_numpy(float), horizon, pd.Timestamp(pdf[t].iloc[0]), options))
         except Exception as e:  # one key's failure is a row of the result
-            rows = {"h": [0], "date": [last.date()], "predicted": [None], "lower": [None], "upper": [None], "status": ["failed"], "error": [str(e)[:200]]}
-        return pd.DataFrame(head | rows)[[*keys, "h", "date", "predicted", "lower", "upper", "status", "error"]]
-
-    ordered = ", ".join(k for k in [kinds] if k)
-    schema = f"{ordered}, h int, date date, predicted double, lower double, upper double, status string, error string"
-    names = [f.name for f in df.schema.fields if f.name in keys]
-    return df.select(*names, t, value).groupBy(*names).applyInPandas(lambda p: run(p)[[*names, "h", "date", "predicted", "lower", "upper", "status", "error"]], schema)
-
-
-def banded(point: np.ndarray, sigma: np.ndarray | float) -> np.ndarray:
-    return np.stack([point, point - Z95 * sigma, point + Z95 * sigma], 1)
-
-
-def naive(y: np.ndarray, horizon: int) -> np.ndarray:
-    if not len(y):
-        raise ValueError("empty series")
-    return banded(np.repeat(y[-1], horizon), np.std(np.diff(y)) * np.sqrt(np.arange(1, horizon + 1)) if len(y) > 1 else 0.0)
-
-
-def seasonal_naive(y: np.ndarray, horizon: int, season: int = 52) -> np.ndarray:
-    """The last season repeated; series shorter than a season repeat whole."""
-    if not len(y):
-        raise ValueError("empty series")
-    s = min(season, len(y))
-    return banded(y[len(y) - s + np.arange(horizon) % s], float(np.std(y)))
-
-
-def holt_winters(y: np.ndarray, horizon: int, season: int = 52, least: int = 104) -> np.ndarray:
-    """Additive trend (damped) and season; smoothing weights by coordinate search on one-step errors. Short series: the season before."""
-    if len(y) < least:
-        if not len(y):
-            raise ValueError("empty series")
-        s = min(season, len(y))
-        return banded(np.array([y[-s + h % s] for h in range(horizon)]), float(np.std(y)))
-
-    def run(p: np.ndarray) -> tuple[float, float, float, np.ndarray]:
-        a, b, g, d = p
-        level, trend = float(y[:season].mean()), float((y[season:2 * season].mean() - y[:season].mean()) / season)
-        cyc, sse = (y[:season] - level).astype(float).copy(), 0.0
-        for i in range(season, len(y)):
-            k = i % season
-            e = y[i] - (level + d * trend + cyc[k])
-            sse += e * e
-            level, trend = level + d * trend + a * e, d * trend + a * b * e
-            cyc[k] += g * (1 - a) * e
-        return sse, level, trend, cyc
-
-    best = np.array([0.3, 0.1, 0.1, 0.95])
-    score = run(best)[0]
-    for width in (0.2, 0.1, 0.05):
-        for j in range(4):
-            for step in (-width, width):
-                trial = best.copy()
-                trial[j] = np.clip(trial[j] + step, 0.01, 0.98)
-                if (s := run(trial)[0]) < score:
-                    best, score = trial, s
-    sse, level, trend, cyc = run(best)
-    damp = np.cumsum(best[3] ** np.arange(1, horizon + 1))
-    point = level + damp * trend + cyc[(len(y) + np.arange(horizon)) % season]
-    sigma = np.sqrt(sse / max(1, len(y) - season)) * np.sqrt(1 + np.arange(horizon) * best[0] ** 2)
-    return banded(point, sigma)
-
-
-def fourier_terms(at: np.ndarray, pairs: int, period: float = PERIOD) -> np.ndarray:
-    k = np.arange(1, pairs + 1)
-    angle = 2 * np.pi * at[:, None] * k[None, :] / period
-    return np.concatenate([np.sin(angle), np.cos(angle)], 1)
-
-
-def arma_fit(x: np.ndarray, p: int, q: int, rounds: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """AR and MA coefficients by Hannan-Rissanen regressions, and one-step errors."""
-    n = len(x)
-    m = min(max(p + q + 4, int(np.log(max(n, 3)) * 2)), max(1, n // 4))
-    e = np.zeros(n)
-    long_ = np.stack([x[m - i - 1:n - i - 1] for i in range(m)], 1)
-    e[m:] = x[m:] - long_ @ np.linalg.lstsq(long_, x[m:], rcond=None)[0]
-    ar, ma = np.zeros(p), np.zeros(q)
-    lead = max(p, q, 1)
-    for _ in range(rounds):
-        cols = [x[lead - i - 1:n - i - 1] for i in range(p)] + [e[lead - i - 1:n - i - 1] for i in range(q)]
-        if not cols:
-            return ar, ma, x.copy()
-        coef = np.linalg.lstsq(np.stack(cols, 1), x[lead:], rcond=None)[0]
-        ar, ma = np.clip(coef[:p], -0.98, 0.98), np.clip(coef[p:], -0.98, 0.98)
-        e = arma_errors(x, ar, ma)
-    return ar, ma, e
-
-
-def arma_errors(x: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    e = np.zeros(len(x))
-    for i in range(len(x)):
-        s = x[i]
-        for k in range(min(len(ar), i)):
-            s -= ar[k] * x[i - k - 1]
-        for k in range(min(len(ma), i)):
-            s -= ma[k] * e[i - k - 1]
-        e[i] = s
-    return e
-
-
-def arimax(y: np.ndarray, horizon: int, order: tuple[int, int, int] | None = (1, 1, 1), pairs: int = 6, residuals: bool = False) -> np.ndarray:
-    """Regression on Fourier terms with ARIMA errors; ``order`` None chooses p, q <= 3 by AICc and d by the spread of differences."""
-    n = len(y)
-    if n < 10:
-        raise ValueError("at least 10 values are needed")
-    pairs = min(pairs, max(0, (n - 4) // 6))
-    x = fourier_terms(np.arange(n + horizon), pairs) if pairs else np.zeros((n + horizon, 0))
-    d = order[1] if order else int(np.std(np.diff(y)) < np.std(y))
-    dy, dx = np.diff(y, d), np.diff(x[:n], d, axis=0)
-    design = np.concatenate([dx, np.ones((len(dy), 1))], 1) if d == 0 else dx
-    beta = np.linalg.lstsq(design, dy, rcond=None)[0] if design.shape[1] else np.zeros(0)
-    z = dy - design @ beta if design.shape[1] else dy
-    tries = [(order[0], order[2])] if order else [(p, q) for p in range(4) for q in range(4)]
-    best = None
-    for p, q in tries:
-        ar, ma, e = arma_fit(z, p, q)
-        k = p + q + len(beta) + 1
-        aicc = len(z) * np.log(max(np.mean(e**2), 1e-12)) + 2 * k + 2 * k * (k + 1) / max(1, len(z) - k - 1)
-        if best is None or aicc < best[0]:
-            best = (aicc, ar, ma, e)
-    _, ar, ma, e = best
-    if residuals:
-        return np.concatenate([np.full(d, np.nan), e])
-    zs, es = list(z), list(e)
-    for _ in range(horizon):
-        zs.append(sum(a * zs[-k - 1] for k, a in enumerate(ar)) + sum(m * es[-k - 1] for k, m in enumerate(ma)))
-        es.append(0.0)
-    ahead = np.array(zs[len(z):])
-    if len(beta):
-        full = np.diff(x, d, axis=0)[-horizon:]
-        ahead = ahead + (np.concatenate([full, np.ones((horizon, 1))], 1) if d == 0 else full) @ beta
-    tail = [np.diff(y, j)[-1] for j in range(d)]
-    for j in reversed(range(d)):
-        ahead = tail[j] + np.cumsum(ahead)
-    # Weights of past errors in the forecast give its spread.
-    psi = [1.0]
-    for j in range(1, horizon):
-        psi.append(sum(a * psi[j - k - 1] for k, a in enumerate(ar) if j - k - 1 >= 0) + (ma[j - 1] if j <= len(ma) else 0.0))
-    psi = np.array(psi)
-    for _ in range(d):
-        psi = np.cumsum(psi)
-    return banded(ahead, np.std(e) * np.sqrt(np.cumsum(psi**2)))
-
-
-def easter(year: int) -> pd.Timestamp:
-    """Easter Sunday of the Gregorian calendar."""
-    a, b, c = year % 19, year // 100, year % 100
-    h = (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30
-    k = (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7
-    m = (a + 11 * h + 22 * k) // 451
-    month, d = divmod(h + k - 7 * m + 114, 31)
-    return pd.Timestamp(year, month, d + 1)
-
-
-def additive(y: np.ndarray, horizon: int, changes: int = 25, pairs: int = 10, change_scale: float = 0.05, season_scale: float = 10.0) -> np.ndarray:
-    """Piecewise linear trend with shrunken slope changes plus yearly Fourier terms, by ridge regression."""
-    n = len(y)
-    if n < 10:
-        raise ValueError("at least 10 values are needed")
-    scale = max(float(np.abs(y).max()), 1e-9)
-    t = np.arange(n + horizon) / n
-    knots = np.linspace(0, 0.8, changes + 2)[1:-1]
-    x = np.concatenate([np.ones((n + horizon, 1)), t[:, None], np.maximum(0, t[:, None] - knots[None, :]), fourier_terms(np.arange(n + horizon), pairs)], 1)
-    prior = np.concatenate([[1e-6, 1e-6], np.full(changes, 0.01 / change_scale**2), np.full(2 * pairs, 0.01 / season_scale**2)])
-    a = x[:n]
-    beta = np.linalg.solve(a.T @ a + np.diag(prior), a.T @ (y / scale))
-    fit = x @ beta * scale
-    return banded(fit[n:], np.std(y - fit[:n]) * np.sqrt(1 + np.arange(horizon) / n))
-
-
-def recurrent(y: np.ndarray, horizon: int, cell: str = "gru", back: int = 52, block: int = 4, smooth: int = 3, units: int = 12, epochs: int = 30, val: int = 26, patience: int = 8) -> np.ndarray:
-    """A small recurrent net with fixed random gates and a trained read-out over (value, sine, cosine) of the last ``back`` weeks.
-
-    The read-out is ridge regression whose strength the last ``val`` windows choose; forecasts come in blocks of ``block``.
+            return forecast_rows(head, last, None, str(e))
+
+    return df.select(*names, t, value).groupBy(*names).applyInPandas(run, f"{kinds}, {FORECAST}")
+
+
+def fitted(df: DataFrame, keys: Sequence[str], t: str, value: str, model: str, overrides: dict[str, dict] | None = None, **options) -> DataFrame:
+    """(keys, model, n, first_date, last_date, parameters, error): what a model learnt of every key, as JSON that ``sinks.write`` keeps.
+
+    ``overrides`` holds options for some keys, by their names in upper case joined by a bar; the caller's own options come last.
     """
-    n = len(y)
-    if n < back + block + val:
-        raise ValueError(f"at least {back + block + val} values are needed")
-    s = np.array([y[max(0, i - smooth + 1):i + 1].mean() for i in range(n)])
-    lo, hi = s.min(), s.max()
-    z = (s - lo) / max(hi - lo, 1e-9)
-    angle = 2 * np.pi * np.arange(n + horizon + block) / 52.0
-    rng = np.random.default_rng(42)
-    gates = 4 if cell == "lstm" else 3
-    wx, wh = rng.normal(0, 0.7, (3, gates, units)), rng.normal(0, 0.4, (units, gates, units))
-    sig = lambda v: 1 / (1 + np.exp(-v))
-
-    def state(x: np.ndarray) -> np.ndarray:
-        h, c = np.zeros((len(x), units)), np.zeros((len(x), units))
-        for i in range(x.shape[1]):
-            u = np.einsum("bi,igu->bgu", x[:, i], wx)
-            r = np.einsum("bh,hgu->bgu", h, wh)
-            if cell == "lstm":
-                a = u + r
-                c = sig(a[:, 0] + 1) * c + sig(a[:, 1]) * np.tanh(a[:, 2])
-                h = sig(a[:, 3]) * np.tanh(c)
-            else:
-                k = sig(u[:, 0] + r[:, 0])
-                h = (1 - k) * h + k * np.tanh(u[:, 2] + sig(u[:, 1] + r[:, 1]) * r[:, 2])
-        return np.concatenate([h, x[:, -8:, 0], x[:, -1, 1:], np.ones((len(x), 1))], 1)
-
-    def inputs(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        at = ends[:, None] + np.arange(-back, 0)[None, :]
-        return np.stack([values[at], np.sin(angle[at]), np.cos(angle[at])], -1)
-
-    ends = np.arange(back, n - block + 1)
-    a, b = state(inputs(z, ends)), np.stack([z[e:e + block] for e in ends])
-    best = None
-    for ridge in (1e-3, 1e-2, 1e-1, 1.0, 10.0):
-        w = np.linalg.solve(a[:-val].T @ a[:-val] + ridge * np.eye(a.shape[1]), a[:-val].T @ b[:-val])
-        loss = np.abs(a[-val:] @ w - b[-val:]).mean()
-        if best is None or loss < best[0]:
-            best = (loss, ridge)
-    w = np.linalg.solve(a.T @ a + best[1] * np.eye(a.shape[1]), a.T @ b)
-    out = z.copy()
-    while len(out) < n + horizon:
-        out = np.append(out, np.clip(state(inputs(out, np.array([len(out)]))) @ w, -0.5, 1.5)[0])
-    spread = np.std(a @ w - b) * (hi - lo)
-    return banded(out[n:n + horizon] * (hi - lo) + lo, spread)
-
-
-def model_of(name: str) -> tuple[Callable[..., np.ndarray], dict]:
-    """A grouped model by its name, whatever its case, blanks, dashes or underscores."""
+    est, base = model_of(model)
+    names, kinds = key_fields(df, keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(t)
+        own = settings(base, overrides or {}, "|".join(str(pdf[k].iloc[0]) for k in names), **options)
+        try:
+            made, error = json.dumps(est.fit(pdf[value].to_numpy(float), 0, pd.Timestamp(pdf[t].iloc[0]), **own), default=plain), None
+        except Exception as e:
+            made, error = None, str(e)[:200]
+        return pd.DataFrame([{k: pdf[k].iloc[0] for k in names} | {"model": model, "n": len(pdf), "first_date": pdf[t].iloc[0], "last_date": pdf[t].iloc[-1], "parameters": made, "error": error}])
+
+    return df.select(*names, F.col(t).cast("date").alias(t), value).groupBy(*names).applyInPandas(run, f"{kinds}, model string, n long, first_date date, last_date date, parameters string, error string")
+
+
+def plain(v):
+    return v.tolist() if isinstance(v, np.ndarray) else v.item()
+
+
+def from_fitted(saved: DataFrame, df: DataFrame, keys: Sequence[str], t: str, value: str, horizon: int, level: float = 0.95) -> DataFrame:
+    """Forecasts after the series of ``df`` by parameters that ``fitted`` made, perhaps of a shorter past; keys without parameters fail."""
+    names, kinds = key_fields(df, keys)
+
+    def run(of: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=[*names, "h", "date", "predicted", "lower", "upper", "status", "error"])
+        pdf = pdf.sort_values(t)
+        head, last = {k: pdf[k].iloc[0] for k in names}, pd.Timestamp(pdf[t].iloc[-1])
+        try:
+            if not len(of) or of["parameters"].iloc[0] is None:
+                raise ValueError("no fitted parameters")
+            start = pd.Timestamp(pdf[t].iloc[0])
+            first = (start - pd.Timestamp(of["first_date"].iloc[0])).days // 7
+            est, p = model_of(of["model"].iloc[0])[0], json.loads(of["parameters"].iloc[0])
+            return forecast_rows(head, last, np.clip(est.ahead(p, pdf[value].to_numpy(float), horizon, first, start, level), 0, None))
+        except Exception as e:
+            return forecast_rows(head, last, None, str(e))
+
+    return saved.groupBy(*names).cogroup(df.select(*names, t, value).groupBy(*names)).applyInPandas(run, f"{kinds}, {FORECAST}")
+
+
+def walkforward(df: DataFrame, keys: Sequence[str], t: str, value: str, model: str | Callable[..., np.ndarray], train: int | str, horizon: int = 4, step: int = 4,
+                refit_every: int = 1, window: str = "expanding", level: float = 0.95, **options) -> DataFrame:
+    """(keys, te, fit, h, date, actual, predicted, lower, upper, status, error): a model judged at every rolling origin.
+
+    The origin ``te`` knows the first te rows (``sliding``: the last ``train`` of them). The model is fitted at the first origin and at every
+    ``refit_every``-th after it, 0 only once; between, its parameters meet the newer rows. Every fit is a group of its own, so the
+    fits of one key run side by side; a fit that fails gives rows without predictions for all its origins.
+    """
+    if window not in ("expanding", "sliding"):
+        raise ValueError("window must be expanding or sliding")
+    if window == "sliding" and not isinstance(train, int):
+        raise ValueError("a sliding window needs a number of rows")
+    if refit_every < 0:
+        raise ValueError("refit_every must not be negative")
+    est, base = model_of(model) if isinstance(model, str) else (model, {})
+    names, kinds = key_fields(df, keys)
+    numbered = with_position(df.select(*names, F.col(t).cast("date").alias("date"), F.col(value).cast("double").alias("v")), names, "date")
+    points = origins(numbered, names, "date", train, horizon, step)
+    at = points.where("h = 1").select(*names, "te")
+    first = at.groupBy(*names).agg(F.min("te").alias("__first"))
+    fits = (at.join(first, names).withColumn("fit", refit_origin(F.col("te"), F.col("__first"), step, refit_every).cast("int"))
+            .groupBy(*names, "fit").agg(F.sort_array(F.collect_list("te")).alias("tes"), F.max("te").alias("__last")))
+    low = F.col("fit") - train if window == "sliding" else F.lit(0)
+    rows = numbered.join(fits, names).where((F.col("i") <= F.col("__last")) & (F.col("i") > low)).select(*names, "fit", "tes", "i", "date", "v")
+    span = train if window == "sliding" else None
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        i, y, fit = pdf["i"].to_numpy(), pdf["v"].to_numpy(float), int(pdf["fit"].iloc[0])
+        begin = pd.Timestamp(pdf["date"].iloc[0])
+
+        def past(te: int) -> tuple[np.ndarray, int, pd.Timestamp]:
+            lo = max(int(i[0]), te - span + 1) if span else int(i[0])
+            return y[lo - int(i[0]):te - int(i[0]) + 1], lo - 1, begin + WEEK * (lo - int(i[0]))
+
+        out, p, error = [], None, None
+        if isinstance(est, Estimator):
+            try:
+                p = est.fit(*past(fit), **(base | options))
+            except Exception as e:
+                error = str(e)
+        for te in pdf["tes"].iloc[0]:
+            got, why = None, error
+            if why is None:
+                try:
+                    got = est.ahead(p, *(lambda v, f, s: (v, horizon, f, s))(*past(int(te))), level) if isinstance(est, Estimator) else est(past(int(te))[0], horizon, **options)
+                except Exception as e:
+                    why = str(e)
+            got = np.full((horizon, 3), np.nan) if got is None else np.clip(got, 0, None)
+            out += [(int(te), fit, h + 1, *(None if np.isnan(x) else float(x) for x in got[h]), "success" if why is None else "failed", why and why[:200]) for h in range(horizon)]
+        made = pd.DataFrame(out, columns=["te", "fit", "h", "predicted", "lower", "upper", "status", "error"])
+        for k in names:
+            made[k] = pdf[k].iloc[0]
+        return made[[*names, "te", "fit", "h", "predicted", "lower", "upper", "status", "error"]]
+
+    ahead = rows.groupBy(*names, "fit").applyInPandas(run, f"{kinds}, te int, fit int, h int, predicted double, lower double, upper double, status string, error string")
+    actual = numbered.select(*names, "i", "date", F.col("v").alias("actual"))
+    known = points.join(ahead, [*names, "te", "h"]).withColumn("i", F.col("te") + F.col("h")).join(actual, [*names, "i"])
+    return known.select(*names, "te", "fit", "h", "date", "actual", "predicted", "lower", "upper", "status", "error")
+
+
+def model_of(name: str) -> tuple[Estimator, dict]:
+    """A grouped model by its name, whatever its case, blanks, dashes or underscores. Trees are one model of all keys: see ``trees``."""
     key = name.lower().replace("_", "").replace("-", "").replace(" ", "")
     known = {
-        "naive": (naive, {}), "seasonalnaive": (seasonal_naive, {}),
+        "naive": (naive, {}), "seasonalnaive": (seasonal_naive, {}), "mean": (mean, {}),
         "holtwinters": (holt_winters, {}), "sarima": (arimax, {}), "arimax": (arimax, {}), "autosarima": (arimax, {"order": None}),
+        "seasonalarima": (arimax, {"order": (1, 1, 1), "seasonal": (1, 1, 1), "pairs": 0}),
         "prophet": (additive, {}), "additive": (additive, {}), "lstm": (recurrent, {"cell": "lstm"}), "gru": (recurrent, {"cell": "gru"}),
     }
     if key not in known:
@@ -271,18 +185,17 @@ def settings(defaults: dict, overrides: dict[str, dict], key: str, **given) -> d
 
 def residuals(df: DataFrame, keys: Sequence[str], t: str, value: str, order: tuple[int, int, int] = (1, 1, 1), least: int = 10) -> DataFrame:
     """(keys, t, value, residual) of an ARIMA model of each key; keys that are short or fail have null residuals, as have the first d rows."""
-    names = [f.name for f in df.schema.fields if f.name in keys]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in (*keys, t))
-    cols = [f.name for f in df.schema.fields if f.name in (*keys, t)]
+    names, _ = key_fields(df, keys)
+    cols, kinds = key_fields(df, [*keys, t])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(t)
         y = pdf[value].to_numpy(float)
         try:
-            res = arimax(y, 1, order, pairs=0, residuals=True) if len(y) >= least and np.isfinite(y).all() else np.full(len(y), np.nan)
+            res = arima_errors(arima_fit(y, order=order, pairs=0), y) if len(y) >= least and np.isfinite(y).all() else np.full(len(y), np.nan)
         except (np.linalg.LinAlgError, ValueError):
             res = np.full(len(y), np.nan)
-        return pdf.assign(residual=pd.array(np.where(np.isfinite(res), res, 0), dtype="Float64").copy() if np.isfinite(res).all() else [None if not np.isfinite(r) else float(r) for r in res])[[*cols, value, "residual"]]
+        return pdf.assign(residual=pd.array([None if not np.isfinite(r) else float(r) for r in res], dtype="Float64"))[[*cols, value, "residual"]]
 
     return df.select(*cols, value).groupBy(*names).applyInPandas(run, f"{kinds}, `{value}` double, residual double")
 
@@ -305,16 +218,16 @@ DIAGNOSTICS = ("n", "aic", "bic", "rmse", "mean", "std", "least", "most", "adf")
 
 def diagnosed(df: DataFrame, keys: Sequence[str], t: str, value: str, order: tuple[int, int, int] = (1, 1, 1), pairs: int = 6) -> DataFrame:
     """Residual diagnostics of each key's model: information criteria, spread, unit root statistic; null where it cannot be fitted."""
-    names = [f.name for f in df.schema.fields if f.name in keys]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
+    names, kinds = key_fields(df, keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values(t)[value].to_numpy(float)
         out = dict.fromkeys(DIAGNOSTICS)
         try:
-            e = arimax(y, 1, order, pairs, residuals=True)
+            p = arima_fit(y, order=order, pairs=pairs)
+            e = arima_errors(p, y)
             e = e[np.isfinite(e)]
-            k, mse = order[0] + order[2] + 2 * min(pairs, max(0, (len(y) - 4) // 6)) + 1, float(np.mean(e**2))
+            k, mse = p["k"], float(np.mean(e**2))
             out = {"n": float(len(e)), "aic": len(e) * np.log(max(mse, 1e-12)) + 2 * k, "bic": len(e) * np.log(max(mse, 1e-12)) + k * np.log(len(e)), "rmse": mse**0.5,
                    "mean": e.mean(), "std": e.std(ddof=1), "least": e.min(), "most": e.max(), "adf": dickey_fuller(e)}
             out = {c: float(v) if np.isfinite(v) else None for c, v in out.items()}
@@ -379,9 +292,8 @@ def stl(y: np.ndarray, period: int, seasonal: int, inner: int = 2, outer: int =
 
 def decomposed(df: DataFrame, keys: Sequence[str], t: str, value: str, period: int | None = 52) -> DataFrame:
     """(keys, t, observed, trend, seasonal, remainder) of each series; series under two periods have none. ``period`` None adapts to the length."""
-    names = [f.name for f in df.schema.fields if f.name in keys]
-    cols = [f.name for f in df.schema.fields if f.name in (*keys, t)]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in (*keys, t))
+    names, _ = key_fields(df, keys)
+    cols, kinds = key_fields(df, [*keys, t])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(t)

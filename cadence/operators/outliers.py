@@ -7,26 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 FENCE, SIGMAS, LEAST = 1.5, 2.5, 10
 
 
 def fences(df: DataFrame, value: str, by: Sequence[str] = (), k: float = FENCE) -> DataFrame:
     """Lower and upper bound of each group from its exact quartiles, linearly interpolated."""
-    q = df.groupBy(*by).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
+    q = quantiles(df, value, {"q1": 0.25, "q3": 0.75}, by)
     return q.withColumns({"lower": F.col("q1") - k * (F.col("q3") - F.col("q1")), "upper": F.col("q3") + k * (F.col("q3") - F.col("q1"))})
 
 
 def beyond_fences(df: DataFrame, value: str, by: Sequence[str] = (), k: float = FENCE) -> DataFrame:
     """Rows strictly beyond the fences of their group, with the bounds."""
-    bounds = F.broadcast(fences(df, value, by, k))
-    joined = df.join(bounds, list(by)) if by else df.crossJoin(bounds)
+    bounds = fences(df, value, by, k)
+    joined = df.join(bounds, list(by)) if by else df.crossJoin(F.broadcast(bounds))  # one row
     return joined.where((F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper")))
 
 
 def severity(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Distance from the group's mean in sample deviations; null where those are 0."""
-    s = F.broadcast(df.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s")))
-    joined = df.join(s, list(by)) if by else df.crossJoin(s)
+    s = df.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
+    joined = df.join(s, list(by)) if by else df.crossJoin(F.broadcast(s))  # one row
     return joined.withColumn("severity", F.try_divide(F.abs(F.col(value) - F.col("__m")), F.nullif(F.col("__s"), F.lit(0.0)))).drop("__m", "__s")
 
 
@@ -46,6 +48,11 @@ def classified(a: DataFrame, b: DataFrame, keys: Sequence[str], names: tuple[str
     return both.withColumn("class", name).drop("__a", "__b")
 
 
+def summary(found: DataFrame) -> DataFrame:
+    """(measure, n, mean_severity, worst) of what ``report`` found."""
+    return found.groupBy("measure").agg(F.count("*").alias("n"), F.avg("severity").alias("mean_severity"), F.max("severity").alias("worst"))
+
+
 def common(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return a.select(*keys).intersect(b.select(*keys))
 

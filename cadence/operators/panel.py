@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import number, padded, rate, stripped
 from ..sources.readers import COUNTS
+from .quantiles import quantiles
 
 MEASURES = ("cases_rate_men5", "cases_rate_60mas", "hosp_rate_men5", "hosp_rate_60mas", "death_rate_men5", "death_rate_60mas")
 START_YEAR, START_OLDER, TOP_K = 2000, 2006, 3
@@ -72,11 +73,13 @@ def monthly(cases: DataFrame, population: DataFrame, keys: Sequence[str] = (), v
 
 def month_profile(df: DataFrame, value: str = "incidence", digits: int = 3) -> DataFrame:
     v = F.col(value)
-    return df.groupBy("month").agg(*[F.bround(f(v), digits).alias(n) for n, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
+    rest = df.groupBy("month").agg(*[F.bround(f(v), digits).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
+    middle = quantiles(df, value, {"median": 0.5}, ["month"]).select("month", F.bround("median", digits).alias("median"))
+    return rest.join(middle, "month", "left").select("month", "mean", "median", "std", "min", "max")
 
 
 def month_quartiles(df: DataFrame, value: str = "incidence") -> DataFrame:
-    return df.groupBy("month").agg(*[F.percentile(value, q).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    return quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["month"])
 
 
 def mean_by(df: DataFrame, by: Sequence[str], value: str = "incidence") -> DataFrame:
@@ -122,10 +125,17 @@ def top_groups(df: DataFrame, value: str, n: int, key: str = "department") -> Da
     return df.join(F.broadcast(best), key, "left_semi")
 
 
+def top_of_each(df: DataFrame, measure: str, key: str, value: str, n: int) -> DataFrame:
+    """Rows of the ``n`` keys of highest mean within each measure, ties by name; the means are few, so only they are ranked."""
+    mean = df.where(F.col(value).isNotNull()).groupBy(measure, key).agg(F.avg(value).alias("__mean"))
+    place = F.row_number().over(Window.partitionBy(measure).orderBy(F.desc("__mean"), key))
+    return df.join(mean.withColumn("__place", place).where(F.col("__place") <= n).select(measure, key), [measure, key], "left_semi")
+
+
 def enough_rows(df: DataFrame, value: str, least: float = 10, rows: int = 10, key: str = "department") -> DataFrame:
     """Rows of at least ``least``, of the groups that keep at least ``rows`` of them."""
-    n = F.count("*").over(Window.partitionBy(key))
-    return df.where(F.col(value) >= least).withColumn("__n", n).where(F.col("__n") >= rows).drop("__n")
+    kept = df.where(F.col(value) >= least)
+    return kept.join(kept.groupBy(key).count().where(F.col("count") >= rows).select(key), key, "left_semi").select(*df.columns)
 
 
 def available_keys(df: DataFrame, least: int = 104, key: str = "department", week: str = "week_start") -> DataFrame:

@@ -33,12 +33,15 @@ def year_grid(df: DataFrame, keys: Sequence[str], first: int, last: int, year: s
     return grid.join(df, [*keys, year], "left")
 
 
-def date_grid(df: DataFrame, keys: Sequence[str], t: str, days: int = 7) -> DataFrame:
+def date_grid(df: DataFrame, keys: Sequence[str], t: str, days: int = 7, weekday: str | None = None) -> DataFrame:
     """Each series on dates ``days`` apart from its first to its last; rows off the grid are dropped.
 
+    With ``weekday`` ("MON") the grid starts at the first such day of the series, so a series kept on other days has no values on it.
     Dates that repeat in a series are kept as they are; aggregate first.
     """
     span = df.groupBy(*keys).agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
+    if weekday is not None:
+        span = span.withColumn("lo", F.next_day(F.date_sub("lo", 1), weekday)).where("lo <= hi")
     grid = span.select(*keys, F.explode(F.sequence("lo", "hi", F.expr(f"interval {int(days)} days"))).alias(t))
     return grid.join(df, [*keys, t], "left")
 
@@ -99,10 +102,12 @@ def smoothed(df: DataFrame, keys: Sequence[str], t: str, value: str, n: int = 3,
     return df.withColumn(out, F.avg(value).over(by_time(keys, t).rowsBetween(-(n - 1), 0)))
 
 
-def calendar(df: DataFrame, t: str, keys: Sequence[str] = ()) -> DataFrame:
-    """ISO week with its sine and cosine, month, quarter and the position from 0."""
+def calendar(df: DataFrame, t: str, keys: Sequence[str], period: float = WEEKS_PER_YEAR) -> DataFrame:
+    """ISO week with its sine and cosine over a year of ``period`` weeks, month, quarter and the position from 0."""
+    if not keys:
+        raise ValueError("keys are needed: positions of one series only would be numbered in one task")
     week = F.weekofyear(t)
-    return df.withColumns({"week_of_year": week, "sin_week": F.sin(week_angle(week)), "cos_week": F.cos(week_angle(week)),
+    return df.withColumns({"week_of_year": week, "sin_week": F.sin(week_angle(week, period)), "cos_week": F.cos(week_angle(week, period)),
                            "month": F.month(t), "quarter": F.quarter(t), "trend": F.row_number().over(by_time(keys, t)) - 1})
 
 
@@ -141,8 +146,11 @@ def fourier(df: DataFrame, position: str = "i", pairs: int = 6, period: float =
 
 def standardized(df: DataFrame, columns: Sequence[str], train: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Columns less their training mean over their training population deviation, by key; a deviation of 0 counts as 1."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"columns not in the frame: {', '.join(missing)}")
     stats = df.where(train).groupBy(*keys).agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    joined = df.join(F.broadcast(stats), list(keys)) if keys else df.crossJoin(F.broadcast(stats))
+    joined = df.join(stats, list(keys)) if keys else df.crossJoin(F.broadcast(stats))
     scale = {c: (F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") > 0, F.col(f"__s_{c}")).otherwise(1.0) for c in columns}
     return joined.withColumns(scale).drop(*[f"__{n}_{c}" for c in columns for n in "ms"])
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rate, tidy
+from ..functions.scratch import shared_dir
 from ..operators import evaluate, models, outliers, panel, series, training, trees
-from ..sources import sinks
+from ..sources import readers, sinks
 from ..sources.readers import COUNTS
 from ..streaming.weekly import weekly_counts
 from . import inputs as I
@@ -225,6 +227,17 @@ def week_grid(spark, d):
     return series.date_grid(I.weekly(spark, d), DEPT, "week_start")
 
 
+MONDAYS = f"""{I.RAW}, {I.WEEKLY}, moved AS (SELECT department, CAST(week_start + CAST(CASE WHEN department < 'NATION_2' THEN 0 ELSE 2 END AS INTEGER) AS DATE) AS week_start, cases FROM weekly),
+mgrid AS (SELECT department, CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS week_start FROM (SELECT department, CAST(min(week_start) + CAST((8 - isodow(min(week_start))) % 7 AS INTEGER) AS DATE) AS lo, max(week_start) AS hi FROM moved GROUP BY 1) WHERE lo <= hi)"""
+
+
+@query(I.sql(MONDAYS, "SELECT g.department, g.week_start, m.cases FROM mgrid g LEFT JOIN moved m USING (department, week_start)"))
+def monday_grid(spark, d):
+    """Some departments report on Mondays, the others on Wednesdays: those have a grid without values."""
+    moved = I.weekly(spark, d).withColumn("week_start", F.expr("date_add(week_start, CASE WHEN department < 'NATION_2' THEN 0 ELSE 2 END)"))
+    return series.date_grid(moved, DEPT, "week_start", weekday="MON").select("department", "week_start", "cases")
+
+
 @query(I.sql(I.CLEAN, f"SELECT department, week_start, {r('cases', 'cases')} FROM clean"))
 def week_interpolated(spark, d):
     return rounded(I.clean(spark, d), "cases")
@@ -386,6 +399,30 @@ def outlier_sets(spark, d):
     return longs(outliers.classified(a, b, ["department", "year", "month"]), "year", "month")
 
 
+RATED = f"{RATES}, tops AS (SELECT measure, department FROM (SELECT measure, department, row_number() OVER (PARTITION BY measure ORDER BY avg(value) DESC, department) AS place FROM tall WHERE value IS NOT NULL GROUP BY 1, 2) WHERE place <= 3)"
+
+
+@query(I.sql(RATED, "SELECT measure, department, year, value FROM tall JOIN tops USING (measure, department)"))
+def regional_workflow(spark, d):
+    """The years of the three departments of highest mean rate, for all six measures in one plan."""
+    return longs(panel.top_of_each(tall_rates(spark, d), "measure", "department", "value", 3).select("measure", "department", "year", "value"), "year")
+
+
+OUTLYING = f"""{RATES}, stat AS (SELECT measure, avg(value) AS m, stddev_samp(value) AS s, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM tall WHERE value IS NOT NULL GROUP BY 1),
+outlying AS (SELECT department, year, measure, value, abs(value - m) / nullif(s, 0) AS severity FROM tall JOIN stat USING (measure) WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1))"""
+
+
+@query(I.sql(OUTLYING, f"SELECT department, year, measure, {r('value', 'value')}, {r('severity', 'severity')} FROM outlying"))
+def outlier_report(spark, d):
+    found = outliers.report(annual_rates(spark, d), ["department", "year"], [f"{c}_rate" for c in COUNTS])
+    return rounded(longs(found.select("department", "year", "measure", "value", "severity"), "year"), "value", "severity")
+
+
+@query(I.sql(OUTLYING, f"SELECT measure, count(*) AS n, {r('avg(severity)', 'mean_severity')}, {r('max(severity)', 'worst')} FROM outlying GROUP BY 1"))
+def outlier_summary(spark, d):
+    return rounded(outliers.summary(outlier_report(spark, d)), "mean_severity", "worst")
+
+
 # --- backtests -------------------------------------------------------------------------
 
 def points_sql(train: int, horizon: int, step: int, source: str) -> str:
@@ -435,6 +472,67 @@ def mean_backtest_sliding(spark, d):
     return points_out(evaluate.backtest(I.clean(spark, d), DEPT, "week_start", "cases", 52, 4, 4, "mean", window="sliding"))
 
 
+def walked(spark, d, model: str, train: int, step: int, **options) -> DataFrame:
+    return models.walkforward(I.clean(spark, d), DEPT, "week_start", "cases", model, train, 4, step, **options)
+
+
+def walk_sql(ctes: str, predicted: str = "predicted", fit: str = "te") -> str:
+    return I.sql(ctes, f"SELECT pts.department, te, {fit} AS fit, h, date, {r('actual', 'actual')}, {r(predicted, 'predicted')}, status FROM (SELECT *, 'success' AS status, min(te) OVER (PARTITION BY department) AS first FROM pts) pts")
+
+
+def walk_out(df: DataFrame) -> DataFrame:
+    return points_out(df.drop("lower", "upper", "error").withColumn("fit", F.col("fit").cast("long")))
+
+
+@query(walk_sql(NAIVE, fit="first + (te - first) // 12 * 12"))
+def walkforward_naive(spark, d):
+    """The grouped walk-forward with a refit at every third origin; a naive forecast does not depend on the fit."""
+    return walk_out(walked(spark, d, "naive", 52, 4, refit_every=3))
+
+
+@query(walk_sql(SEASONAL, fit="first"))
+def walkforward_seasonal_naive(spark, d):
+    return walk_out(walked(spark, d, "seasonal_naive", 104, 13, refit_every=0))
+
+
+@query(I.sql(f"{points_sql(52, 4, 4, 'te')}, means AS (SELECT department, i, avg(cases) OVER (PARTITION BY department ORDER BY i ROWS BETWEEN 51 PRECEDING AND CURRENT ROW) AS m FROM clean)", f"SELECT pts.department, te, te AS fit, h, date, {r('actual', 'actual')}, {r('m', 'predicted')}, 'success' AS status FROM pts JOIN means ON means.department = pts.department AND means.i = te"))
+def walkforward_mean_sliding(spark, d):
+    return walk_out(walked(spark, d, "mean", 52, 4, window="sliding"))
+
+
+#: Walk-forward of an autoregression of differences, fitted once at the first origin: its coefficient is a ratio of sums.
+WALKED_AR = f"""{points_sql(104, 1, 13, 'te')}, diffs AS (SELECT department, i, cases - lag(cases) {OVER}) AS x FROM clean), pairs AS (SELECT department, i, x, lag(x) OVER (PARTITION BY department ORDER BY i) AS b FROM diffs),
+phi AS (SELECT department, least(0.98, greatest(-0.98, sum(x * b) / sum(b * b))) AS phi FROM pairs WHERE i <= 104 AND b IS NOT NULL GROUP BY 1)"""
+
+
+@query(I.sql(WALKED_AR, f"SELECT pts.department, te, CAST(104 AS BIGINT) AS fit, h, date, {r('actual', 'actual')}, {r('greatest(0, predicted + phi * x)', 'predicted')}, 'success' AS status FROM pts JOIN phi USING (department) JOIN diffs ON diffs.department = pts.department AND diffs.i = te"))
+def walkforward_ar(spark, d):
+    return walk_out(models.walkforward(I.clean(spark, d), DEPT, "week_start", "cases", "arimax", 104, 1, 13, refit_every=0, order=(1, 1, 0), pairs=0))
+
+
+SHAPE = "SELECT department, h, count(*) AS n, CAST(0 AS BIGINT) AS failed, TRUE AS ordered, TRUE AS in_range FROM pts GROUP BY 1, 2"
+
+
+def shape(df: DataFrame) -> DataFrame:
+    """Rows of each horizon, failures, whether intervals hold their point, and whether it lies within ten times the greatest actual."""
+    near = (F.col("lower") <= F.col("predicted")) & (F.col("predicted") <= F.col("upper"))
+    top = df.groupBy("department").agg((F.max("actual") * 10).alias("top"))
+    return longs(df.join(top, "department").groupBy("department", "h").agg(F.count("*").alias("n"), F.count_if(F.col("status") != "success").alias("failed"), F.min(near).alias("ordered"),
+                                                                         F.min(F.col("predicted").between(0, F.col("top"))).alias("in_range")), "h")
+
+
+def walk_shape(name: str, model: str, step: int, **options) -> None:
+    def run(spark, d):
+        return shape(walked(spark, d, model, 130, step, **options))
+
+    _queries[name] = run
+    _sql[name] = I.sql(points_sql(130, 4, step, "te"), SHAPE)
+
+
+for _name, _model, _step, _refit in (("walkforward_arima", "sarima", 13, 2), ("walkforward_auto_arima", "autosarima", 52, 1), ("walkforward_seasonal_arima", "seasonal_arima", 52, 0), ("walkforward_holt_winters", "holt_winters", 26, 2), ("walkforward_additive", "prophet", 13, 1)):
+    walk_shape(_name, _model, _step, refit_every=_refit)
+
+
 @query(I.sql(NAIVE, score_sql("department, h", "pts")))
 def metrics_by_horizon(spark, d):
     return rounded(longs(evaluate.by_horizon(naive_points(spark, d), DEPT), "h"), *MET)
@@ -533,6 +631,201 @@ for _name, _model in (("holt_winters", "holt_winters"), ("arimax", "sarima"), ("
     model_query(_name, _model)
 
 
+def degenerate(spark, d) -> DataFrame:
+    """Series of one value: the number of the department's weeks, or of its first letters for the trees' sake one of two."""
+    c = I.clean(spark, d)
+    n = c.groupBy("department").agg(F.count("*").cast("double").alias("n"))
+    return c.join(n, "department").select("department", "week_start", F.col("n").alias("cases"))
+
+
+FLAT = f"{I.CLEAN}, flat AS (SELECT department, CAST(count(*) AS DOUBLE) AS n FROM clean GROUP BY 1)"
+FLAT_MODELS = ("naive", "seasonal_naive", "mean", "holt_winters", "sarima", "auto_sarima", "seasonal_arima", "prophet", "lstm", "gru")
+
+
+@query(I.sql(FLAT, " UNION ALL ".join(f"SELECT department, '{m}' AS model, CAST(h AS BIGINT) AS h, round(n, 3) + 0.0 AS predicted, 'success' AS status FROM flat, unnest(range(1, 5)) AS t(h)" for m in FLAT_MODELS)))
+def flat_forecasts(spark, d):
+    """Every estimator on series that do not move."""
+    rows = degenerate(spark, d)
+    parts = []
+    for m in FLAT_MODELS:
+        f, options = models.model_of(m)
+        parts.append(models.grouped_forecast(rows, DEPT, "week_start", "cases", f, 4, **options).select("department", F.lit(m).alias("model"), F.col("h").cast("long").alias("h"), tidy(F.col("predicted"), 3).alias("predicted"), "status"))
+    return I.union(parts)
+
+
+@query(I.sql(I.CLEAN, " UNION ALL ".join(f"SELECT department, '{k}' AS model, CAST(h AS BIGINT) AS h, CAST(CASE WHEN department < 'NATION_2' THEN 5 ELSE 9 END AS DOUBLE) AS predicted FROM (SELECT DISTINCT department FROM clean), unnest(range(1, 7)) AS t(h)" for k in ("random_forest", "gbt"))))
+def flat_trees(spark, d):
+    """Both tree models on series of two values, forecast beyond one written state."""
+    rows = I.clean(spark, d).withColumn("cases", F.when(F.col("department") < "NATION_2", 5.0).otherwise(9.0))
+    parts = []
+    for kind, params in (("random_forest", {"numTrees": 10, "maxDepth": 4}), ("gbt", {"maxIter": 5})):
+        m = trees.fit(rows, DEPT, "week_start", "cases", kind, **params)
+        parts.append(trees.forecast(m, rows, DEPT, "week_start", "cases", 6).select("department", F.lit(kind).alias("model"), F.col("h").cast("long").alias("h"), tidy(F.col("predicted"), 3).alias("predicted")))
+    return I.union(parts)
+
+
+@query(I.sql(points_sql(200, 3, 60, "te"), "SELECT department, h, count(*) AS n FROM pts GROUP BY 1, 2"))
+def walkforward_trees(spark, d):
+    """One forest of all keys, refitted at every second origin; origins are weeks of the longest series."""
+    c = I.clean(spark, d)
+    last, first = c.agg(F.max("week_start"), F.min("week_start")).first()
+    weeks = (last - first).days // 7 + 1
+    cutoffs = [first + datetime.timedelta(days=7 * (te - 1)) for te in range(200, weeks, 60)]
+    out = trees.walkforward(c, DEPT, "week_start", "cases", "random_forest", cutoffs, 3, 2)
+    return longs(out.groupBy("department", "h").agg(F.count("*").alias("n")), "h")
+
+
+#: ARIMA(1,1,0) without regressors in closed form: differences, their coefficient, what it leaves.
+AR = f"""{I.CLEAN}, diffs AS (SELECT department, week_start, cases, cases - lag(cases) {OVER}) AS x FROM clean), pairs AS (SELECT *, lag(x) {OVER}) AS b FROM diffs),
+phi AS (SELECT department, least(0.98, greatest(-0.98, sum(x * b) / sum(b * b))) AS phi FROM pairs WHERE b IS NOT NULL GROUP BY 1),
+res AS (SELECT department, week_start, cases, x - coalesce(phi * b, 0) AS residual FROM pairs JOIN phi USING (department))"""
+
+
+def ar_residuals(spark, d) -> DataFrame:
+    return models.residuals(I.clean(spark, d), DEPT, "week_start", "cases", order=(1, 1, 0))
+
+
+@query(I.sql(AR, f"SELECT department, week_start, {r('cases', 'cases')}, {r('residual', 'residual')} FROM res"))
+def arima_residuals(spark, d):
+    return rounded(ar_residuals(spark, d), "cases", "residual")
+
+
+@query(I.sql(AR, f"SELECT department, week_start, {r('cases', 'cases')}, {r('residual', 'residual')} FROM res JOIN (SELECT department, stddev_samp(residual) AS s FROM res GROUP BY 1) USING (department) WHERE abs(residual) > 2.5 * s"))
+def arima_residual_outliers(spark, d):
+    return rounded(outliers.extreme_residuals(ar_residuals(spark, d), DEPT), "cases", "residual")
+
+
+@query(I.sql(AR, f"SELECT department, CAST(n AS DOUBLE) AS n, {r('n * ln(mse) + 4', 'aic')}, {r('n * ln(mse) + 2 * ln(n)', 'bic')}, {r('sqrt(mse)', 'rmse')}, {r('m', 'mean')}, {r('s', 'std')}, {r('lo', 'least')}, {r('hi', 'most')} FROM (SELECT department, count(residual) AS n, avg(residual * residual) AS mse, avg(residual) AS m, stddev_samp(residual) AS s, min(residual) AS lo, max(residual) AS hi FROM res GROUP BY 1)"))
+def arima_diagnostics(spark, d):
+    out = models.diagnosed(I.clean(spark, d), DEPT, "week_start", "cases", order=(1, 1, 0), pairs=0).drop("adf")
+    return rounded(out, *[c for c in models.DIAGNOSTICS if c != "adf"])
+
+
+@query(I.sql(I.CLEAN, f"SELECT department, count(*) AS n, {r('sum(cases)', 'total')}, CAST(0 AS DOUBLE) AS gap FROM clean GROUP BY 1 HAVING count(*) >= 104"))
+def stl_sums(spark, d):
+    """Components of the decomposition add up to what was observed, week by week."""
+    parts = stl(spark, d)
+    whole = F.col("trend") + F.col("seasonal") + F.col("remainder")
+    return rounded(parts.groupBy("department").agg(F.count("*").alias("n"), F.sum(whole).alias("total"), F.max(F.abs(whole - F.col("observed"))).alias("gap")), "total", "gap")
+
+
+#: Naive forecasts of the validation rows from the last training row, and of the test rows from the last validation row.
+PIPELINE = f"""{SPLIT}, ends AS (SELECT department, split, arg_max(cases, i) AS last FROM split GROUP BY 1, 2),
+held AS (SELECT s.department, s.split, 'naive' AS model, week_start AS date, cases AS actual, e.last AS predicted FROM split s JOIN ends e ON e.department = s.department AND e.split = CASE s.split WHEN 'val' THEN 'train' ELSE 'val' END WHERE s.split <> 'train'),
+scored AS (SELECT * FROM held UNION ALL SELECT department, split, 'mean_baseline', date, actual, avg(actual) OVER (PARTITION BY department, split) FROM held)"""
+
+
+@query(I.sql(PIPELINE, score_sql("department, split, model", "scored")))
+def train_pipeline_naive(spark, d):
+    rows = training.held_out(I.clean(spark, d), DEPT, "week_start", "cases", "naive", least=1)
+    return rounded(training.scores(rows, DEPT), *MET)
+
+
+@query(I.sql(I.CLEAN, f"SELECT department, 'naive' AS model, count(*) AS n, max(week_start) AS last_date, {r('arg_max(cases, week_start)', 'predicted')} FROM clean GROUP BY 1"))
+def saved_models(spark, d):
+    """Models fitted, written, read back and asked for a forecast."""
+    path = f"{shared_dir(spark)}/models"
+    c = I.clean(spark, d)
+    sinks.write(models.fitted(c, DEPT, "week_start", "cases", "naive"), path)
+    saved = sinks.parameters(spark, path)
+    got = models.from_fitted(saved, c, DEPT, "week_start", "cases", 1)
+    return rounded(saved.join(got, "department").select("department", "model", "n", "last_date", "predicted"), "predicted")
+
+
+# --- sources: written as the files that readers take, then read ----------------------------------------
+
+def written(df: DataFrame, name: str, fmt: str = "csv") -> str:
+    path = f"{shared_dir(df.sparkSession)}/{name}"
+    sinks.write(df, path, fmt)
+    return path
+
+
+RAWISH = f"{I.RAW}, rawish AS (SELECT department, week_start, year, " + ", ".join(f"sum({c}) AS {c}" for c in COUNTS) + " FROM raw GROUP BY 1, 2, 3)"
+
+
+@query(I.sql(RAWISH, "SELECT upper(department) AS department, week_start, CAST(year(week_start) AS BIGINT) AS year, CAST(month(week_start) AS BIGINT) AS month, CAST(week(week_start) AS BIGINT) AS week_of_year, " + ", ".join(COUNTS) + " FROM rawish"))
+def csv_weekly(spark, d):
+    rows = panel.annual_sums(I.raw(spark, d), ("department", "week_start")).withColumn("department", F.concat(F.lit("  "), F.lower("department")))
+    out = readers.weekly(readers.csv(spark, written(rows, "weekly.csv")))
+    return longs(out, "year", "month", "week_of_year").select("department", "week_start", "year", "month", "week_of_year", *COUNTS)
+
+
+@query(I.sql(RAWISH, "SELECT upper(department) AS department, week_start, pneumonia_60plus AS cases FROM rawish WHERE department = 'NATION_1'"))
+def csv_weekly_cases(spark, d):
+    rows = panel.annual_sums(I.raw(spark, d), ("department", "week_start"))
+    return readers.weekly_cases(readers.csv(spark, written(rows, "weekly-cases.csv")), "60plus", " nation_1 ").select("department", "week_start", "cases")
+
+
+@query(I.sql(I.ANNUAL, "SELECT lpad(regexp_extract(department, '[0-9]+'), 2, '0') AS iddpto, CAST(year AS BIGINT) AS year, " + ", ".join(COUNTS) + " FROM annual"))
+def csv_surveillance(spark, d):
+    rows = panel.annual_sums(I.raw(spark, d), ("department", "year")).select(F.regexp_extract("department", "[0-9]+", 0).alias(" IDDPTO"), F.col("year").alias("ANO"), *COUNTS)
+    return readers.annual_cases(spark, written(rows, "surveillance.csv")).select("iddpto", "year", *COUNTS)
+
+
+@query(I.sql(I.POP, "SELECT lpad(regexp_extract(department, '[0-9]+'), 2, '0') AS iddpto, CAST(year AS BIGINT) AS year, population FROM pop WHERE year <> 1997"))
+def csv_population(spark, d):
+    rows = I.population(spark, d).select(F.regexp_extract("department", "[0-9]+", 0).alias("iddpto"), "year", F.when(F.col("year") != 1997, F.col("population").cast("string")).otherwise("n/a").alias("population"))
+    return longs(readers.population(spark, written(rows, "population.csv")).select("iddpto", "year", "population"), "year")
+
+
+@query(I.sql(I.ANNUAL, "SELECT department, CAST(year AS BIGINT) AS year, " + ", ".join(COUNTS[:2]) + " FROM annual"))
+def csv_measures(spark, d):
+    rows = panel.annual_sums(I.raw(spark, d), ("department", "year")).withColumn("department", F.concat("department", F.lit(" ")))
+    return longs(readers.measures(spark, written(rows, "measures.csv"), COUNTS[:2]).select("department", "year", *COUNTS[:2]), "year")
+
+
+@query(I.sql(I.POP, "SELECT department, CAST(n_nationkey AS BIGINT) AS iddpto FROM people"))
+def csv_census(spark, d):
+    rows = I.table(spark, d, "nation").select(F.col("n_nationkey").alias("IDDPTO"), F.col("n_name").alias(" Department "))
+    return readers.census(spark, written(rows, "census.csv")).select("department", F.col("iddpto").cast("long").alias("iddpto"))
+
+
+@query(I.sql(I.CLEAN, f"SELECT department, week_start, {r('cases', 'cases')} FROM clean WHERE department = 'NATION_1' AND year(week_start) >= 1997"))
+def department_series(spark, d):
+    """One key's series from a table partitioned by key: only its files are read."""
+    path = f"{shared_dir(spark)}/series"
+    sinks.write(I.clean(spark, d).withColumn("age_group", F.lit("all")), path, partition_by=["department", "age_group"])
+    return rounded(readers.department_series(spark.read.parquet(path), "nation_1", "all", 1997).select("department", "week_start", "cases"), "cases")
+
+
+@query(I.sql(NAIVE, f"SELECT department, date, {r('actual', 'actual')}, {r('predicted', 'predicted')}, 'naive' AS model FROM pts WHERE h = 1"))
+def prediction_files(spark, d):
+    """Predictions written as two files with rows in common, read back as one set."""
+    rows = naive_points(spark, d).where("h = 1").select("date", F.lit("backtest").alias("split"), F.lit("naive").alias("model"), "actual", "predicted", "department", F.lit("all").alias("age_group"))
+    base = f"{shared_dir(spark)}/predictions"
+    for part in ("a", "b"):
+        sinks.write(rows, f"{base}/{part}_predictions.csv", "csv")
+    got = readers.predictions(spark, f"{base}/*_predictions.csv", age_group="all")
+    return rounded(got.select("department", "date", "actual", "predicted", "model"), "actual", "predicted")
+
+
+@query(I.sql(NAIVE, f"SELECT department, CAST(h AS BIGINT) AS h, 'mae' AS metric, {r('avg(abs(actual - predicted))', 'value')} FROM pts GROUP BY 1, 2"))
+def report_files(spark, d):
+    """One JSON report for each department, read back as rows."""
+    scored = evaluate.by_horizon(naive_points(spark, d), DEPT)
+    base = f"{shared_dir(spark)}/reports"
+    reports = scored.groupBy("department").agg(F.map_from_entries(F.collect_list(F.struct(F.col("h").cast("string"), F.struct(*MET)))).alias("metrics_by_horizon"))
+    reports = reports.select("department", F.lit("all").alias("age_group"), F.lit("naive").alias("model"), "metrics_by_horizon")
+    sinks.json_reports(reports, base)
+    got = readers.horizon_metrics(spark, base).where("metric = 'mae'")
+    return rounded(longs(got.select("department", "h", "metric", "value"), "h"), "value")
+
+
+@query(I.sql(RATES, "SELECT department FROM (SELECT department, avg(value) AS m FROM tall WHERE measure = 'pneumonia_under5_rate' GROUP BY 1) ORDER BY m DESC, department LIMIT 3"))
+def top_ranked(spark, d):
+    mean = panel.mean_by(tall_rates(spark, d).where("measure = 'pneumonia_under5_rate'"), ["department"], "value")
+    return readers.top_names(mean, 3, F.desc("value"))
+
+
+@query(I.sql(NAIVE, "SELECT CAST(h AS BIGINT) AS h, 'naive' AS model, round_even(avg(abs(actual - predicted)), 2) AS mae FROM pts WHERE h <= 2 GROUP BY 1"))
+def horizon_table(spark, d):
+    """The table of models by horizons, turned back into rows."""
+    tall = evaluate.tall_metrics(evaluate.by_horizon(naive_points(spark, d).withColumn("model", F.lit("naive")), ["model"]), ["model", "h"])
+    wide = evaluate.horizon_table(tall.where("metric = 'mae'"), (1, 2), ("mae",))
+    out = wide.unpivot(["model"], ["h=1 mae", "h=2 mae"], "h", "mae")
+    return out.select(F.regexp_extract("h", "[0-9]+", 0).cast("long").alias("h"), "model", "mae")
+
+
 @query()
 def arima_outliers(spark, d):
     return outliers.extreme_residuals(models.residuals(I.clean(spark, d), DEPT, "week_start", "cases"), DEPT)
@@ -550,21 +843,21 @@ def stl(spark, d):
 
 @query()
 def random_forest(spark, d):
-    m = trees.fit(I.clean(spark, d), DEPT, "week_start", "cases", numTrees=20, maxDepth=6)
+    m = trees.fit(I.clean(spark, d), DEPT, "week_start", "cases")
     return trees.forecast(m, I.clean(spark, d), DEPT, "week_start", "cases", 4)
 
 
 @query()
 def gbt(spark, d):
-    m = trees.fit(I.clean(spark, d), DEPT, "week_start", "cases", "gbt", maxIter=10)
+    m = trees.fit(I.clean(spark, d), DEPT, "week_start", "cases", "gbt")
     return trees.forecast(m, I.clean(spark, d), DEPT, "week_start", "cases", 4)
 
 
 @query()
 def tuning(spark, d):
     rows = series.temporal_split(I.clean(spark, d), DEPT, "week_start", least=1)
-    train, val = rows.where("split = 'train'").drop("split"), rows.where("split = 'val'").withColumn("i", F.row_number().over(series.by_time(DEPT, "week_start"))).where("i <= 2").drop("split", "i")
-    _, trials = trees.tuned(train, val, DEPT, "week_start", "cases", {"maxDepth": [3, 5]}, fixed={"numTrees": 10})
+    train, val = rows.where("split = 'train'").drop("split"), rows.where("split = 'val'").drop("split")
+    _, trials = trees.tuned(train, val, DEPT, "week_start", "cases", {"maxDepth": [3, 5]})
     return spark.createDataFrame([(p["maxDepth"], float(s) if s is not None else None) for p, s in trials], "max_depth int, mae double")
 
 

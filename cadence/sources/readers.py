@@ -108,9 +108,9 @@ METRIC = T.StructType([T.StructField(m, T.DoubleType()) for m in ("mae", "rmse",
 
 
 def horizon_metrics(spark: SparkSession, pattern: str) -> DataFrame:
-    """(department, age_group, model, h, metric, value) of rolling-origin reports in JSON."""
+    """(department, age_group, model, h, metric, value) of rolling-origin reports, one JSON object on a line."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("department", "age_group", "model")] + [T.StructField("metrics_by_horizon", T.MapType(T.StringType(), METRIC))])
-    df = spark.read.option("multiLine", True).option("encoding", "UTF-8").schema(schema).json(pattern)
+    df = spark.read.option("encoding", "UTF-8").schema(schema).json(pattern)
     wide = df.select("department", "age_group", "model", F.explode("metrics_by_horizon").alias("h", "m")).select("department", "age_group", "model", F.col("h").try_cast("int").alias("h"), "m.*")
     return wide.unpivot(["department", "age_group", "model", "h"], METRIC.names, "metric", "value")
 

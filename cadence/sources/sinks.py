@@ -35,10 +35,22 @@ def forecast_rows(train: DataFrame, held: DataFrame) -> DataFrame:
     return first.unionByName(held.select(*first.columns))
 
 
+def json_reports(reports: DataFrame, path: str) -> None:
+    """A row for each report, as lines of JSON; Spark writes them where they are."""
+    reports.write.mode("overwrite").json(path)
+
+
 def json_report(spark, report: dict, path: str) -> None:
     """One small report as one JSON file, through Spark's file system so that any store will do."""
     spark.createDataFrame([(json.dumps(report, default=str, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_tables(tables: dict[str, DataFrame], base: str, fmt: str = "csv", force: bool = True) -> None:
+    """Several tables under one folder, one sub-folder each: national and departmental ones, or a rank grid and its frequencies for each measure."""
+    for name, df in tables.items():
+        write(df, f"{base}/{name}", fmt, force=force)
+
+
 def parameters(spark, path: str) -> DataFrame:
+    """What ``models.fitted`` learnt, as ``write`` kept it."""
     return spark.read.parquet(path)
