@@ -6,22 +6,25 @@ through it word by word: the state and the length of the longest suffix of what
 that is also part of an item. A length of ``window`` or more means that the last
 ``window`` words are a window of an item; the items are those on the state whose strings
 include that length. Items shorter than the window count as one window. More items than
-one block holds make more passes over the documents, whose results are merged by row.
+one block holds make more passes over the documents, whose spans and items are merged by row before anything is judged or cut, so
+the size of a block changes no result. An item longer than a block is cut into parts that overlap by a window less a word.
 
 Defined results: null texts have no words; null items and items without words have no
-window; repeated item ids count once; rows with a null item_id still mark words.
+window; repeated item ids count once; rows with a null item_id still mark words; texts are read whole, however long; repeated rows
+are judged each; empty tables of documents give empty tables, without items no word is hit; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, slices, stored
+from .common import LOWER, UPPER, free_name, slices, stored
 
 #: ASCII bytes that are not a digit or letter separate words; A-Z become a-z.
 NORMAL = bytes(ord(LOWER[UPPER.index(chr(c))]) if chr(c) in UPPER else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -141,19 +144,19 @@ class Automaton:
         return [tuple(s) for s in spans], met
 
 
-def item_blocks(items: DataFrame, item_col: str, text_col: str, block_words: int) -> list[list[tuple[str | None, list[bytes]]]]:
+def item_blocks(items: DataFrame, item_col: str, text_col: str, block_words: int, window: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Distinct items in blocks of about ``block_words`` words; one block at a time is held by the driver."""
     rows = items.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").cast("binary").alias("t")).where("t is not null").distinct()
     block, held = [], 0
     for r in rows.toLocalIterator():
         found = normal_words(bytes(r.t))
-        if not found:
-            continue
-        if block and held + len(found) > block_words:
-            yield block
-            block, held = [], 0
-        block.append((r.i, found))
-        held += len(found)
+        for at in range(0, max(1, len(found) - window + 1) if found else 0, block_words):
+            part = found[at:at + block_words + window - 1]
+            if block and held + len(part) > block_words:
+                yield block
+                block, held = [], 0
+            block.append((r.i, part))
+            held += len(part)
     if block:
         yield block
 
@@ -190,6 +193,15 @@ def scan_block(rows: DataFrame, block: list, window: int) -> DataFrame:
     return rows.mapInArrow(run, f"rid {rid}, n_words long, spans array<struct<a:int,b:int>>, items array<string>")
 
 
+def merged_scans(named: DataFrame, blocks: Iterator[list], window: int) -> DataFrame:
+    """(rid, n_words, spans, items) of every row of ``named(rid, text)``, whose rid are distinct, over all blocks."""
+    union = None
+    for block in blocks:
+        part = scan_block(named, block, window)
+        union = part if union is None else union.unionAll(part)
+    return union.groupBy("rid").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items) of every row of ``docs``.
@@ -197,22 +209,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     With one block of items the documents are read once and nothing is shuffled.
     """
     rows = docs.select(F.col(id_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
-    blocks = item_blocks(items, item_col, item_text_col, block_words)
+    blocks = item_blocks(items, item_col, item_text_col, block_words, window)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
         out = scan_block(rows, first, window)
     else:  # rows need a stable name of their own: ids may repeat or be null
         kept = stored(rows.withColumn("row", F.monotonically_increasing_id()), "decontam")
-        named = kept.select(F.col("row").alias("rid"), "text")
-        parts, block = [scan_block(named, first, window)], second
-        while block is not None:
-            parts.append(scan_block(named, block, window))
-            block = next(blocks, None)
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionAll(p)
-        met = union.groupBy("rid").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-                                       F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        met = merged_scans(kept.select(F.col("row").alias("rid"), "text"), chain([first, second], blocks), window)
         out = kept.select(F.col("row"), F.col("rid").alias("own")).join(met, F.col("row") == F.col("rid")).select(F.col("own").alias("rid"), "n_words", "spans", "items")
     # Spans of several blocks may overlap: walk them by their start and count what is new.
     covered = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")),
@@ -227,26 +230,48 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_share
                   item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without hit spans; rows whose hit words exceed ``max_share`` of their words go.
 
-    With ``max_share`` 0 every contaminated row goes; with 1 only spans are cut. All columns stay.
+    With ``max_share`` 0 every contaminated row goes; with 1 only spans are cut. All columns stay. One block of items takes one pass and no shuffle.
     """
     out = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    for block in item_blocks(items, item_col, item_text_col, block_words):
-        out = out.mapInArrow(cutter(docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex, window, max_share, out.columns.index(text_col)), out.schema)
+    blocks, at = item_blocks(items, item_col, item_text_col, block_words, window), out.columns.index(text_col)
+    first, second = next(blocks, []), next(blocks, None)
+    if not first:
+        return out
+    if second is None:
+        return out.mapInArrow(cutter(docs.sparkSession.sparkContext.broadcast(first), uuid.uuid4().hex, window, max_share, at), out.schema)
+    row, spans, rid = free_name(out, "__row", "__spans", "__rid")
+    kept = stored(out.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+    met = merged_scans(kept.select(F.col(row).alias("rid"), F.col(text_col).alias("text")), chain([first, second], blocks), window)
+    joined = kept.join(met.select(F.col("rid").alias(rid), F.col("spans").alias(spans)), F.col(row) == F.col(rid)).select(*out.columns, spans)
+    return joined.mapInArrow(cutter(None, "", window, max_share, at), out.schema)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of several blocks in order, joined where they touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
 def cutter(sent, key: str, window: int, max_share: float, at: int):
-    """Rows whose hit words are no more than ``max_share``, their text in column ``at`` without its hit spans."""
+    """Rows whose hit words are no more than ``max_share``, their text in column ``at`` without its hit spans; the spans come from the sent block, or from a last column."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sam = automaton_of(sent.value, key, window)
+        sam = automaton_of(sent.value, key, window) if sent is not None else None
         for b in slices(batches):
             texts, stays, cut = b.column(at).cast(pa.binary()).to_pylist(), [], False
+            known = [[(x["a"], x["b"]) for x in s] for s in b.column(b.num_columns - 1).to_pylist()] if sam is None else None
             for i, t in enumerate(texts):
                 found = normal_words(t)
-                spans, _ = sam.scan(found)
+                spans = merged(known[i]) if sam is None else sam.scan(found)[0]
                 stays.append(sum(y - x for x, y in spans) <= max_share * max(1, len(found)))
                 if spans and stays[-1]:
                     texts[i], cut = cut_spans(t, spans), True
+            if sam is None:
+                b = pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1])
             if cut:
                 b = b.set_column(at, b.schema.field(at), pa.array(texts, pa.binary()).cast(b.schema.field(at).type))
             yield b.filter(pa.array(stays, pa.bool_()))

@@ -1,37 +1,46 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
 Lines within ``tau`` edits of each other, and equal lines, form classes; the first line
-of a class in (doc_id, place) order stays and the others go.
+of a class in (doc_id, place) order stays and the others go. With ``per_edit`` the shorter line of a pair
+has that many characters for each edit at least, so short lines take fewer edits and the shortest only equality.
 
-- Equal lines meet first, by their hashes.
-- A line of length l is cut into tau+1 segments. Within tau edits of a partner at least one
+- Equal lines meet first, by two hashes of 64 bits: lines that share the first but not the second are told apart.
+- A line of length l that allows t edits is cut into t+1 segments. Within t edits of a partner at least one
   segment of the shorter line is found unchanged in the longer one, at a place that the
   lengths and the segment's number narrow to a few: the index holds (length, segment
   number, text) and each line probes it with those substrings for every partner length.
+- A segment that about ``HOT_LINES`` lines or more share (estimated on every 16th line by hash) compares nothing. Lines that
+  hold one are cut into t+``FINER`` segments instead: all but t of them are unchanged in a partner, so a key is the line with t
+  segments left out. Both lines of a pair that a hot segment would have joined are cut so; no pair is lost, and the estimate decides only which way finds it.
 - Candidates are filtered inside the join by counts of letters, which one edit can change
   by two in sum, and then verified by edit distance: a bit-parallel band of
   2*tau+1 rows that moves along the diagonal, so lines of any length need one word of bits.
 - Verified links are joined to classes by components().
 
 Defined results: only lines of ``min_chars`` characters or more take part in the edit
-join, shorter ones in equality; with ``per_edit`` a shorter line of a pair has that many characters for
-each edit at least; lines with fewer than ``min_words`` words always stay;
+join, shorter ones in equality; lines with fewer than ``min_words`` words always stay, blank ones among them;
 null texts have no lines and stay null; a null doc_id sorts last; rows equal in doc_id
 and text are one document to this operator and keep the same lines, so their copies are
 left to document dedup; a text whose lines all go becomes empty, and ``drop_empty``
-removes such rows.
+removes such rows; very long lines and texts are read whole; empty tables give empty tables; other columns are not read and stay.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, components, free_name, small_enough, stored
+from .common import GAP, WORD, components, drop_stored, free_name, small_enough, stored
 
 TAU = 2
-MIN_CHARS = 30
-MIN_WORDS = 3
+MIN_CHARS = 10
+MIN_WORDS = 1
+PER_EDIT = 10
+HOT_LINES = 1024
+SAMPLED = 16  #: one line in so many is read to find hot segments
+FINER = 10
 GAP_OR_START = r"^[\x20\x09-\x0D]*"
 #: White space and the small letters but the two rarest: one edit changes their counts by two in sum at most.
 LETTERS = " abcdefghijklmnoprstuvwy"
@@ -63,28 +72,75 @@ def count_distance(a: Column, b: Column) -> Column:
     return out
 
 
-def segment_start(length: Column, i: int, tau: int) -> Column:
-    """0-based start of segment i of tau+1; the last segments are the longer ones."""
-    n = tau + 1
-    base = F.floor(length / n).cast("int")
-    long_from = n - length % n
+def segment_start(length: Column, i: int, parts: int) -> Column:
+    """0-based start of segment i of ``parts``; the last segments are the longer ones."""
+    base = F.floor(length / parts).cast("int")
+    long_from = parts - length % parts
     return base * i + F.greatest(F.lit(0), F.lit(i) - long_from).cast("int")
 
 
-def segment_keys(line: Column, n: Column, tau: int) -> Column:
-    """Array of longs: 63 bits of the hash of (length, segment number, text) over a bit that tells probes from a line's own segments.
+def allowed(length: Column, tau: int, per_edit: int) -> Column:
+    """Edits that a shorter line of this length allows."""
+    return F.least(F.lit(tau), F.floor(length / per_edit).cast("int")) if per_edit else F.lit(tau)
 
-    Own segments are the index; probes are the substrings that may be segments of a partner no longer than the line.
-    """
+
+def packed(key: Column, probe: bool) -> Column:
+    """63 bits of a hash over a bit that tells probes from a line's own segments."""
+    return F.shiftleft(key, 1).bitwiseOR(F.lit(int(probe)).cast("long"))
+
+
+def one_segment(line: Column, size: Column, gap: int, t: int) -> list[Column]:
+    """Keys (length, segment number, text) of the substrings that may be segments of a partner ``gap`` shorter with t edits."""
+    out = []
+    for i in range(t + 1):
+        start, end = segment_start(size, i, t + 1), segment_start(size, i + 1, t + 1) if i < t else size
+        for shift in range(max(-i, gap - (t - i)), min(i, gap + (t - i)) + 1):
+            out.append(packed(F.xxhash64(size, F.lit(i), F.substring(line, start + 1 + shift, end - start)), bool(gap or shift)))
+    return out
+
+
+def segments_left_out(tau: int) -> Column:
+    """Array of every way to leave t of t+FINER segments out: t, the partner's gap, the segments ``h``, and by how much ``m`` the text after each may have moved, ``gap`` at last."""
+    out = []
+    for t in range(1, tau + 1):
+        for gap in range(t + 1):
+            moves = [()]
+            for _ in range(t - 1):
+                moves = [(*m, s) for m in moves for s in range(-t, t + 1)]
+            moves = [(*m, gap) for m in moves]
+            moves = [m for m in moves if sum(abs(x - y) for x, y in zip(m, (0, *m))) <= t]
+            out += [f"named_struct('t', {t}, 'gap', {gap}, 'h', array{h if t > 1 else f'({h[0]})'}, 'm', array{m if t > 1 else f'({m[0]})'})" for h in combinations(range(t + FINER), t) for m in moves]
+    return F.expr("array(" + ", ".join(out) + ")")
+
+
+def finer_keys(line: Column, n: Column, tau: int, per_edit: int) -> Column:
+    """Array of packed keys of a line of ``n`` characters: the line but t of t+FINER segments, for partners no longer than the line."""
+    def key(x: Column) -> Column:
+        size, parts = n - x["gap"], x["t"] + FINER
+        at = lambda i: F.floor(size / parts).cast("int") * i + F.greatest(F.lit(0), i - (parts - size % parts))
+
+        def piece(k: Column) -> Column:
+            start = F.when(k == 0, F.lit(0)).otherwise(at(F.get(x["h"], k - 1) + 1))
+            end = F.when(k == x["t"], size).otherwise(at(F.get(x["h"], k)))
+            return F.substring(line, start + 1 + F.when(k == 0, F.lit(0)).otherwise(F.get(x["m"], k - 1)), end - start)
+
+        text = F.array_join(F.transform(F.sequence(F.lit(0), x["t"]), piece), "\n")
+        moved = (x["gap"] != 0) | F.exists(x["m"], lambda m: m != 0)
+        return F.shiftleft(F.xxhash64(size, x["h"], text), 1).bitwiseOR(moved.cast("long"))
+
+    return F.transform(F.filter(segments_left_out(tau), lambda x: allowed(n - x["gap"], tau, per_edit) == x["t"]), key)
+
+
+def segment_keys(line: Column, n: Column, tau: int, per_edit: int = 0) -> Column:
+    """Array of packed keys of a line of ``n`` characters: own ones are the index, probes are for partners no longer than the line."""
     out = []
     for gap in range(tau + 1):
         size = (n - gap).cast("int")
-        for i in range(tau + 1):
-            start, end = segment_start(size, i, tau), segment_start(size, i + 1, tau) if i < tau else size
-            for shift in range(max(-i, gap - (tau - i)), min(i, gap + (tau - i)) + 1):
-                key = F.shiftleft(F.xxhash64(size, F.lit(i), F.substring(line, start + 1 + shift, end - start)), 1)
-                out.append(key.bitwiseOR(F.lit(1 if gap or shift else 0).cast("long")))
-    return F.array(*out)
+        keys = F.array().cast("array<bigint>")
+        for t in range(max(1, gap), tau + 1):
+            keys = F.when(allowed(size, tau, per_edit) == t, F.array(*one_segment(line, size, gap, t))).otherwise(keys)
+        out.append(keys)
+    return F.flatten(F.array(*out))
 
 
 def banded_distance(longer: Column, shorter: Column, tau: int) -> Column:
@@ -134,13 +190,23 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
 
 
+def line_id(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
 def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc_id, place, line, id, spot) of every line with ``min_words`` words or more; spot is a number of the place."""
+    """(row, doc_id, place, line, id, other, spot) of every line with ``min_words`` words or more; spot is a number of the place, other a second hash of the line."""
     rows = docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     if min_words > 0:
         lines = lines.where(F.col("line").rlike(GAP_OR_START + (WORD + GAP) * (min_words - 1) + WORD[:-1]))
-    return lines.withColumn("id", F.xxhash64("line")).withColumn("spot", F.xxhash64("row", "place"))
+    return lines.withColumn("id", line_id(F.col("line"))).withColumn("other", F.xxhash64(F.lit(1), "line")).withColumn("spot", F.xxhash64("row", "place"))
+
+
+def told_apart(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """``lines`` whose id, where it is one of ``shared(id)`` that different lines have, is made of both hashes."""
+    return (lines.join(near(shared.select(F.col("id").alias("__shared"))), F.col("id") == F.col("__shared"), "left")
+            .withColumn("id", F.when(F.col("__shared").isNull(), F.col("id")).otherwise(F.xxhash64("id", "other"))).drop("__shared"))
 
 
 def near(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
@@ -148,6 +214,22 @@ def near(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def meeting(keyed: DataFrame) -> DataFrame:
+    """Rows of ``keyed(id, key, probe)`` whose key an own segment of one line shares with another line; one shuffle by key. Rows with probe 2 pass."""
+    by_key = Window.partitionBy("key")
+    return (keyed.withColumns({"lo": F.min("id").over(by_key), "hi": F.max("id").over(by_key), "own": F.min("probe").over(by_key)})
+            .where("(lo <> hi and own = 0) or probe = 2").select("key", "id", "probe").distinct())
+
+
+def paired(rows: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
+    """Candidates (a, b) among ``rows(key, id, probe)`` of one key whose letter counts allow ``tau`` edits."""
+    counted = rows.join(texts.select("id", "counts"), "id")
+    index = counted.where("probe = 0").select("key", F.col("id").alias("a"), F.col("counts").alias("ca"))
+    probe = counted.select("key", F.col("id").alias("b"), F.col("counts").alias("cb"), "probe")
+    pair = (F.col("i.key") == F.col("p.key")) & (F.col("a") != F.col("b")) & ((F.col("p.probe") == 1) | (F.col("a") < F.col("b"))) & (count_distance(F.col("ca"), F.col("cb")) <= 2 * tau)
+    return index.alias("i").join(probe.alias("p"), pair).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def edit_links(lines: DataFrame, twice: DataFrame, tau: int, min_chars: int, per_edit: int = 0) -> DataFrame:
     """Verified links (a, b) between the line ids of ``lines(id, spot, line)``.
 
@@ -158,59 +240,78 @@ def edit_links(lines: DataFrame, twice: DataFrame, tau: int, min_chars: int, per
     again = near(twice.select(F.col("id").alias("__id"), "first"))
     once = (lines.where(F.length("line") >= min_chars).join(again, F.col("id") == F.col("__id"), "left")
             .where(F.col("first").isNull() | (F.col("first") == F.col("spot"))).select("id", "line"))
-    keyed = once.select("id", F.explode(segment_keys(F.col("line"), F.length("line"), tau)).alias("k")).select("id", F.shiftright("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1)).alias("probe"))
-    # One shuffle by key; only keys that an own segment of one line shares with another line go on.
-    by_key = Window.partitionBy("key")
-    shared = (keyed.withColumns({"lo": F.min("id").over(by_key), "hi": F.max("id").over(by_key), "own": F.min("probe").over(by_key)})
-              .where("lo <> hi and own = 0").select("key", "id", "probe").distinct())
-    some = stored(shared, "shared-segments")
-    ids = some.select(F.col("id").alias("__want")).distinct()
+
+    def keys(of: DataFrame, cut=segment_keys) -> DataFrame:
+        rows = of.select("id", F.explode(cut(F.col("line"), F.length("line"), tau, per_edit)).alias("k"))
+        return rows.select("id", F.shiftright("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1)).cast("int").alias("probe"))
+
+    some = once.where(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(SAMPLED)) == 0)
+    hot = stored(keys(some).groupBy("key").count().where(F.col("count") >= HOT_LINES // SAMPLED).select(F.col("key").alias("hot")), "hot-segments")
+    # A hot segment's rows only name their lines, each under a key of its own.
+    marked = (keys(once).join(near(hot), F.col("key") == F.col("hot"), "left")
+              .select("id", F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.xxhash64(F.lit(3), "id")).alias("key"),
+                      F.when(F.col("hot").isNull(), F.col("probe")).otherwise(F.lit(2)).alias("probe")))
+    shared = stored(meeting(marked), "shared-segments")
+    ids = shared.select(F.col("id").alias("__want")).distinct()
     texts = stored(once.join(near(ids), F.col("id") == F.col("__want"), "left_semi").dropDuplicates(["id"]).select("id", "line", letter_counts(F.col("line")).alias("counts")), "candidate-lines")
-    counted = some.join(texts.select("id", "counts"), "id")
-    index = counted.where("probe = 0").select("key", F.col("id").alias("a"), F.col("counts").alias("ca"))
-    probe = counted.select("key", F.col("id").alias("b"), F.col("counts").alias("cb"), "probe")
-    pair = (F.col("i.key") == F.col("p.key")) & (F.col("a") != F.col("b")) & ((F.col("p.probe") == 1) | (F.col("a") < F.col("b"))) & (count_distance(F.col("ca"), F.col("cb")) <= 2 * tau)
-    found = stored(index.alias("i").join(probe.alias("p"), pair).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    finer = texts.join(near(shared.where("probe = 2").select(F.col("id").alias("__hot")).distinct()), F.col("id") == F.col("__hot"), "left_semi").select("id", "line")
+    finer = stored(meeting(keys(finer, finer_keys)), "finer-segments")
+    found = stored(paired(shared.where("probe < 2"), texts, tau).unionAll(paired(finer, texts, tau)).distinct(), "candidates")
     both = (found.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b"))
     first = F.length("la") >= F.length("lb")
     ordered = both.select("a", "b", F.when(first, F.col("la")).otherwise(F.col("lb")).alias("p"), F.when(first, F.col("lb")).otherwise(F.col("la")).alias("t"))
-    most = F.least(F.lit(tau), F.floor(F.length("t") / per_edit)) if per_edit else F.lit(tau)
+    most = allowed(F.length("t"), tau, per_edit)
     close = ordered.where(F.length("p") - F.length("t") <= most).where(banded_distance(F.col("p"), F.col("t"), tau) <= most)
-    return close.select("a", "b")
+    links = stored(close.select("a", "b"), "line-links")
+    for made in (hot, shared, finer, texts, found):
+        drop_stored(made)
+    return links
 
 
-def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", per_edit: int = 0) -> DataFrame:
+def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", per_edit: int = PER_EDIT) -> DataFrame:
     """(row, doc_id, line_no, first_doc, first_line, kept) of every line with ``min_words`` words or more.
 
     (first_doc, first_line) names the class: its first line by doc_id, then place from 0.
     """
     named = lines_of(docs, min_words, id_col, text_col)
-    placed = stored(named.select("row", "doc_id", "place", "id", "spot"), "lines")
-    twice = stored(placed.groupBy("id").agg(F.count("*").alias("n"), F.min("spot").alias("first")).where("n > 1").select("id", "first"), "repeated-lines")
-    classes = stored(components(edit_links(named.select("id", "spot", "line"), twice, tau, min_chars, per_edit)), "classes")
+    placed = stored(named.select("row", "doc_id", "place", "id", "other", "spot"), "lines")
+    met = stored(placed.groupBy("id").agg(F.count("*").alias("n"), F.min("spot").alias("first"), F.min("other").alias("lo"), F.max("other").alias("hi")).where("n > 1"), "met-lines")
+    shared = stored(met.where("lo <> hi").select("id"), "shared-ids")
+    twice = met.where("lo = hi").select("id", "first")
+    if not shared.isEmpty():
+        named, placed = told_apart(named, shared), told_apart(placed, shared)
+        apart = placed.join(met.where("lo <> hi").select(F.col("id").alias("__id")), F.xxhash64("__id", "other") == F.col("id"))
+        twice = stored(twice.unionAll(apart.groupBy("id").agg(F.count("*").alias("n"), F.min("spot").alias("first")).where("n > 1").select("id", "first")), "repeated-lines")
+    links = edit_links(named.select("id", "spot", "line"), twice, tau, min_chars, per_edit)
+    classes = stored(components(links), "classes")
+    drop_stored(links)
     # A class is named by its edit component or by the line; the others are lines that occur once and stay.
     several = stored(twice.select("id").join(classes.withColumnRenamed("node", "id"), "id", "full_outer").select(F.col("id").alias("__id"), F.coalesce("component", "id").alias("class")), "several")
     lined = placed.join(near(several), F.col("id") == F.col("__id"), "left").select("row", "doc_id", "place", "class")
     spot = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("first_doc"), F.col("row").alias("first_row"), F.col("place").alias("first_line"))
     lead = lined.where("class is not null").groupBy("class").agg(F.min(spot).alias("x"))
     lead = stored(lead.select("class", "x.first_doc", "x.first_row", "x.first_line"), "first-lines")
+    for made in (met, classes):
+        drop_stored(made)
     out = lined.join(near(lead), "class", "left")
     alone = F.col("first_row").isNull()
     return out.select("row", "doc_id", F.col("place").cast("long").alias("line_no"),
                       F.when(alone, F.col("doc_id")).otherwise(F.col("first_doc")).alias("first_doc"),
                       F.when(alone, F.col("place")).otherwise(F.col("first_line")).cast("long").alias("first_line"),
-                      (alone | ((F.col("row") == F.col("first_row")) & (F.col("place") == F.col("first_line")))).alias("kept"))
+                      (alone | ((F.col("row") == F.col("first_row")) & F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("place") == F.col("first_line")))).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, drop_empty: bool = True, id_col: str = "doc_id", text_col: str = "text", per_edit: int = 0) -> DataFrame:
+def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, drop_empty: bool = True, id_col: str = "doc_id", text_col: str = "text", per_edit: int = PER_EDIT) -> DataFrame:
     """``docs`` without the lines that an earlier line stands for; all columns stay."""
-    row, gone, kept, key = free_name(docs, "__row", "__gone", "__kept", "__key")
+    row, gone, kept, key, owner = free_name(docs, "__row", "__gone", "__kept", "__key", "__owner")
     lost = line_classes(docs, tau, min_chars, min_words, id_col, text_col, per_edit).where("not kept")
-    lost = stored(lost.groupBy(F.col("row").alias(row)).agg(F.collect_set(F.col("line_no").cast("int")).alias(gone)), "gone-lines")
+    lost = stored(lost.groupBy(F.col("row").alias(row), F.col("doc_id").alias(owner)).agg(F.collect_set(F.col("line_no").cast("int")).alias(gone)), "gone-lines")
     text = F.col(text_col).cast("string")
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
-    new = docs.withColumn(key, row_key(id_col, text_col)).join(near(lost), F.col(key) == F.col(row), "left").withColumn(kept, F.when(F.col(gone).isNull(), text).otherwise(left))
+    # A set difference of places, so long texts take time in proportion.
+    left = let(F.split(text, "\n", -1), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone)), lambda i: F.get(x, i)), "\n"))
+    same = (F.col(key) == F.col(row)) & F.col(id_col).cast("long").eqNullSafe(F.col(owner))
+    new = docs.withColumn(key, row_key(id_col, text_col)).join(near(lost), same, "left").withColumn(kept, F.when(F.col(gone).isNull(), text).otherwise(left))
     if drop_empty:
         blank = F.length(F.regexp_replace(F.coalesce(F.col(kept), F.lit("")), GAP, "")) == 0
         new = new.where(F.col(gone).isNull() | ~blank)

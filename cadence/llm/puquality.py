@@ -2,13 +2,14 @@
 
 A linear model on hashed byte n-grams and a few text statistics minimises the
 non-negative unbiased risk  pi*R_p(+) + max(0, R_u(-) - pi*R_p(-))  of trusted positives
-and unlabelled web text. The class prior pi is the share of label 1 among the training
-labels, smoothed. The fit uses bounded samples chosen by hash (``POSITIVES`` and
+and unlabelled web text. The class prior pi is estimated from the scores of both alone (``class_prior``); no label 0 is read, but that
+labelled rows are not unlabelled text. The fit uses bounded samples chosen by hash (``POSITIVES`` and
 ``UNLABELLED`` rows in expectation, ``MAX_FIT`` at most); scoring reads every whole text.
 
 Defined results: null and empty texts get the score of a text without grams;
-whole texts are read, however long; with no positives the score is the prior; labels
-that repeat for an id count once, their largest value.
+whole texts are read, however long; with no positives or no unlabelled text the score is 0.5; labels
+that repeat for an id count once, their largest value; rows that repeat are scored each and alike; a score of exactly 0.5 is predicted 1;
+empty tables give empty tables; columns other than those named are not read and stay.
 """
 
 from __future__ import annotations
@@ -80,6 +81,20 @@ def nnpu_fit(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = EPOCH
     return w, float(b)
 
 
+def class_prior(pos: np.ndarray, unl: np.ndarray, least: float = 0.1) -> float:
+    """Share of positives among unlabelled scores: above any threshold lie at least that share of what positives have above it.
+
+    So the least ratio of both shares, over thresholds that keep ``least`` of the positives or more, bounds it, and meets it where some threshold leaves
+    no negatives (Scott, 2015). One half where nothing is known.
+    """
+    if not len(pos) or not len(unl):
+        return 0.5
+    at = np.quantile(pos, np.linspace(0.0, 1 - least, 91))
+    kept = 1 - np.searchsorted(np.sort(pos), at) / len(pos)
+    ratio = (1 - np.searchsorted(np.sort(unl), at) / len(unl)) / np.maximum(kept, 1e-9)
+    return float(np.clip(ratio.min(), 1 / (len(unl) + 2), 0.98))
+
+
 def sampled(rows: DataFrame, want: int, seed: str, kind: int) -> DataFrame:
     """(kind, h, x): features of about ``want`` rows of ``rows(doc_id, text)``, MAX_FIT at most, chosen by hash."""
     h = hash60(F.col("doc_id"), seed)
@@ -105,8 +120,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """``labels`` holds training rows only; documents without a training label are the unlabelled text."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    ones, all_ = marks.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
-    prior = float(min(0.98, (ones + 1.0) / (all_ + 2.0)))
     both = sampled(rows.join(marks.where("y = 1"), "doc_id", "left_semi"), POSITIVES, "pos:", 1).unionByName(sampled(rows.join(marks, "doc_id", "left_anti"), UNLABELLED, "web:", 0))
 
     def fit(t: pa.Table) -> pa.Table:
@@ -115,17 +128,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         x, kind = (v[np.lexsort((t.column("h").to_numpy(), kind))] for v in (x, kind))
         pos, unl = x[kind == 1], x[kind == 0]
         if not len(pos) or not len(unl):
-            return pa.table({"w": pa.array([], pa.binary()), "b": pa.array([], pa.float64())})
+            return pa.table({"w": pa.array([], pa.binary()), "b": pa.array([], pa.float64()), "prior": pa.array([], pa.float64())})
+        w, b = nnpu_fit(pos, unl, 0.5)
+        prior = class_prior(margins(pos, w, b), margins(unl, w, b))
         w, b = nnpu_fit(pos, unl, prior)
         # Score 0.5 lies where the prior's share of unlabelled rows passes, but no trusted positive beyond SPARED fails.
         cut = min(float(np.quantile(margins(unl, w, b), 1 - prior)), float(np.quantile(margins(pos, w, b), SPARED)))
-        return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "b": [b - cut]})
+        return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "b": [b - cut], "prior": [prior]})
 
     # The bounded sample is fitted in one task, so the driver only gets the weights.
-    got = both.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "w binary, b double").collect()
+    got = both.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "w binary, b double, prior double").collect()
     if not got:
-        return Model(np.zeros(FOLDED + STATS), float(np.log(prior / (1 - prior))), prior)
-    return Model(np.frombuffer(bytes(got[0].w), np.float64), got[0].b, prior)
+        return Model(np.zeros(FOLDED + STATS), 0.0, 0.5)
+    return Model(np.frombuffer(bytes(got[0].w), np.float64), got[0].b, got[0].prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,9 @@ The strictest safe cutoff of a rule applies in its stratum; where none is safe t
 does not apply there. Texts of strata without labels are kept.
 
 Defined results: null texts have no words and fail the base rule; whole texts are read;
-repeated labels of an id count once, the largest; extra columns are ignored.
+repeated labels of an id count once, the largest; repeated rows are judged each and alike; a feature equal to a cutoff passes it; rules that
+tie all apply; very long texts take time in proportion to their words and the logarithm of their number; extra columns are ignored, whatever their names; an empty table of
+documents gives an empty table, and without labels only the base rule rejects.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, stored, words
+from .common import GAP, drop_stored, stored, words
 
 SYMBOLS = "[#*$%&|<>]"
 #: Rules: feature and the cutoffs that are tried, fixed before any label is seen.
@@ -122,8 +124,8 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(kd > nd * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), total["s"]))
 
 
-def safe_cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """(stratum, rule, cutoff): the strictest safe cutoff of each rule and stratum.
+def safe_cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", label_col: str = "quality") -> tuple[DataFrame, DataFrame]:
+    """The stored counts, and (stratum, rule, cutoff): the strictest safe cutoff of each rule and stratum.
 
     ``rows`` come from ``measured``. Counts of a stratum are one partial aggregate; nothing grows beyond
     strata x rules x cutoffs rows.
@@ -135,7 +137,7 @@ def safe_cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta
     counts = stored(counts, "rule-counts")
     tests = max(1, counts.count()) * len(each)
     tested = counts.select("stratum", "n", F.explode(F.array(*each)).alias("x")).select("stratum", "n", "x.*")
-    return tested.where(binomial_tail(F.col("n"), F.col("k"), alpha) <= delta / tests).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    return counts, tested.where(binomial_tail(F.col("n"), F.col("k"), alpha) <= delta / tests).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
 def base_failed() -> Column:
@@ -145,9 +147,10 @@ def base_failed() -> Column:
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum: Column | None = None) -> DataFrame:
     """Counts of every row with base_failed and kept."""
     rows = stored(measured(docs, id_col, text_col, stratum), "rules")
-    cut = safe_cutoffs(rows, labels, alpha, delta)
+    counts, cut = safe_cutoffs(rows, labels, alpha, delta)
     wide = cut.groupBy("stratum").pivot("rule", list(CUTOFFS)).agg(F.min("cutoff"))
     wide = stored(wide.select(F.col("stratum").alias("s"), *[F.col(r).alias(f"{r}_cut") for r in CUTOFFS]), "cutoffs")
+    drop_stored(counts)
     out = rows.join(wide, F.col("stratum") == F.col("s"), "left").withColumn("base_failed", base_failed())
     hit = F.lit(False)
     for rule in CUTOFFS:

@@ -6,7 +6,8 @@ shuffled row stands for all the variants that agree in the *prefix* bits: it is
 the prefix with 0..r of its bits flipped and carries the flips still allowed in the
 suffix. Each prefix group then expands its suffix variants in blocks and links
 those that are equal. Prefix length follows the number of fingerprints, so a group
-stays about ``GROUP_VARIANTS`` variants large whatever the input.
+stays about ``GROUP_VARIANTS`` variants large whatever the input; a group that many
+near copies make larger than ``HOT_VARIANTS`` is dealt by ``DEAL_BITS`` more bits, again and again, before any task sees it.
 
 Equal variants within ``r`` prove a distance within 2r, and the distance of every link is
 computed again. Exact copies meet before in one fingerprint. Groups emit a spanning
@@ -14,23 +15,27 @@ forest rather than pairs; components() joins the forests.
 
 Defined results: null and blank texts have fingerprint zero and are linked like any
 other; repeated rows are returned each; a null doc_id takes part but never names
-a component unless all ids of the component are null.
+a component unless all ids of the component are null; texts are read whole, however long; a bit set in exactly half of the
+hashes is not set; other columns are not read, so names cannot clash; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, free_name, slices, small_enough, stored
+from .common import components, drop_stored, free_name, slices, small_enough, stored
 
 GROUP_VARIANTS = 2_000_000
+HOT_VARIANTS, DEAL_BITS = 16_000_000, 10
+SALTS = 64  #: parts in which rows of one fingerprint are chained
 BLOCK = 1 << 22
 BROADCAST_IDS = 500_000
 FEW_PAIRS = 200_000  #: candidates that are verified at once
@@ -168,63 +173,120 @@ def local_pairs(fps: np.ndarray, left: np.ndarray, suffix: int, r: int, radius:
     return every // max(1, len(fps)), every % max(1, len(fps))
 
 
-def links(nodes: DataFrame, radius: int = 4, width: int = 64, tables: tuple[str, ...] = ("fp",), proof: str | None = None) -> DataFrame:
-    """Edges (a, b) between ``node`` ids whose forests connect all at ``radius`` or less in any one table.
+DEALT = "key long, done int, left byte, node long, fp long"
 
-    ``nodes(node long, one long column for each table)``: fingerprints of ``width`` bits. All tables share one shuffle.
-    With ``proof``, a column of 64 more bits, edges are pairs that met themselves, to be verified, and not a forest's; those
-    whose proofs are more than PROOF_BITS apart are left out.
-    """
-    if radius < 2 or radius % 2:
-        raise ValueError("radius must be even and 2 at least")
-    r, k = radius // 2, prefix_bits(nodes.count(), radius, width)
-    suffix = width - k
-    by_count = flips(k, r)
-    masks = np.concatenate([m << np.uint64(suffix) for m in by_count.values()])
+
+def near(df: DataFrame) -> DataFrame:
+    """Marked for broadcast where it has few rows; else joins shuffle."""
+    return F.broadcast(df) if small_enough(df, BROADCAST_IDS) else df
+
+
+def keyed(nodes: DataFrame, r: int, width: int, bits: int) -> DataFrame:
+    """Rows (key, done, left, node, fp) of ``nodes(node, t, fp)``: one for each way to flip up to r of the first ``bits`` bits."""
+    by_count = flips(bits, r)
+    masks = np.concatenate([m << np.uint64(width - bits) for m in by_count.values()])
     left = np.concatenate([np.full(len(m), r - n, np.int8) for n, m in by_count.items()])
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 5000):
             rep = np.repeat(np.arange(b.num_rows), len(masks))
-            for t in range(len(tables)):
-                fp = b.column(t + 1).to_numpy(zero_copy_only=False).view(np.uint64)
-                key = ((fp[:, None] ^ masks[None, :]) >> np.uint64(suffix)).ravel().astype(np.int32) | np.int32(t << 25)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(fp.view(np.int64)[rep]), b.column(0).take(pa.array(rep)), pa.array(np.tile(left, len(fp))),
-                     *([b.column(len(tables) + 1).take(pa.array(rep))] if proof else [])], ["k", "fp", "node", "left", *(["proof"] if proof else [])])
+            fp, t = b.column(2).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            prefix = ((fp[:, None] ^ masks[None, :]) >> np.uint64(width - bits)).ravel().astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(prefix | (t[rep] << 32)), pa.array(np.full(len(rep), bits, np.int32)), pa.array(np.tile(left, len(fp))), b.column(0).take(pa.array(rep)), pa.array(fp.view(np.int64)[rep])],
+                                             ["key", "done", "left", "node", "fp"])
+
+    return nodes.select("node", "t", "fp").mapInArrow(run, DEALT)
+
+
+def dealt(rows: DataFrame, width: int) -> DataFrame:
+    """Rows of one hot group each by the next bits, with every flip that they have left; the key is hashed with those bits (links are verified, so a collision costs time only)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 5000):
+            done, left = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            key, fp = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 4))
+            for d in np.unique(done):
+                bits = int(min(DEAL_BITS, width - d))
+                for n in np.unique(left):
+                    at = np.flatnonzero((done == d) & (left == n))
+                    for flipped, m in flips(bits, int(min(n, bits))).items():
+                        i = np.repeat(at, len(m))
+                        part = ((fp[i] >> np.uint64(width - d - bits)) & np.uint64((1 << bits) - 1)) ^ np.tile(m, len(at))
+                        mixed = ((key[i] ^ (part + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)) ^ (key[i] >> np.uint64(29))
+                        yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), pa.array(np.full(len(i), d + bits, np.int32)), pa.array(np.full(len(i), n - flipped, np.int8)), b.column(3).take(pa.array(i)), pa.array(fp.view(np.int64)[i])],
+                                                         ["key", "done", "left", "node", "fp"])
+
+    return rows.mapInArrow(run, DEALT)
+
+
+def variants_of(width: int, most: int) -> Column:
+    """How many suffix variants a row stands for."""
+    out = F.lit(0.0)
+    for done in range(width + 1):
+        for left in range(most + 1):
+            out = F.when((F.col("done") == done) & (F.col("left") == left), float(sum(comb(width - done, n) for n in range(left + 1)))).otherwise(out)
+    return out
+
+
+def groups(nodes: DataFrame, radius: int, width: int, hot_variants: int | None = None) -> DataFrame:
+    """Rows of ``keyed`` in groups (key, done) that no family of near copies makes larger than about ``hot_variants`` variants."""
+    if radius < 2 or radius % 2:
+        raise ValueError("radius must be even and 2 at least")
+    r, limit = radius // 2, HOT_VARIANTS if hot_variants is None else hot_variants
+    rows = keyed(nodes, r, width, prefix_bits(nodes.count(), radius, width))
+    while True:
+        size = rows.groupBy("key", "done", "left").count().withColumn("v", F.col("count") * variants_of(width, r)).groupBy("key", "done").agg(F.sum("v").alias("v"))
+        hot = stored(size.where((F.col("v") > limit) & (F.col("done") < width)).select("key", "done"), "hot-groups")
+        if hot.isEmpty():
+            return rows
+        rows = rows.join(near(hot), ["key", "done"], "left_anti").unionByName(dealt(rows.join(near(hot), ["key", "done"], "left_semi").select("key", "done", "left", "node", "fp"), width))
+
+
+def links(nodes: DataFrame, radius: int = 4, width: int = 64, hot_variants: int | None = None) -> DataFrame:
+    """Edges (a, b) between nodes whose forests connect all of ``nodes(node, t, fp)`` at ``radius`` or less in a table t; fingerprints are distinct in each."""
+    r = radius // 2
 
     def meet(t: pa.Table) -> pa.Table:
-        node = t.column("node").to_numpy()
-        fp, first, back = np.unique(t.column("fp").to_numpy().view(np.uint64), return_index=True, return_inverse=True)
+        node, suffix = t.column("node").to_numpy(), width - t.column("done")[0].as_py()
+        fp, first = np.unique(t.column("fp").to_numpy().view(np.uint64), return_index=True)
         a, b = local_forest(fp, t.column("left").to_numpy()[first], suffix, r, radius)
-        same = np.flatnonzero(first[back] != np.arange(len(back)))  # nodes of one fingerprint
-        return pa.table({"a": np.concatenate([node[first[a]], node[same]]), "b": np.concatenate([node[first[b]], node[first[back[same]]]])})
-
-    def meet_pairs(t: pa.Table) -> pa.Table:
-        # Every table has its own order, so that members of one fingerprint have other neighbours in each.
-        node, salt = t.column("node").to_numpy(), np.uint64((t.column("k")[0].as_py() >> 25) * 2 + 1)
-        own = np.argsort((node.view(np.uint64) ^ salt) * np.uint64(0x9E3779B97F4A7C15) * salt, kind="stable")
-        own = own[np.argsort(t.column("fp").to_numpy()[own].view(np.uint64), kind="stable")]
-        node, every, word = node[own], t.column("fp").to_numpy()[own].view(np.uint64), t.column("proof").to_numpy()[own]
-        fp, first = np.unique(every, return_index=True)
-        a, b = local_pairs(fp, t.column("left").to_numpy()[own][first], suffix, r, radius)
-        same = np.flatnonzero(every[1:] == every[:-1])
-        a, b = np.concatenate([first[a], same]), np.concatenate([first[b], same + 1])
-        near = np.bitwise_count(word[a].view(np.uint64) ^ word[b].view(np.uint64)) <= PROOF_BITS
-        a, b = node[a[near]], node[b[near]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    if proof:
-        rows = nodes.select("node", *tables, proof).mapInArrow(emit, "k int, fp long, node long, left byte, proof long")
-        return rows.groupBy("k").applyInArrow(meet_pairs, "a long, b long").where("a <> b").distinct()
-    rows = nodes.select("node", *tables).mapInArrow(emit, "k int, fp long, node long, left byte")
-    return rows.groupBy("k").applyInArrow(meet, "a long, b long").distinct()
+        return pa.table({"a": node[first[a]], "b": node[first[b]]})
+
+    return groups(nodes, radius, width, hot_variants).groupBy("key", "done").applyInArrow(meet, "a long, b long").distinct()
+
+
+def candidate_pairs(nodes: DataFrame, radius: int, width: int, hot_variants: int | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of ``nodes(node, t, fp, proof)`` that meet in a table t and whose proofs are no more than PROOF_BITS apart.
+
+    Nodes of one fingerprint are chained in ``SALTS`` parts and the parts among themselves, each table in an order of its own; the
+    first of them meets the other fingerprints for all.
+    """
+    r = radius // 2
+    order = F.xxhash64("t", "node")
+    mine = nodes.withColumns({"order": order, "salt": F.pmod(F.xxhash64(F.lit(5), "t", "node"), F.lit(SALTS))})
+    first = mine.groupBy("t", "fp", "salt").agg(F.min(F.struct("order", "node", "proof")).alias("x"), F.count("*").alias("n"))
+    before = lambda c, *by: F.lag(c).over(Window.partitionBy(*by).orderBy("order"))
+    chained = mine.withColumns({"b": before("node", "t", "fp", "salt"), "q": before("proof", "t", "fp", "salt")}).select(F.col("node").alias("a"), "b", F.col("proof").alias("p"), "q")
+    parts = first.select("t", "fp", "x.*")
+    chained = chained.unionByName(parts.withColumns({"b": before("node", "t", "fp"), "q": before("proof", "t", "fp")}).select(F.col("node").alias("a"), "b", F.col("proof").alias("p"), "q"))
+    lead = stored(parts.groupBy("t", "fp").agg(F.min(F.struct("order", "node", "proof")).alias("x")).select("t", "fp", "x.node", "x.proof"), "first-of-fingerprints")
+
+    def meet(t: pa.Table) -> pa.Table:
+        node, suffix = t.column("node").to_numpy(), width - t.column("done")[0].as_py()
+        fp, first = np.unique(t.column("fp").to_numpy().view(np.uint64), return_index=True)
+        a, b = local_pairs(fp, t.column("left").to_numpy()[first], suffix, r, radius)
+        return pa.table({"a": node[first[a]], "b": node[first[b]]})
+
+    met_ = groups(lead, radius, width, hot_variants).groupBy("key", "done").applyInArrow(meet, "a long, b long").distinct()
+    proofs = nodes.where("t = 0")
+    near_ = (met_.join(proofs.select(F.col("node").alias("a"), F.col("proof").alias("p")), "a").join(proofs.select(F.col("node").alias("b"), F.col("proof").alias("q")), "b").select("a", "b", "p", "q"))
+    both = chained.where("b is not null").unionByName(near_).where((F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= PROOF_BITS) & (F.col("a") != F.col("b")))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def cluster(fps: DataFrame, radius: int = 4) -> DataFrame:
     """(fp, component_id): least doc_id that each fingerprint of ``fps(doc_id, fp)`` reaches."""
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.coalesce("least", F.xxhash64("fp"))), "fps")
-    found = components(links(nodes, radius))
+    found = components(links(nodes.withColumn("t", F.lit(0)), radius))
     named = nodes.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("c"))
     best = named.groupBy("c").agg(F.min("least").alias("component_id"))
     return named.join(best, "c").select("fp", "component_id")
@@ -248,9 +310,6 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
             sets = [shingle_set(t, shingle).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "s"])
 
-    def near(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if small_enough(df, BROADCAST_IDS) else df
-
     def holds(some: DataFrame) -> DataFrame:
         both = some.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
@@ -288,7 +347,6 @@ def similar_groups(docs: DataFrame, shingle: int = 5, tables: int = 28, width: i
     99.9 % of pairs of similarity 0.9, 99.8 % at 0.85 and 97 % at 0.8. Each candidate is then verified by its texts' shingles.
     """
     words = -(-64 // width)
-    names = [f"f{t}" for t in range(tables)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -301,14 +359,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, tables: int = 28, width: i
             proof = made[:, tables].copy()
             for w in range(1, words):
                 proof |= made[:, tables + w] << (w * width)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(made[:, t]) for t in range(tables)], pa.array(proof)], ["node", *names, "proof"])
+            for t in range(tables):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(made), t, np.int32)), pa.array(made[:, t]), pa.array(proof)], ["node", "t", "fp", "proof"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = stored(rows.mapInArrow(run, "doc_id long, sign binary"), "signatures")
     # Rows of one whole signature are one node, named by the least doc_id.
     whole = stored(signed.groupBy("sign").agg(F.min("doc_id").alias("node")), "signature-nodes")
-    nodes = whole.select("node", "sign").mapInArrow(unpack, "node long, " + ", ".join(f"{n} long" for n in names) + ", proof long")
-    pairs = stored(links(stored(nodes, "signature-words"), radius, width, tuple(names), "proof"), "candidate-pairs")
+    nodes = stored(whole.select("node", "sign").mapInArrow(unpack, "node long, t int, fp long, proof long"), "signature-words")
+    pairs = stored(candidate_pairs(nodes, radius, width), "candidate-pairs")
+    drop_stored(nodes)
     found = components(verified(pairs, rows, shingle, similarity))
     named = whole.join(found, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     return signed.join(named, "sign").select("doc_id", "component_id")

@@ -11,11 +11,11 @@ WITH RECURSIVE lines AS (
   SELECT doc_id, i - 1 AS line_no, list_extract(l, i) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) AS u(i)
 ), used AS (
-  SELECT *, dense_rank() OVER (ORDER BY line) AS id FROM lines WHERE len(regexp_extract_all(line, '{WORD}')) >= 3
+  SELECT *, dense_rank() OVER (ORDER BY line) AS id FROM lines WHERE regexp_matches(line, '{WORD}')
 ), texts AS (
-  SELECT DISTINCT id, line, length(line) AS n FROM used WHERE length(line) >= 30
+  SELECT DISTINCT id, line, length(line) AS n FROM used WHERE length(line) >= 10
 ), links AS (
-  SELECT a.id AS a, b.id AS b FROM texts a JOIN texts b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.id < b.id AND levenshtein(a.line, b.line) <= 2
+  SELECT a.id AS a, b.id AS b FROM texts a JOIN texts b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.id < b.id AND levenshtein(a.line, b.line) <= least(2, least(a.n, b.n) // 10)
 ), both_ways AS (
   SELECT a, b FROM links UNION ALL SELECT b, a FROM links
 ), reach(id, r) AS (

@@ -11,7 +11,9 @@ each character less a cutoff calibrated on URLs kept out of the counts.
 The models count at most ``SAMPLE`` URLs of each kind, chosen by hash, so what is sent to
 tasks is bounded; every URL is judged. Defined results: null URLs and URLs without
 ``://`` have an empty host and path, no rule fits them and an empty text is
-allowed; repeated rows count again; with no URLs of one kind everything else is allowed.
+allowed; repeated rows count again and are judged alike; with no URLs of one kind everything else is allowed; a difference equal to the cutoff
+allows; URLs are read whole, however long; rules of one length are tried in order of their text, the last that fits decides; an empty table gives an empty
+table; columns other than those named are not read.
 """
 
 from __future__ import annotations

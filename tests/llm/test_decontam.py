@@ -66,3 +66,25 @@ def test_decontaminate_cuts_or_drops(spark):
     assert sorted(r.doc_id or 0 for r in decontam.decontaminate(awkward(spark), items).collect()) == [0, 3, 4, 5, 6, 7, 8]
     cut = {r.doc_id: r.text for r in decontam.decontaminate(awkward(spark), items, max_share=1.0).collect()}
     assert cut[1] == "the quick  away from home" and cut[3] is None
+
+
+@pytest.mark.parametrize("max_share", [0.0, 0.3, 0.4, 0.6, 1.0])
+def test_decontaminate_does_not_depend_on_blocks(spark, max_share):
+    docs, items = made(11)
+    docs = docs + [" ".join(f"u{i}" for i in range(20)) + " " + " ".join(f"v{i}" for i in range(20))]
+    items = items + [(20, " ".join(f"u{i}" for i in range(5, 15))), (21, " ".join(f"v{i}" for i in range(5, 15))), (22, " ".join(f"v{i}" for i in range(12, 20)))]
+    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs + docs[:3] + [None])], "doc_id long, text string, __row string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    want = []
+    for r in d.collect():
+        w = decontam.normal_words((r.text or "").encode())
+        n, hit, _ = brute(r.text, items, 4)
+        if hit <= max_share * max(1, n):
+            want.append((r.doc_id, r["__row"], n - hit))
+    for block_words in (100_000, 40, 12, 5):
+        out = decontam.decontaminate(d, i, 4, max_share=max_share, block_words=block_words)
+        assert out.columns == d.columns
+        got = out.collect()
+        assert sorted((r.doc_id, r["__row"], len(decontam.normal_words((r.text or "").encode()))) for r in got) == sorted(want), block_words
+    if max_share == 0.4:  # 18 of 40 words are hit, by three items: each alone would be under the share
+        assert len(docs) - 1 not in {r.doc_id for r in got}

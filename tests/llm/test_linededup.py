@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cadence.llm import linededup
@@ -47,12 +48,8 @@ def test_band_equals_the_full_table(spark):
             assert r.n == d if d <= tau else r.n > tau, r
 
 
-def test_classes_equal_brute_force(spark):
-    rng = random.Random(4)
-    seeds = ["".join(rng.choice("ab cde") for _ in range(rng.randrange(24, 60))) for _ in range(30)]
-    lines = [edited(rng, rng.choice(seeds), rng.randrange(4)) for _ in range(240)]
-    docs = [(i, "\n".join(lines[i * 8:i * 8 + 8])) for i in range(30)]
-    got = {(r.doc_id, r.line_no): (r.first_doc, r.first_line, r.kept) for r in linededup.line_classes(spark.createDataFrame(docs, "doc_id long, text string"), min_words=1).collect()}
+def brute_classes(docs, min_chars, per_edit, tau=2):
+    """{(doc_id, line_no): (first_doc, first_line, kept)} by comparing all lines."""
     spots = [(d, n, x) for d, t in docs for n, x in enumerate(t.split("\n")) if x.split()]
     par = list(range(len(spots)))
 
@@ -64,15 +61,77 @@ def test_classes_equal_brute_force(spark):
     for i, (_, _, a) in enumerate(spots):
         for j in range(i):
             b = spots[j][2]
-            if a == b or (min(len(a), len(b)) >= 30 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2):
+            short = min(len(a), len(b))
+            most = min(tau, short // per_edit) if per_edit else tau
+            if a == b or (short >= min_chars and abs(len(a) - len(b)) <= most and distance(a, b) <= most):
                 x, y = find(i), find(j)
                 par[max(x, y)] = min(x, y)
-    assert got == {(d, n): (*spots[find(i)][:2], find(i) == i) for i, (d, n, _) in enumerate(spots)}
+    return {(d, n): (*spots[find(i)][:2], find(i) == i) for i, (d, n, _) in enumerate(spots)}
+
+
+def made_lines(seed, lengths, n=240):
+    rng = random.Random(seed)
+    seeds = ["".join(rng.choice("ab cde") for _ in range(rng.randrange(*lengths))) for _ in range(30)]
+    lines = [edited(rng, rng.choice(seeds), rng.randrange(4)) for _ in range(n)]
+    return [(i, "\n".join(lines[i * 8:i * 8 + 8])) for i in range(n // 8)]
+
+
+def classes(spark, docs, **options):
+    return {(r.doc_id, r.line_no): (r.first_doc, r.first_line, r.kept) for r in linededup.line_classes(spark.createDataFrame(docs, "doc_id long, text string"), **options).collect()}
+
+
+@pytest.mark.parametrize("lengths, min_chars, per_edit", [((24, 60), 30, 0), ((6, 40), 10, 10), ((9, 14), 9, 0)])
+def test_classes_equal_brute_force(spark, lengths, min_chars, per_edit):
+    docs = made_lines(4, lengths)
+    assert classes(spark, docs, min_chars=min_chars, per_edit=per_edit) == brute_classes(docs, min_chars, per_edit)
+
+
+@pytest.mark.parametrize("lengths, per_edit", [((24, 60), 0), ((12, 40), 10)])
+def test_hot_segments_lose_no_pair(spark, monkeypatch, lengths, per_edit):
+    """With every segment hot, all links come from lines without a few of many segments."""
+    monkeypatch.setattr(linededup, "HOT_LINES", 1)
+    monkeypatch.setattr(linededup, "SAMPLED", 1)
+    docs = made_lines(7, lengths)
+    assert classes(spark, docs, min_chars=10, per_edit=per_edit) == brute_classes(docs, 10, per_edit)
+
+
+def test_a_segment_that_all_lines_share(spark, monkeypatch):
+    """Lines from one template: the common segments compare nothing, classes stay those of brute force."""
+    monkeypatch.setattr(linededup, "HOT_LINES", 64)
+    rng = random.Random(9)
+    lines = [f"Posted by user {rng.randrange(10**9):09d} on the board of the town" for _ in range(400)]
+    docs = [(i, "\n".join(lines[i * 8:i * 8 + 8] + [edited(rng, lines[i * 8], 1)])) for i in range(50)]
+    seen = []
+    paired = linededup.paired
+    monkeypatch.setattr(linededup, "paired", lambda *a: seen.append(paired(*a).distinct().count()) or paired(*a))
+    assert classes(spark, docs) == brute_classes(docs, 10, 10)
+    assert sum(seen) < 450 * 449 / 2 / 20  # pairs that were compared, of all
+
+
+def test_equal_hashes_of_different_lines(spark, monkeypatch):
+    """Lines whose first hash agrees are told apart by the second."""
+    docs = made_lines(8, (6, 40), 120)
+    want = brute_classes(docs, 10, 10)
+    monkeypatch.setattr(linededup, "line_id", lambda line: F.length(line).cast("long"))
+    assert classes(spark, docs) == want
+
+
+def test_sql_and_operator_agree(spark, tmp_path):
+    import duckdb
+
+    from cadence.llm import queries
+
+    docs = made_lines(12, (6, 50)) + [(900, "one line"), (901, None), (902, ""), (903, " \n \none line\nOne line")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in queries.op5_line_dedup(spark, str(tmp_path)).select("doc_id", "line_no", "first_doc", "first_line", "kept").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.execute("SELECT doc_id, line_no, first_doc, first_line, kept FROM (" + queries.oracle_sql()["op5_line_dedup"] + ")").fetchall())
 
 
 def test_awkward_rows(spark):
     rows = linededup.line_classes(awkward(spark)).collect()
-    assert {r.doc_id: r.kept for r in rows} == {1: True, 2: False, 6: True, 7: True, None: True}
+    assert {r.doc_id: r.kept for r in rows} == {1: True, 2: False, 6: True, 7: True, 8: True, None: True}
     assert linededup.line_classes(none(spark)).count() == 0
     kept = linededup.dedup_lines(awkward(spark))
     assert kept.columns == awkward(spark).columns

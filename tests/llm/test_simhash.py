@@ -158,3 +158,46 @@ def test_recall_at_the_contract_similarity(spark):
     close = [i for i in range(0, len(docs), 2) if jaccard(docs[i], docs[i + 1]) >= 0.8]
     got = groups_of(spark, docs)
     assert len(close) > 200 and sum(got[i + 1] == i for i in close) >= 0.94 * len(close)
+
+
+def test_hot_groups_are_dealt_until_they_are_small(spark):
+    """A family of fingerprints that share their prefix: more bits deal it out, links stay those of brute force."""
+    rng = np.random.default_rng(21)
+    base = int(rng.integers(0, 1 << 63))
+    fps = {base}
+    for _ in range(300):
+        f = base
+        for b in rng.integers(0, 40, int(rng.integers(1, 9))):
+            f ^= 1 << int(b)
+        fps.add(f)
+    fps = sorted(fps)
+    nodes = spark.createDataFrame([(i, 0, int(np.uint64(f).view(np.int64))) for i, f in enumerate(fps)], "node long, t int, fp long")
+    largest = lambda limit: simhash.groups(nodes, 4, 64, limit).groupBy("key", "done").count().agg({"count": "max"}).first()[0]
+    assert largest(20_000) < largest(1e12) / 4
+    par = list(range(len(fps)))
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for limit in (1e12, 20_000):
+        par[:] = range(len(fps))
+        for r in simhash.links(nodes, 4, hot_variants=limit).collect():
+            assert (fps[r.a] ^ fps[r.b]).bit_count() <= 4
+            x, y = find(r.a), find(r.b)
+            par[max(x, y)] = min(x, y)
+        want = brute(fps, list(range(len(fps))), 4)
+        assert [find(i) for i in range(len(fps))] == [want[i] for i in range(len(fps))], limit
+
+
+def test_a_large_family_of_near_copies(spark):
+    """Every copy of a family is found, whatever part of it shares a fingerprint in some table."""
+    rng = np.random.default_rng(31)
+    base = [f"w{i}" for i in range(400)]
+    docs = []
+    for i in range(600):
+        own = list(base)
+        own[int(rng.integers(0, 400))] = f"x{i}"
+        docs.append(" ".join(own))
+    assert groups_of(spark, docs) == {i: 0 for i in range(600)}
