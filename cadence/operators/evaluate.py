@@ -144,7 +144,8 @@ def degradation(tall: DataFrame, short: int, long: int, by: Sequence[str] = ("mo
 def horizon_table(tall: DataFrame, horizons: Sequence[int], metrics: Sequence[str]) -> DataFrame:
     """One row for each model, one column for each horizon and metric, two digits."""
     names = [f"h={h} {m}" for h in horizons for m in metrics]
-    return tall.groupBy("model").pivot(F.concat(F.lit("h="), F.col("h"), F.lit(" "), F.col("metric")), names).agg(F.bround(F.first("value"), 2))
+    named = tall.withColumn("__c", F.concat(F.lit("h="), F.col("h").cast("string"), F.lit(" "), F.col("metric")))
+    return named.groupBy("model").pivot("__c", names).agg(F.bround(F.first("value"), 2))
 
 
 def ensemble(rows: DataFrame, by: Sequence[str], weights: dict[str, float] | None = None, how: str = "average") -> DataFrame:
