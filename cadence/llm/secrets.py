@@ -57,12 +57,15 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.replace(F.col(text_col).cast("string"), F.lit(MARK), F.lit(" "))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.lit(None) if path is None else path).cast("string").alias("path"),
                        F.split(F.regexp_replace(text, f"({CANDIDATE})", f"{MARK}$1{MARK}"), MARK, -1).alias("parts")).where(F.size("parts") > 1)
-    part = lambda i: F.coalesce(F.get("parts", i), F.lit(""))
+    rows = rows.withColumns({"tails": F.transform("parts", lambda p: F.right(p, F.lit(BESIDE))), "heads": F.transform("parts", lambda p: F.substring(p, 1, BESIDE))})
+    # So many parts hold BESIDE characters whatever lies between: every second one is a candidate.
+    reach = 2 * -(-BESIDE // LEAST_ASSIGNED)
 
     def found(k: Column) -> Column:
-        at = 2 * k + 1
-        return F.struct(k.cast("int").alias("place"), part(at).alias("candidate"), F.right(F.concat(F.right(part(at - 2), F.lit(BESIDE)), F.right(part(at - 1), F.lit(BESIDE))), F.lit(BESIDE)).alias("before"),
-                        F.substring(F.concat(F.substring(part(at + 1), 1, BESIDE), F.substring(part(at + 2), 1, BESIDE)), 1, BESIDE).alias("after"))
+        at = 2 * k + 1  # from 0
+        before = F.slice("tails", F.greatest(F.lit(1), at + 1 - reach), F.least(at, F.lit(reach)))
+        return F.struct(k.cast("int").alias("place"), F.get("parts", at).alias("candidate"), F.right(F.array_join(before, ""), F.lit(BESIDE)).alias("before"),
+                        F.substring(F.array_join(F.slice("heads", at + 2, F.lit(reach)), ""), 1, BESIDE).alias("after"))
 
     each = F.transform(F.sequence(F.lit(0), F.floor(F.size("parts") / 2).cast("int") - 1), found)
     return rows.select("doc_id", "path", F.explode(each).alias("x")).select("doc_id", "path", "x.*")
@@ -118,7 +121,8 @@ def with_features(found: DataFrame, trigrams: list[str], withheld: bool = False)
         "path_docs": path.rlike(r"(test|example|sample|doc|fixture)").cast("double"),
         "path_depth": F.regexp_count(path, F.lit("/")).cast("double"),
     }
-    made |= {f"beside_{k}": F.size(F.filter("__beside", lambda w, k=k: F.pmod(F.xxhash64(w), F.lit(NEIGHBOURS)) == k)) for k in range(NEIGHBOURS)}
+    in_bucket = lambda k: F.filter("__beside", lambda w: F.pmod(F.xxhash64(w), F.lit(NEIGHBOURS)) == k)
+    made |= {f"beside_{k}": F.size(in_bucket(k)) for k in range(NEIGHBOURS)}
     return found.withColumn("__beside", beside).withColumns({k: F.coalesce(made[k].cast("double"), F.lit(0.0)) for k in FEATURES}).drop("__beside")
 
 
