@@ -166,11 +166,36 @@ def local_forest(fps: np.ndarray, left: np.ndarray, suffix: int, r: int, radius:
 
 
 def local_pairs(fps: np.ndarray, left: np.ndarray, suffix: int, r: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs of one prefix group that met, each within the radius itself; no more than its variants."""
-    found = [np.unique(np.minimum(a, b).astype(np.int64) * len(fps) + np.maximum(a, b)) for a, b in met(fps, left, suffix, r, radius)]
+    """A spanning forest of the pairs of one prefix group that met, of such pairs alone and the closest of them; each is within the radius itself."""
+    n = max(1, len(fps))
+    found = [np.unique(np.minimum(a, b).astype(np.int64) * n + np.maximum(a, b)) for a, b in met(fps, left, suffix, r, radius)]
     every = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    every = every[every // max(1, len(fps)) != every % max(1, len(fps))]
-    return every // max(1, len(fps)), every % max(1, len(fps))
+    a, b = every // n, every % n
+    order = np.argsort(np.bitwise_count(fps[a] ^ fps[b]), kind="stable")
+    return spanning(a[order], b[order], len(fps))
+
+
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of ``n`` nodes those that join trees, the earlier before the later: every tree takes its first pair to another, until none is left."""
+    root, kept = np.arange(n), [np.zeros(0, np.int64)]
+    while True:
+        ra, rb = root[a], root[b]
+        at = np.flatnonzero(ra != rb)
+        if not len(at):
+            at = np.unique(np.concatenate(kept))
+            return a[at], b[at]
+        ends, pair = np.concatenate([ra[at], rb[at]]), np.concatenate([at, at])
+        order = np.lexsort((pair, ends))
+        first = np.flatnonzero(np.append(True, np.diff(ends[order]) != 0))
+        chosen = np.unique(pair[order][first])
+        kept.append(chosen)
+        while True:  # the least root of each joined tree spreads over it
+            ra, rb = root[a[chosen]], root[b[chosen]]
+            if np.array_equal(ra, rb):
+                break
+            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+            while not np.array_equal(root[root], root):
+                root = root[root]
 
 
 DEALT = "key long, done int, left byte, node long, fp long"
@@ -257,12 +282,12 @@ def links(nodes: DataFrame, radius: int = 4, width: int = 64, hot_variants: int
 def candidate_pairs(nodes: DataFrame, radius: int, width: int, hot_variants: int | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of ``nodes(node, t, fp, proof)`` that meet in a table t and whose proofs are no more than PROOF_BITS apart.
 
-    Nodes of one fingerprint are chained in ``SALTS`` parts and the parts among themselves, each table in an order of its own; the
-    first of them meets the other fingerprints for all.
+    Nodes of one fingerprint are chained in ``SALTS`` parts and the parts among themselves; the first of them meets the other fingerprints for all.
+    Order and part are those of the node in every table, so that a family of near copies gives few different pairs: its members have as neighbours
+    the next of those that share the table's fingerprint.
     """
     r = radius // 2
-    order = F.xxhash64("t", "node")
-    mine = nodes.withColumns({"order": order, "salt": F.pmod(F.xxhash64(F.lit(5), "t", "node"), F.lit(SALTS))})
+    mine = nodes.withColumns({"order": F.xxhash64("node"), "salt": F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(SALTS))})
     first = mine.groupBy("t", "fp", "salt").agg(F.min(F.struct("order", "node", "proof")).alias("x"), F.count("*").alias("n"))
     before = lambda c, *by: F.lag(c).over(Window.partitionBy(*by).orderBy("order"))
     chained = mine.withColumns({"b": before("node", "t", "fp", "salt"), "q": before("proof", "t", "fp", "salt")}).select(F.col("node").alias("a"), "b", F.col("proof").alias("p"), "q")
