@@ -29,6 +29,7 @@ FOLDED = 2048
 STATS = 14
 POSITIVES, UNLABELLED, MAX_FIT = 3000, 4500, 6000
 EPOCHS = 60
+SLACK = 0.02  #: what the calibration adds to the estimated prior, which errs downwards
 SPARED = 0.002  #: share of trusted positives that calibration may put below 0.5
 
 
@@ -81,11 +82,11 @@ def nnpu_fit(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = EPOCH
     return w, float(b)
 
 
-def class_prior(pos: np.ndarray, unl: np.ndarray, least: float = 0.1) -> float:
+def class_prior(pos: np.ndarray, unl: np.ndarray, least: float = 0.5) -> float:
     """Share of positives among unlabelled scores: above any threshold lie at least that share of what positives have above it.
 
     So the least ratio of both shares, over thresholds that keep ``least`` of the positives or more, bounds it, and meets it where some threshold leaves
-    no negatives (Scott, 2015). One half where nothing is known.
+    no negatives (Scott, 2015). The scores must come from a fit that saw none of the rows. One half where nothing is known.
     """
     if not len(pos) or not len(unl):
         return 0.5
@@ -95,6 +96,17 @@ def class_prior(pos: np.ndarray, unl: np.ndarray, least: float = 0.1) -> float:
     return float(np.clip(ratio.min(), 1 / (len(unl) + 2), 0.98))
 
 
+def unseen_margins(pos: np.ndarray, unl: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Margins of every row by a fit on the other half of the rows, each half's centred on its own fit's unlabelled rows."""
+    out = []
+    for half in (0, 1):
+        w, b = nnpu_fit(pos[half::2], unl[half::2], 0.5, epochs=EPOCHS // 2, decay=1e-2) if len(pos) > 1 and len(unl) > 1 else (np.zeros(pos.shape[1]), 0.0)
+        p, u = margins(pos[1 - half::2], w, b), margins(unl[1 - half::2], w, b)
+        mid, spread = (float(np.median(u)), float(np.std(u)) or 1.0) if len(u) else (0.0, 1.0)
+        out.append(((p - mid) / spread, (u - mid) / spread))
+    return np.concatenate([out[0][0], out[1][0]]), np.concatenate([out[0][1], out[1][1]])
+
+
 def sampled(rows: DataFrame, want: int, seed: str, kind: int) -> DataFrame:
     """(kind, h, x): features of about ``want`` rows of ``rows(doc_id, text)``, MAX_FIT at most, chosen by hash."""
     h = hash60(F.col("doc_id"), seed)
@@ -108,7 +120,7 @@ def sampled(rows: DataFrame, want: int, seed: str, kind: int) -> DataFrame:
 
 
 def margins(x: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
-    return np.concatenate([x[i:i + 512].astype(np.float64) @ w for i in range(0, len(x), 512)]) + b
+    return np.concatenate([np.zeros(0)] + [x[i:i + 512].astype(np.float64) @ w for i in range(0, len(x), 512)]) + b
 
 
 class Model:
@@ -129,11 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         pos, unl = x[kind == 1], x[kind == 0]
         if not len(pos) or not len(unl):
             return pa.table({"w": pa.array([], pa.binary()), "b": pa.array([], pa.float64()), "prior": pa.array([], pa.float64())})
-        w, b = nnpu_fit(pos, unl, 0.5)
-        prior = class_prior(margins(pos, w, b), margins(unl, w, b))
+        prior = class_prior(*unseen_margins(pos, unl))
         w, b = nnpu_fit(pos, unl, prior)
         # Score 0.5 lies where the prior's share of unlabelled rows passes, but no trusted positive beyond SPARED fails.
-        cut = min(float(np.quantile(margins(unl, w, b), 1 - prior)), float(np.quantile(margins(pos, w, b), SPARED)))
+        cut = min(float(np.quantile(margins(unl, w, b), 1 - min(0.98, prior + SLACK))), float(np.quantile(margins(pos, w, b), SPARED)))
         return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "b": [b - cut], "prior": [prior]})
 
     # The bounded sample is fitted in one task, so the driver only gets the weights.
