@@ -454,13 +454,13 @@ def net_inputs(z: np.ndarray, ends: np.ndarray, back: int, first: int) -> np.nda
 
 def net_fit(y, first=0, start=None, cell: str = "gru", back: int = 52, block: int = 4, smooth: int = 3, units: tuple[int, int] = (16, 8), dense: int = 16,
             epochs: int = 40, val: int = 26, patience: int = 8, batch: int = 32, rate: float = 0.005, seed: int = 42) -> dict:
-    """Trained on absolute errors by Adam; the last ``val`` windows stop it ``patience`` epochs after their best."""
+    """Changes from the last value, learnt on absolute errors by Adam; the last ``val`` windows stop it ``patience`` epochs after their best."""
     some(y, back + block + val)
     s = smoothed(y, smooth)
     lo, hi = float(s.min()), float(s.max())
     z = (s - lo) / max(hi - lo, 1e-9)
     ends = np.arange(back, len(y) - block + 1)
-    x, target = net_inputs(z, ends, back, first), np.stack([z[e:e + block] for e in ends])
+    x, target = net_inputs(z, ends, back, first), np.stack([z[e:e + block] - z[e - 1] for e in ends])
     rng = np.random.default_rng(seed)
     p = {k: rng.normal(0, 1, d) / np.sqrt(d[0]) if len(d) == 2 else np.zeros(d) for k, d in net_shape(cell, tuple(units), dense, block).items()}
     if cell == "lstm":  # gates that forget start open
@@ -501,7 +501,7 @@ def net_ahead(p, y, horizon, first=0, start=None, level=0.95):
     out = (smoothed(y, int(p["smooth"])) - lo) / max(hi - lo, 1e-9)
     while len(out) < n + horizon:
         x = net_inputs(np.append(out, 0.0), np.array([len(out)]), back, first)
-        out = np.append(out, np.clip(net_forward(net, p["cell"], x)[0][0], -0.5, 1.5))
+        out = np.append(out, np.clip(out[-1] + net_forward(net, p["cell"], x)[0][0], -0.5, 1.5))
     return banded(out[n:n + horizon] * (hi - lo) + lo, p["sigma"], level)
 
 
