@@ -29,12 +29,6 @@ def write_splits(new: DataFrame, path: str) -> None:
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("department", "age_group", "model", "split").parquet(path)
 
 
-def forecast_rows(train: DataFrame, held: DataFrame) -> DataFrame:
-    """Long predictions: training rows carry actuals under the model name ``actual``; ``held`` has split, model and predicted."""
-    first = train.select("date", F.lit("train").alias("split"), F.lit("actual").alias("model"), "actual", F.lit(None).cast("double").alias("predicted"), "department", "age_group")
-    return first.unionByName(held.select(*first.columns))
-
-
 def json_reports(reports: DataFrame, path: str) -> None:
     """A row for each report, as lines of JSON; Spark writes them where they are."""
     reports.write.mode("overwrite").json(path)
