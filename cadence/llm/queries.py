@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, lmscore, mixing, puquality, quality_rules, secrets, simhash, sql, urlfilter
+from . import decontam, langid, lexical, linededup, lmscore, mixing, puquality, quality_rules, secrets, simhash, sql, urlfilter
 from .common import fold, table
 
 
@@ -65,10 +65,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_scan, op2_language_id, op3_simhash_near_dedup, op4_source_mixing, op5_line_dedup, op6_url_filter,
-        op7_benchmark_decontamination, op8_quality_rules, op9_lm_scoring, op10_quality_classifier)}
+        op7_benchmark_decontamination, op8_quality_rules, op9_lm_scoring, op10_quality_classifier, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -76,5 +80,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_source_mixing": sql.MIXING,
         "op5_line_dedup": sql.LINE_DEDUP,
         "op7_benchmark_decontamination": sql.DECONTAMINATION,
+        "op13_lexical_search": sql.LEXICAL_SEARCH,
         "op8_quality_rules": sql.quality_rules(quality_rules.CUTOFFS, quality_rules.ALPHA, quality_rules.DELTA),
     }
