@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lexical, linededup, lmscore, mixing, puquality, quality_rules, secrets, simhash, sql, urlfilter
+from . import bpe, decontam, langid, lexical, linededup, lmscore, mixing, puquality, quality_rules, secrets, simhash, sql, urlfilter
 from .common import fold, table
 
 
@@ -65,6 +65,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), bpe.path("word_bpe_49k.json")), bpe.path("word_bpe_49k.json"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
@@ -72,7 +79,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_scan, op2_language_id, op3_simhash_near_dedup, op4_source_mixing, op5_line_dedup, op6_url_filter,
-        op7_benchmark_decontamination, op8_quality_rules, op9_lm_scoring, op10_quality_classifier, op13_lexical_search)}
+        op7_benchmark_decontamination, op8_quality_rules, op9_lm_scoring, op10_quality_classifier, op12_bpe_encoding, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
