@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, lexical, linededup, lmscore, mixing, puquality, quality_rules, secrets, simhash, sql, urlfilter
-from .common import fold, table
+from . import bpe, convtrie, decontam, langid, lexical, linededup, lmscore, mixing, puquality, quality_rules, secrets, simhash, sql, urlfilter
+from .common import drop_stored, fold, stored, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of conversations that share first turns in groups of twenty."""
+    turns = stored(convtrie.hashed(convtrie.turns(table(spark, sf_dir, "conversations"))), "turns")
+    rows, members = convtrie.with_shared_heads(turns, group=20, heads=4)
+    out = convtrie.prefix_trie(rows, members)
+    drop_stored(turns)
+    drop_stored(members)
+    return out
+
+
 def op12_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), bpe.path("word_bpe_49k.json")), bpe.path("word_bpe_49k.json"))
@@ -79,7 +89,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_scan, op2_language_id, op3_simhash_near_dedup, op4_source_mixing, op5_line_dedup, op6_url_filter,
-        op7_benchmark_decontamination, op8_quality_rules, op9_lm_scoring, op10_quality_classifier, op12_bpe_encoding, op13_lexical_search)}
+        op7_benchmark_decontamination, op8_quality_rules, op9_lm_scoring, op10_quality_classifier, op11_prefix_trie, op12_bpe_encoding, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -87,6 +97,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_source_mixing": sql.MIXING,
         "op5_line_dedup": sql.LINE_DEDUP,
         "op7_benchmark_decontamination": sql.DECONTAMINATION,
+        "op11_prefix_trie": sql.PREFIX_TRIE,
         "op13_lexical_search": sql.LEXICAL_SEARCH,
         "op8_quality_rules": sql.quality_rules(quality_rules.CUTOFFS, quality_rules.ALPHA, quality_rules.DELTA),
     }

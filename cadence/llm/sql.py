@@ -137,3 +137,33 @@ WITH words AS (
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
 FROM scored WHERE score > 0 QUALIFY rank <= 50
 """
+
+#: CRC-32 of a string of ASCII characters, bit by bit.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda ch: ascii(ch)::UBIGINT)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda c, z: xor(c >> 1, 3988292384::UBIGINT * (c & 1)))), 4294967295::UBIGINT)"""
+
+PREFIX_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS h,
+         coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS words FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, list(h ORDER BY p) AS hs, list(words ORDER BY p) AS ws FROM turns GROUP BY conv_id
+), heads AS (
+  SELECT c.conv_id, c.hs, c.ws, CAST({CRC32.format("c.conv_id")} % 4 AS BIGINT) AS h, b.hs AS bhs, b.ws AS bws FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 20
+), built AS (
+  SELECT conv_id, list_concat(coalesce(list_slice(bhs, 1, h), []), list_slice(hs, h + 1, len(hs))) AS hs, list_concat(coalesce(list_slice(bws, 1, h), []), list_slice(ws, h + 1, len(ws))) AS ws FROM heads
+), places AS (
+  SELECT conv_id, d, len(hs) = d AS ends, CASE WHEN d = 0 THEN 0 ELSE ws[d] END AS words, md5(array_to_string(list_slice(hs, 1, d), ',')) || '-' || d AS node,
+         CASE WHEN d > 0 THEN md5(array_to_string(list_slice(hs, 1, d - 1), ',')) || '-' || (d - 1) END AS up FROM built, unnest(range(0, len(hs) + 1)) AS u(d)
+), nodes AS (
+  SELECT node, any_value(up) AS up, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM places GROUP BY node
+), kids AS (
+  SELECT up AS node, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up
+), below AS (
+  SELECT DISTINCT a.node, b.node AS inner_node FROM places a JOIN places b ON a.conv_id = b.conv_id AND b.d >= a.d
+), sums AS (
+  SELECT below.node, count(*) FILTER (kids.node IS NULL) AS n_leaves, CAST(sum((n.n_convs - 1) * n.words) AS BIGINT) AS saved_tokens FROM below JOIN nodes n ON n.node = below.inner_node LEFT JOIN kids ON kids.node = below.inner_node GROUP BY below.node
+)
+SELECT n.conv_id, n.depth, parent.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n_children, 0) AS n_children, sums.n_leaves, sums.saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes parent ON parent.node = n.up LEFT JOIN kids ON kids.node = n.node JOIN sums ON sums.node = n.node
+"""
