@@ -20,17 +20,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_stored, stored
+from .common import LOWER, UPPER, drop_stored, stored
 from .linededup import near
 
-#: A maximal run of ASCII letters and digits and of everything beyond ASCII.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BUCKETS = 64
+#: Terms are maximal runs of ASCII letters and digits and of everything beyond ASCII; other ASCII characters part them.
+PARTING = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+LENGTH = ""  #: no term; its postings hold the documents' lengths
 
 
 def terms(text: Column) -> Column:
-    """Array of the terms of a text in order, repeats included."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(TERM), F.lit(0))
+    """Array of the terms of a text in order, A-Z lower-cased, repeats included."""
+    parted = F.translate(F.coalesce(text.cast("string"), F.lit("")), PARTING + UPPER, " " * len(PARTING) + LOWER)
+    return F.filter(F.split(parted, " "), lambda t: t != "")
 
 
 def bucket(term: Column) -> Column:
@@ -42,18 +44,18 @@ def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return items.select(F.col(id_col).alias("item_id"), F.explode(terms(F.col(text_col))).alias("term")).distinct()
 
 
-def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n) of every document with a term; n counts repeats."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_count(F.col(text_col).cast("string"), F.lit(TERM)).cast("long").alias("n"))
-    return rows.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 0")
-
-
 def postings(docs: DataFrame, wanted: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, term, doc_id, tf) of every document; ``wanted(term)`` leaves other terms out before anything is shuffled."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(terms(F.col(text_col))).alias("term"))
+    """(bucket, term, doc_id, tf) of every document, and its number of terms as tf of the term LENGTH.
+
+    ``wanted(term)`` leaves other terms out before anything is shuffled.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), terms(F.col(text_col)).alias("t"))
+    sized = texts.select("doc_id", "t", F.size("t").cast("long").alias("n")).where("n > 0")
+    rows = sized.select("doc_id", "n", F.explode(F.concat("t", F.array(F.lit(LENGTH)))).alias("term"))
     if wanted is not None:
-        rows = rows.join(near(wanted.select(F.col("term").alias("__term"))), F.col("term") == F.col("__term"), "left_semi")
-    counted = rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+        kept = wanted.select(F.col("term").alias("__term")).unionAll(docs.sparkSession.createDataFrame([(LENGTH,)], "__term string"))
+        rows = rows.join(near(kept), F.col("term") == F.col("__term"), "left_semi")
+    counted = rows.groupBy("term", "doc_id").agg(F.sum(F.when(F.col("term") == LENGTH, F.col("n")).otherwise(F.lit(1).cast("long"))).alias("tf"))
     return counted.select(bucket(F.col("term")).alias("bucket"), "term", "doc_id", "tf").sortWithinPartitions("bucket", "term")
 
 
@@ -67,18 +69,18 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id
     """(item_id, rank, doc_id, score): each item's ``k`` best documents with a score above 0, equal scores by ascending doc_id."""
     asked = stored(item_terms(items, item_col, item_text), "item-terms")
     index = stored(postings(docs, asked.select("term").distinct(), id_col, text_col), "postings")
-    sized = stored(lengths(docs, id_col, text_col), "lengths")
-    n, total = sized.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    lengths = index.where((F.col("bucket") == bucket(F.lit(LENGTH))) & (F.col("term") == LENGTH))
+    n, total = lengths.agg(F.count("*"), F.coalesce(F.sum("tf"), F.lit(0))).first()
     weighed = stored(weights(index, n).join(asked, "term").select("bucket", "term", "item_id", "w"), "weighed-terms")
     # m: half of 100, and half of a document's length in hundredths of the mean. A null id is told by a column of its own, so that
     # the sum by item and document finds the rows where the join has put them.
     key = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc")]
-    long = sized.select(*key, F.expr(f"100 - 50 + ((50L * n * {n}L) div {max(total, 1)}L)").alias("m"))
-    matched = index.select("bucket", "term", "tf", *key).join(long, ["none", "doc"]).join(near(weighed), ["bucket", "term"])
+    long = lengths.select(*key, F.expr(f"100 - 50 + ((50L * tf * {n}L) div {max(total, 1)}L)").alias("m"))
+    matched = index.where(F.col("term") != LENGTH).select("bucket", "term", "tf", *key).join(long, ["none", "doc"]).join(near(weighed), ["bucket", "term"])
     scored = matched.groupBy("item_id", "none", "doc").agg(F.sum(F.expr("w * ((1000000000L * tf) div (1000L * tf + 20L * m))")).alias("score")).where("score > 0")
     scored = scored.select("item_id", F.when(~F.col("none"), F.col("doc")).alias("doc_id"), "score")
     best = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     out = stored(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score"), "ranked")
-    for made in (asked, index, sized, weighed):
+    for made in (asked, index, weighed):
         drop_stored(made)
     return out
