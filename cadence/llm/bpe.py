@@ -13,7 +13,7 @@ start: it is encoded anew as one string, and it grows over chunks without white
    rows meet, and its ids go to the texts, which are put together in order. A core that more than ``HOT`` texts of a slice hold is dealt
    by slice, so no task gets all of a hot passage.
 
-Ids travel as two bytes each where the vocabulary allows. Within a task, words (runs without ASCII white space) are remembered, ``MEMO`` at most.
+Ids travel as two bytes each where the vocabulary allows. Within a task, words (runs without ASCII white space) are remembered, ``MEMO`` and those of a slice at most.
 
 Defined results: null and empty texts have no ids; very long texts are read whole; rows that are equal in id and text have equal results, a row for
 each; rows without an id keep a null id; empty tables give empty tables; other columns are not read, whatever their names. A tokenizer that keeps white
@@ -99,7 +99,7 @@ def head(hashed: bytes) -> int:
 
 
 class Encoder:
-    """A tokenizer in a task, with the ids of the words it has met as bytes."""
+    """A tokenizer in a worker, with the ids of the words it has met as bytes."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -110,22 +110,46 @@ class Encoder:
         self.tok.no_truncation()
         self.kind = id_kind(self.tok)
         self.stop = next((t.content for t in self.tok.get_added_tokens_decoder().values() if t.special and not t.normalized), None)
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.ends = np.array([bool(suffix) and (self.tok.id_to_token(i) or "").endswith(suffix) for i in range(self.tok.get_vocab_size())])
+        ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        self.marks = b"".join(c.encode() for c in ".,;:!?" if ids(f"ab{c}{c}") == ids("ab") + ids(c + c))  # marks after a word that are a piece of their own
         self.memo: dict[bytes, bytes] = {}
 
+    def keep(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        data, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
+        self.memo.update(zip(words, map(data.__getitem__, map(slice, (starts * size).tolist(), (ends * size).tolist()))))
+
     def fill(self, words: list[bytes]) -> None:
-        """Ids of new words, many in a call: a special token between words keeps them apart. Words that may hold one are encoded alone."""
-        plain = [w for w in words if self.stop and b"<" not in w]
-        odd = [w for w in words if not self.stop or b"<" in w]
-        if plain:
-            stop = self.tok.token_to_id(self.stop)
-            texts = [self.stop.join(w.decode() for w in plain[i:i + 500]) for i in range(0, len(plain), 500)]
-            at = 0
-            for e in self.tok.encode_batch_fast(texts, add_special_tokens=False):
-                ids = np.array([*e.ids, stop], np.int64)
-                start = 0
-                for end in np.flatnonzero(ids == stop).tolist():
-                    self.memo[plain[at]] = ids[start:end].astype(self.kind).tobytes()
-                    at, start = at + 1, end + 1
+        """Ids of new words; one of letters and marks after them is put together from both."""
+        stems = {w: w.rstrip(self.marks) for w in words} if self.marks else {}
+        whole = {w: t for w, t in stems.items() if len(t) < len(w) and t.isalpha()}
+        parts = set(whole.values()).union(w[len(t):] for w, t in whole.items()).union(w for w in words if w not in whole)
+        self.encode(list(parts.difference(self.memo)))
+        get = self.memo.__getitem__
+        self.memo.update((w, get(t) + get(w[len(t):])) for w, t in whole.items())
+
+    def encode(self, words: list[bytes]) -> None:
+        """Ids of many words in a call.
+
+        Words of ASCII letters are one piece each, so the ends of pieces part them. Others are kept apart by a special token between them;
+        those that may hold one are encoded alone.
+        """
+        letters = [w for w in words if w.isalpha()] if self.ends.any() else []
+        for i in range(0, len(letters), 1000):
+            some = letters[i:i + 1000]
+            ids = np.array(self.tok.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                self.keep(some, ids, np.append(0, ends[:-1]), ends)
+        rest = [w for w in words if w not in self.memo]
+        plain = [w for w in rest if self.stop and b"<" not in w]
+        for i in range(0, len(plain), 500):
+            some = plain[i:i + 500]
+            ids = np.array(self.tok.encode_batch_fast([self.stop.join(map(bytes.decode, some))], add_special_tokens=False)[0].ids, np.int64)
+            stops = np.flatnonzero(ids == self.tok.token_to_id(self.stop))
+            self.keep(some, ids, np.append(0, stops + 1), np.append(stops, len(ids)))
+        odd = [w for w in rest if not self.stop or b"<" in w]
         for w, e in zip(odd, self.tok.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)):
             self.memo[w] = np.array(e.ids, self.kind).tobytes()
 
@@ -134,13 +158,24 @@ class Encoder:
         split = [t.split(b" ") for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = {w for ws in split for w in ws}.difference(self.memo)
+        new = set().union(*split).difference(self.memo)
         if new:
-            self.fill(sorted(new))
+            self.fill(list(new))
         get = self.memo.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(spec: str) -> Encoder:
+    """The worker's encoder, made once; another tokenizer takes its place."""
+    if spec not in _encoders:
+        _encoders.clear()
+        _encoders[spec] = Encoder(spec)
+    return _encoders[spec]
+
+
 def id_kind(tok) -> np.dtype:
     return np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
 
@@ -195,7 +230,7 @@ def lists(ids: list[bytes], kind: np.dtype) -> pa.Array:
 def in_place(spec, bits):
     """Texts without a shared core, encoded where they are: (id, ids)."""
     def run(batches: Iterable) -> Iterator:
-        encode, seen = Encoder(spec.value), None if bits is None else np.frombuffer(bits.value, np.uint8)
+        encode, seen = encoder(spec.value), None if bits is None else np.frombuffer(bits.value, np.uint8)
         for b in slices(batches):
             texts = [clean(t) for t in b.column(1).to_pylist()]
             whole = [i for i, t in enumerate(texts) if seen is None or not held(seen, cores(t))]
@@ -210,7 +245,7 @@ PARTS = "key long, hash binary, core binary, uid binary, pos int, copies int, id
 def parts(spec, bits):
     """The other texts as rows: joins with their ids, and shared cores by hash; a core's bytes go with its first row of a slice. Equal rows of a slice go once."""
     def run(batches: Iterable) -> Iterator:
-        encode, seen = Encoder(spec.value), np.frombuffer(bits.value, np.uint8)
+        encode, seen = encoder(spec.value), np.frombuffer(bits.value, np.uint8)
         for b in slices(batches):
             rows, joins, met, copies = [], [], Counter(), Counter()
             for doc, text in zip(b.column(0).to_pylist(), map(clean, b.column(1).to_pylist())):
@@ -247,7 +282,7 @@ def parts(spec, bits):
 def encoded_once(spec):
     """Rows sorted by (hash, core first): each core is encoded where its first row stands, and all rows get its ids."""
     def run(batches: Iterable) -> Iterator:
-        encode, last, ids = Encoder(spec.value), None, b""
+        encode, last, ids = encoder(spec.value), None, b""
         for b in slices(batches, 2000):
             hashes, texts, own = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(6).to_pylist()
             fresh = {}
@@ -321,11 +356,11 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
         spec = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterable) -> Iterator:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_str(spec.value)
+        tok = encoder(spec.value).tok
         for b in slices(batches, 200):
-            texts = [None if i is None else tok.decode(i, skip_special_tokens=False) for i in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+            of = b.column(1)
+            ids, ends = of.values.to_numpy(zero_copy_only=False), of.offsets.to_pylist()  # a list of numbers a text; Arrow's own way to Python is slow
+            texts = [tok.decode(ids[a:z].tolist(), skip_special_tokens=False) if ok else None for a, z, ok in zip(ends, ends[1:], of.is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), of, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
