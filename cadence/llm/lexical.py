@@ -53,7 +53,7 @@ def postings(docs: DataFrame, wanted: DataFrame | None = None, id_col: str = "do
     sized = texts.select("doc_id", "t", F.size("t").cast("long").alias("n")).where("n > 0")
     rows = sized.select("doc_id", "n", F.explode(F.concat("t", F.array(F.lit(LENGTH)))).alias("term"))
     if wanted is not None:
-        kept = wanted.select(F.col("term").alias("__term")).unionAll(docs.sparkSession.createDataFrame([(LENGTH,)], "__term string"))
+        kept = wanted.select(F.col("term").alias("__term")).unionAll(docs.sparkSession.range(1).select(F.lit(LENGTH).alias("__term")))
         rows = rows.join(near(kept), F.col("term") == F.col("__term"), "left_semi")
     counted = rows.groupBy("term", "doc_id").agg(F.sum(F.when(F.col("term") == LENGTH, F.col("n")).otherwise(F.lit(1).cast("long"))).alias("tf"))
     return counted.select(bucket(F.col("term")).alias("bucket"), "term", "doc_id", "tf").sortWithinPartitions("bucket", "term")
