@@ -54,3 +54,8 @@ def change(short: Column, long: Column, metric: str) -> Column:
     if metric in ("mda", "r2"):
         return F.bround(long - short, 3)
     return F.when(short > 0, F.bround((F.try_divide(long, short) - 1) * 100, 1))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -174,6 +174,21 @@ def arma_errors(x: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
     return np.array(e)
 
 
+def settled(c: np.ndarray, sign: int, edge: float = 0.98) -> np.ndarray:
+    """Coefficients of a lag polynomial 1 + sign * (c_1 B + ...) whose inverse roots are pulled to ``edge`` where they lie beyond it.
+
+    So an autoregression stays stationary and a moving average invertible, whatever the size of single coefficients.
+    """
+    if not len(c) or not np.isfinite(c).all():
+        return np.zeros(len(c))
+    roots = np.roots(np.concatenate([[1.0], sign * c]))
+    size = np.abs(roots)
+    if (size <= edge).all():
+        return c
+    whole = np.real(np.poly(roots * np.where(size > edge, edge / np.maximum(size, edge), 1.0)))[1:] * sign
+    return np.concatenate([whole, np.zeros(len(c) - len(whole))])
+
+
 def arma_start(x: np.ndarray, p: int, q: int, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """AR and MA coefficients by regressions on past values and the errors of a long autoregression (Hannan and Rissanen)."""
     n = len(x)
@@ -185,7 +200,7 @@ def arma_start(x: np.ndarray, p: int, q: int, rounds: int = 4) -> tuple[np.ndarr
     for _ in range(rounds if p + q else 0):
         cols = [x[lead - i - 1:n - i - 1] for i in range(p)] + [e[lead - i - 1:n - i - 1] for i in range(q)]
         coef = np.linalg.lstsq(np.stack(cols, 1), x[lead:], rcond=None)[0]
-        ar, ma = np.clip(coef[:p], -0.98, 0.98), np.clip(coef[p:], -0.98, 0.98)
+        ar, ma = settled(coef[:p], -1), settled(coef[p:], 1)
         e = arma_errors(x, polynomial(ar, -1), polynomial(ma, 1))
     return ar, ma
 
@@ -205,7 +220,7 @@ def seasonal_arma(x: np.ndarray, order: tuple[int, int, int, int], period: int,
         jac = np.stack([(errors(theta + 1e-5 * u) - e) / 1e-5 for u in np.eye(len(theta))], 1)
         step, better = np.linalg.lstsq(jac, -e, rcond=None)[0], None
         for scale in (1.0, 0.5, 0.25, 0.1):
-            trial = np.clip(theta + scale * step, -0.98, 0.98)
+            trial = np.concatenate([settled(c, sign) for c, sign in zip(np.split(theta + scale * step, cut), (-1, 1, -1, 1))])
             t = errors(trial)
             if t @ t < e @ e:
                 better = trial, t

@@ -170,3 +170,11 @@ def autocorrelation(df: DataFrame, keys: Sequence[str], t: str, value: str, lags
     one = d.groupBy(*keys).agg(F.count("__d").alias("n"), *[F.try_divide(F.sum(F.col("__d") * F.col(f"__l{k}")), F.sum(F.col("__d") * F.col("__d"))).alias(f"l{k}") for k in range(1, lags + 1)])
     tall = one.unpivot([*keys, "n"], [f"l{k}" for k in range(1, lags + 1)], "lag", "acf")
     return tall.select(*keys, F.substring("lag", 2, 3).cast("int").alias("lag"), "acf", (F.abs("acf") > 1.96 / F.sqrt("n")).alias("significant"))
+
+
+def significant_lags(df: DataFrame, keys: Sequence[str], t: str, value: str, lags: int = 40) -> DataFrame:
+    """(keys, lag_1, significant_lags): the first autocorrelation, and how many up to ``lags`` or half of the series lie beyond 1.96 over the root of n, lag 0 among them."""
+    each = autocorrelation(df, keys, t, value, lags)
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__n"))
+    known = each.join(sizes, list(keys)).where(F.col("lag") <= F.floor(F.col("__n") / 2))
+    return known.groupBy(*keys).agg(F.max(F.when(F.col("lag") == 1, F.col("acf"))).alias("lag_1"), (1 + F.count_if("significant")).alias("significant_lags"))

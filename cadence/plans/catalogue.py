@@ -627,7 +627,7 @@ def model_query(name: str, model: str, **options):
     _queries[name] = run
 
 
-for _name, _model in (("holt_winters", "holt_winters"), ("arimax", "sarima"), ("arimax_auto", "auto_sarima"), ("additive_trend_season", "prophet"), ("recurrent_lstm", "lstm"), ("recurrent_gru", "gru")):
+for _name, _model in (("arimax_auto", "auto_sarima"), ("recurrent_lstm", "lstm"), ("recurrent_gru", "gru")):
     model_query(_name, _model)
 
 
@@ -875,8 +875,12 @@ def region_backtest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import learning  # noqa: F401  registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import learning  # noqa: F401
+
     return dict(_sql)
