@@ -109,11 +109,23 @@ class Encoder:
         self.tok.no_padding()
         self.tok.no_truncation()
         self.kind = id_kind(self.tok)
-        self.stop = next((t.content for t in self.tok.get_added_tokens_decoder().values() if t.special and not t.normalized), None)
+        added = self.tok.get_added_tokens_decoder().values()
+        self.stop = next((t.content for t in added if t.special and not t.normalized), None)
+        self.specials = [t.content.lower().encode() for t in added]
+        self.risky = {s[:1] for s in self.specials}
         suffix = getattr(self.tok.model, "end_of_word_suffix", None)
-        self.ends = np.array([bool(suffix) and (self.tok.id_to_token(i) or "").endswith(suffix) for i in range(self.tok.get_vocab_size())])
+        self.names = np.array([self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())], object)
+        self.ends = np.array([bool(suffix) and t.endswith(suffix) for t in self.names])
         ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
         self.marks = b"".join(c.encode() for c in ".,;:!?" if ids(f"ab{c}{c}") == ids("ab") + ids(c + c))  # marks after a word that are a piece of their own
+        upper = "".join(map(chr, range(65, 91)))
+        self.folds = ids(upper) == ids(upper.lower()) and all(ids(c) == ids(c.lower()) for c in upper)
+        self.plain = None  # for lower-case letters of ASCII, which a normalizer that folds leaves alone
+        if self.folds and self.ends.any():
+            self.plain = Tokenizer.from_str(spec)
+            self.plain.normalizer = None
+            self.plain.no_padding()
+            self.plain.no_truncation()
         self.memo: dict[bytes, bytes] = {}
 
     def keep(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
@@ -132,30 +144,38 @@ class Encoder:
     def encode(self, words: list[bytes]) -> None:
         """Ids of many words in a call.
 
-        Words of ASCII letters are one piece each, so the ends of pieces part them. Others are kept apart by a special token between them;
-        those that may hold one are encoded alone.
+        Words of letters are one piece each, so the ends of pieces part them (if there are as many); small letters of ASCII need no normalizer. Others are
+        kept apart by a special token between them; those that may hold one are encoded alone.
         """
-        letters = [w for w in words if w.isalpha()] if self.ends.any() else []
-        for i in range(0, len(letters), 1000):
-            some = letters[i:i + 1000]
-            ids = np.array(self.tok.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some):
-                self.keep(some, ids, np.append(0, ends[:-1]), ends)
+        small = [w for w in words if w.isalpha() and w.islower()] if self.plain else []
+        letters = [w for w in words if not w.isascii() and w.decode().isalpha()] if self.ends.any() else []
+        for tok, of in ((self.plain, small), (self.tok, letters)):
+            for i in range(0, len(of), 1000):
+                some = of[i:i + 1000]
+                ids = np.array(tok.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids)
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                if len(ends) == len(some):
+                    self.keep(some, ids, np.append(0, ends[:-1]), ends)
         rest = [w for w in words if w not in self.memo]
-        plain = [w for w in rest if self.stop and b"<" not in w]
+        odd = {w for w in rest if not self.stop or any(c in w for c in self.risky)}
+        plain = [w for w in rest if w not in odd]
         for i in range(0, len(plain), 500):
             some = plain[i:i + 500]
             ids = np.array(self.tok.encode_batch_fast([self.stop.join(map(bytes.decode, some))], add_special_tokens=False)[0].ids, np.int64)
             stops = np.flatnonzero(ids == self.tok.token_to_id(self.stop))
             self.keep(some, ids, np.append(0, stops + 1), np.append(stops, len(ids)))
-        odd = [w for w in rest if not self.stop or b"<" in w]
+        odd = sorted(odd)
         for w, e in zip(odd, self.tok.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)):
             self.memo[w] = np.array(e.ids, self.kind).tobytes()
 
+    def folded(self, text: bytes) -> bytes:
+        """With small letters of ASCII, which have the ids of capitals; not where that may make the name of a special token."""
+        low = text.lower() if self.folds else text
+        return text if any(s in low for s in self.specials) else low
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Ids of texts that are cut at white space, as bytes."""
-        split = [t.split(b" ") for t in texts]
+        split = [self.folded(t).split(b" ") for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
         new = set().union(*split).difference(self.memo)
@@ -356,11 +376,13 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
         spec = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterable) -> Iterator:
-        tok = encoder(spec.value).tok
+        tok, names = encoder(spec.value).tok, encoder(spec.value).names
         for b in slices(batches, 200):
             of = b.column(1)
             ids, ends = of.values.to_numpy(zero_copy_only=False), of.offsets.to_pylist()  # a list of numbers a text; Arrow's own way to Python is slow
-            texts = [tok.decode(ids[a:z].tolist(), skip_special_tokens=False) if ok else None for a, z, ok in zip(ends, ends[1:], of.is_valid().to_pylist())]
+            # Without a decoder the library joins tokens by blanks.
+            text = (lambda part: " ".join(names[part].tolist())) if tok.decoder is None else (lambda part: tok.decode(part.tolist(), skip_special_tokens=False))
+            texts = [text(ids[a:z]) if ok else None for a, z, ok in zip(ends, ends[1:], of.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), of, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -42,7 +42,7 @@ def test_texts_that_are_hard_to_cut(spark, tok):
     run = "汉字仮名交じり文" * 200
     base = ("it's we'll they'd I'M 3.14 x'y ''s 'Tis <b>bold</b> a<|endoftext|>b <|startoftext|> <|endoftext| > ﬁ Å Å é ́ x  y z\x1c\x85 İI Σς ß ẞ 👩‍👩‍👧 "
             "tab\tfeed\x0bform\x0creturn\rline\n" + "q" * 300 + " " + "don't" * 60 + " ")
-    texts = [base * 5, "x" + base * 5, base * 3 + run, run + base * 3, run, run * 2, "<|endoftext|>" * 100, " " * 500, "a " * 3000, "ab" * 3000, base[::-1] * 4, "y" + base[::-1] * 4, "́" * 700, " ́" * 700]
+    texts = [base * 5, "x" + base * 5, base * 3 + run, run + base * 3, run, run * 2, "<|endoftext|>" * 100, "<|ENDOFTEXT|> <|EndOfText|>x Ab " * 60, " " * 500, "a " * 3000, "ab" * 3000, base[::-1] * 4, "y" + base[::-1] * 4, "́" * 700, " ́" * 700]
     check(spark, tok, frame(spark, texts + texts))
 
 
