@@ -9,9 +9,13 @@ has that many characters for each edit at least, so short lines take fewer edits
   segment of the shorter line is found unchanged in the longer one, at a place that the
   lengths and the segment's number narrow to a few: the index holds (length, segment
   number, text) and each line probes it with those substrings for every partner length.
-- A segment that about ``HOT_LINES`` lines or more share (estimated on every 16th line by hash) compares nothing. Lines that
-  hold one are cut into t+``FINER`` segments instead: all but t of them are unchanged in a partner, so a key is the line with t
-  segments left out. Both lines of a pair that a hot segment would have joined are cut so; no pair is lost, and the estimate decides only which way finds it.
+- A segment that about ``HOT_LINES`` lines or more share (estimated on every 16th line by hash) compares nothing; the estimate decides only which way finds a pair.
+  Lines that hold one are cut into t+``FINER`` segments instead. A partner within t edits differs in one of them, or (t = 2) in two by one edit each; a key is the line without these,
+  and the pieces left out are kept beside it. Keys whose lines all agree in one of two pieces are dropped, as other keys hold their pairs. A key of ``FEW`` lines or
+  fewer gives pairs like any segment. The lines of a larger one (a template with a number in it) are not paired: they meet again by their left-out pieces, cut the same way while they are
+  longer than ``SHORT``, and at last by all patterns of a piece with as many edits, each a wildcard or a deletion. Lines that share a pattern with k
+  wildcards by d and d' deletions are within k+d+d' edits, so the line of fewest deletions stands for its pattern, and a link to it for each other line joins all that are near.
+  The number of rows grows with the lines, not with their pairs.
 - Candidates are filtered inside the join by counts of letters, which one edit can change
   by two in sum, and then verified by edit distance: a bit-parallel band of
   2*tau+1 rows that moves along the diagonal, so lines of any length need one word of bits.
@@ -27,6 +31,7 @@ removes such rows; very long lines and texts are read whole; empty tables give e
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,12 +43,14 @@ TAU = 2
 MIN_CHARS = 10
 MIN_WORDS = 1
 PER_EDIT = 10
-HOT_LINES = 1024
+HOT_LINES = 512
 SAMPLED = 16  #: one line in so many is read to find hot segments
 FINER = 10
+FEW = 32
+SHORT = 16
 GAP_OR_START = r"^[\x20\x09-\x0D]*"
-#: White space and the small letters but the two rarest: one edit changes their counts by two in sum at most.
-LETTERS = " abcdefghijklmnoprstuvwy"
+#: Blanks, digits and the small letters but four rare ones: one edit changes their counts by two in sum at most.
+LETTERS = " 0123456789abcdefghilmnoprstuvw"
 BROADCAST_IDS = 300_000
 
 
@@ -99,36 +106,133 @@ def one_segment(line: Column, size: Column, gap: int, t: int) -> list[Column]:
     return out
 
 
-def segments_left_out(tau: int) -> Column:
-    """Array of every way to leave t of t+FINER segments out: t, the partner's gap, the segments ``h``, and by how much ``m`` the text after each may have moved, ``gap`` at last."""
-    out = []
-    for t in range(1, tau + 1):
-        for gap in range(t + 1):
-            moves = [()]
-            for _ in range(t - 1):
-                moves = [(*m, s) for m in moves for s in range(-t, t + 1)]
-            moves = [(*m, gap) for m in moves]
-            moves = [m for m in moves if sum(abs(x - y) for x, y in zip(m, (0, *m))) <= t]
-            out += [f"named_struct('t', {t}, 'gap', {gap}, 'h', array{h if t > 1 else f'({h[0]})'}, 'm', array{m if t > 1 else f'({m[0]})'})" for h in combinations(range(t + FINER), t) for m in moves]
-    return F.expr("array(" + ", ".join(out) + ")")
+def ways(t: int) -> list[tuple[int, tuple[int, ...], tuple[int, ...]]]:
+    """Every way in which a line of the cut size and one ``gap`` longer differ by t edits: (gap, segments left out, by how much the text after each is moved)."""
+    parts = range(t + FINER)
+    out = [(gap, (i,), (gap,)) for gap in range(t + 1) for i in parts]
+    if t == 2:
+        out += [(gap, h, (m, gap)) for gap in range(3) for m in (-1, 0, 1) if abs(gap - m) <= 1 for h in combinations(parts, 2)]
+    return out
+
+
+def ways_column(tau: int) -> Column:
+    """The ways of all numbers of edits up to ``tau`` as an array of structs."""
+    each = [f"named_struct('t', {t}, 'gap', {gap}, 'h', array({', '.join(map(str, h))}), 'm', array({', '.join(map(str, m))}))" for t in range(1, tau + 1) for gap, h, m in ways(t)]
+    return F.expr("array(" + ", ".join(each) + ")")
 
 
-def finer_keys(line: Column, n: Column, tau: int, per_edit: int) -> Column:
-    """Array of packed keys of a line of ``n`` characters: the line but t of t+FINER segments, for partners no longer than the line."""
-    def key(x: Column) -> Column:
-        size, parts = n - x["gap"], x["t"] + FINER
-        at = lambda i: F.floor(size / parts).cast("int") * i + F.greatest(F.lit(0), i - (parts - size % parts))
+def without(text: Column, size: Column, parts: Column, h: Column, m: Column) -> Column:
+    """(kept, left): a text without the segments ``h`` of a cut of ``size`` into ``parts``, and those segments; m is by how much the text after each is moved."""
+    at = lambda i: F.floor(size / parts).cast("int") * i + F.greatest(F.lit(0), i - (parts - size % parts)).cast("int")
+    before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(m, k - 1))
+    last = F.size(h)
 
-        def piece(k: Column) -> Column:
-            start = F.when(k == 0, F.lit(0)).otherwise(at(F.get(x["h"], k - 1) + 1))
-            end = F.when(k == x["t"], size).otherwise(at(F.get(x["h"], k)))
-            return F.substring(line, start + 1 + F.when(k == 0, F.lit(0)).otherwise(F.get(x["m"], k - 1)), end - start)
+    def kept(k: Column) -> Column:
+        start = F.when(k == 0, F.lit(0)).otherwise(at(F.get(h, k - 1) + 1) + before(k))
+        end = F.when(k == last, F.length(text)).otherwise(at(F.get(h, k)) + before(k))
+        return F.substring(text, start + 1, end - start)
 
-        text = F.array_join(F.transform(F.sequence(F.lit(0), x["t"]), piece), "\n")
-        moved = (x["gap"] != 0) | F.exists(x["m"], lambda m: m != 0)
-        return F.shiftleft(F.xxhash64(size, x["h"], text), 1).bitwiseOR(moved.cast("long"))
+    def left(i: Column, k: Column) -> Column:
+        start = at(i) + before(k)
+        return F.substring(text, start + 1, at(i + 1) + F.get(m, k) - start)
 
-    return F.transform(F.filter(segments_left_out(tau), lambda x: allowed(n - x["gap"], tau, per_edit) == x["t"]), key)
+    return F.struct(F.array_join(F.transform(F.sequence(F.lit(0), last), kept), "\n").alias("kept"), F.transform(h, left).alias("left"))
+
+
+def one_piece(rows: DataFrame, tau: int, edits) -> DataFrame:
+    """(key, id, own, pieces, t, short) of rows (g, id, pieces, t) of one piece: for its own size, and for partners shorter by each gap.
+
+    ``edits(size, t)``: what a piece of that size allows. Pieces of up to SHORT characters are not cut.
+    """
+    text = F.col("pieces")[0]
+    n = F.length(text)
+    allowed_here = lambda gap: edits(n - gap, F.col("t"))
+    cut = F.filter(ways_column(tau), lambda x: (allowed_here(x["gap"]) == x["t"]) & (n - x["gap"] > SHORT))
+
+    def keyed(x: Column) -> Column:
+        size = n - x["gap"]
+        return let(without(text, size, x["t"] + FINER, x["h"], x["m"]), lambda w: F.struct(
+            F.xxhash64("g", size, x["h"], w["kept"]).alias("key"), ((x["gap"] == 0) & ~F.exists(x["m"], lambda m: m != 0)).alias("own"), w["left"].alias("pieces"), x["t"].alias("t"),
+            (F.ceil(size / (x["t"] + FINER)) <= SHORT).alias("short")))
+
+    whole = F.transform(F.filter(F.array(*[F.lit(g) for g in range(tau + 1)]), lambda g: (n - g <= SHORT) & (allowed_here(g) >= F.greatest(g, F.lit(1)))), lambda g: F.struct(
+        F.xxhash64("g", n - g).alias("key"), (g == 0).alias("own"), F.col("pieces").alias("pieces"), allowed_here(g).alias("t"), F.lit(True).alias("short")))
+    return rows.select("id", F.explode(F.concat(F.transform(cut, keyed), whole)).alias("x")).select("x.key", "id", "x.own", "x.pieces", "x.t", "x.short")
+
+
+def two_pieces(rows: DataFrame) -> DataFrame:
+    """The same of rows of two pieces that may differ by one edit each, the longer of them cut further. Either line may be the shorter in a piece, so every row counts as its own."""
+    def halves(text: Column) -> Column:
+        n, parts = F.length(text), 1 + FINER
+        cut = F.expr("array(" + ", ".join(f"named_struct('gap', {gap}, 'h', array({i}))" for gap in (0, 1) for i in range(parts)) + ")")
+
+        def made(x: Column) -> Column:
+            size = n - x["gap"]
+            return let(without(text, size, F.lit(parts), x["h"], F.array(x["gap"])), lambda w: F.struct(
+                F.xxhash64(size, x["h"], w["kept"]).alias("key"), w["left"][0].alias("piece"), (F.ceil(size / parts) <= SHORT).alias("short")))
+
+        long = F.transform(F.filter(cut, lambda x: n - x["gap"] > SHORT), made)
+        whole = F.transform(F.filter(F.array(F.lit(0), F.lit(1)), lambda g: (n - g <= SHORT) & (n >= g)), lambda g: F.struct(
+            F.xxhash64(n - g).alias("key"), text.alias("piece"), F.lit(True).alias("short")))
+        return F.concat(long, whole)
+
+    both = rows.withColumns({"x": halves(F.col("pieces")[0]), "y": halves(F.col("pieces")[1])}).select("g", "id", "t", "y", F.explode("x").alias("x")).select("g", "id", "t", "x", F.explode("y").alias("y"))
+    return both.select(F.xxhash64("g", "x.key", "y.key").alias("key"), "id", F.lit(True).alias("own"), F.array("x.piece", "y.piece").alias("pieces"), "t", (F.col("x.short") & F.col("y.short")).alias("short"))
+
+
+def one_edit(text: Column) -> Column:
+    """Patterns (p, k, d) of a text with one edit at most: a line end stands for any character."""
+    places = F.slice(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), F.lit(1), F.length(text))
+    at = lambda i, by: F.concat(F.substring(text, F.lit(1), i - 1), F.lit(by), F.substring(text, i + 1, F.length(text)))
+    pattern = lambda p, k, d: F.struct(p.alias("p"), F.lit(k).alias("k"), F.lit(d).alias("d"))
+    return F.array_distinct(F.concat(F.array(pattern(text, 0, 0)), F.transform(places, lambda i: pattern(at(i, "\n"), 1, 0)), F.transform(places, lambda i: pattern(at(i, ""), 0, 1))))
+
+
+def two_edits(text: Column) -> Column:
+    """Patterns of a text with two edits."""
+    n = F.length(text)
+    places = F.slice(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(1), n)
+    later = lambda i: F.slice(F.sequence(i + 1, F.greatest(n, i + 1)), F.lit(1), n - i)
+
+    def both(i: Column, j: Column) -> Column:
+        def with_(by: str, then: str) -> Column:
+            p = F.concat(F.substring(text, F.lit(1), i - 1), F.lit(by), F.substring(text, i + 1, j - i - 1), F.lit(then), F.substring(text, j + 1, n))
+            return F.struct(p.alias("p"), F.lit((by + then).count("\n")).alias("k"), F.lit(2 - (by + then).count("\n")).alias("d"))
+
+        return F.array(*[with_(by, then) for by in ("\n", "") for then in ("\n", "")])
+
+    return F.array_distinct(F.flatten(F.flatten(F.transform(places, lambda i: F.transform(later(i), lambda j: both(i, j))))))
+
+
+def pattern_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) that join all lines of ``rows(key, id, pieces, t)`` of one key whose left-out pieces are within t edits: a star for each pattern."""
+    single = F.when(F.col("t") == 1, one_edit(F.col("pieces")[0])).otherwise(F.concat(one_edit(F.col("pieces")[0]), two_edits(F.col("pieces")[0])))
+    one = rows.where(F.size("pieces") == 1).select("key", "id", "t", F.explode(single).alias("x")).select(F.xxhash64("key", "x.p").alias("at"), "id", "t", "x.k", "x.d")
+    pair = rows.where(F.size("pieces") == 2).select("key", "id", "t", F.explode(one_edit(F.col("pieces")[0])).alias("x"), F.col("pieces")[1].alias("z"))
+    pair = pair.select("key", "id", "t", "x", F.explode(one_edit(F.col("z"))).alias("y"))
+    two = pair.select(F.xxhash64("key", "x.p", "y.p").alias("at"), "id", "t", (F.col("x.k") + F.col("y.k")).alias("k"), (F.col("x.d") + F.col("y.d")).alias("d"))
+    met = Window.partitionBy("at")
+    each = one.unionAll(two).withColumn("lead", F.min(F.struct("d", "id")).over(met))
+    return each.where((F.col("lead.id") != F.col("id")) & (F.col("k") + F.col("d") + F.col("lead.d") <= F.col("t"))).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+
+
+def template_links(lines: DataFrame, tau: int, per_edit: int) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """Of ``lines(id, line)`` that share hot segments: stored links (a, b), rows (key, id, probe) of small keys that are to be paired, and the stored tables behind these."""
+    rows = lines.select(F.lit(0).cast("long").alias("g"), "id", F.array("line").alias("pieces"), F.lit(tau).alias("t"))
+    links, small, made = [], [], []
+    edits = lambda size, t: allowed(size, tau, per_edit)
+    while not rows.isEmpty():
+        keyed = one_piece(rows.where(F.size("pieces") == 1), tau, edits).unionAll(two_pieces(rows.where(F.size("pieces") == 2)))
+        groups = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.max(F.size("pieces")).alias("wide"), F.max("own").alias("owned"), F.min("id").alias("lo"), F.max("id").alias("hi"), *[f(F.xxhash64(F.get("pieces", F.lit(j)))).alias(f"{n}{j}") for j in (0, 1) for n, f in (("x", F.min), ("y", F.max))])
+        several = stored(groups.where("owned and lo <> hi and x0 <> y0 and (wide = 1 or x1 <> y1)").select(F.col("key").alias("__key"), (F.col("rows") > FEW).alias("big")), "finer-keys")
+        met = stored(keyed.join(near(several), F.col("key") == F.col("__key")).drop("__key"), "finer-rows")
+        small.append(met.where("not big").select("key", "id", F.when(F.col("own"), F.lit(0)).otherwise(F.lit(1)).alias("probe")).distinct())
+        links.append(stored(pattern_links(met.where("big and short")), "template-links"))
+        made.append(met)
+        rows = met.where("big and not short").select(F.col("key").alias("g"), "id", "pieces", "t").distinct()
+        edits = lambda size, t: t
+        drop_stored(several)
+    return links, small, made
 
 
 def segment_keys(line: Column, n: Column, tau: int, per_edit: int = 0) -> Column:
@@ -246,7 +350,8 @@ def edit_links(lines: DataFrame, twice: DataFrame, tau: int, min_chars: int, per
         return rows.select("id", F.shiftright("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1)).cast("int").alias("probe"))
 
     some = once.where(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(SAMPLED)) == 0)
-    hot = stored(keys(some).groupBy("key").count().where(F.col("count") >= HOT_LINES // SAMPLED).select(F.col("key").alias("hot")), "hot-segments")
+    enough = HOT_LINES // SAMPLED if tau <= 2 else 1 << 62  # lines are cut further for up to two edits
+    hot = stored(keys(some).groupBy("key").count().where(F.col("count") >= enough).select(F.col("key").alias("hot")), "hot-segments")
     # A hot segment's rows only name their lines, each under a key of its own.
     marked = (keys(once).join(near(hot), F.col("key") == F.col("hot"), "left")
               .select("id", F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.xxhash64(F.lit(3), "id")).alias("key"),
@@ -254,17 +359,18 @@ def edit_links(lines: DataFrame, twice: DataFrame, tau: int, min_chars: int, per
     shared = stored(meeting(marked), "shared-segments")
     ids = shared.select(F.col("id").alias("__want")).distinct()
     texts = stored(once.join(near(ids), F.col("id") == F.col("__want"), "left_semi").dropDuplicates(["id"]).select("id", "line", letter_counts(F.col("line")).alias("counts")), "candidate-lines")
-    finer = texts.join(near(shared.where("probe = 2").select(F.col("id").alias("__hot")).distinct()), F.col("id") == F.col("__hot"), "left_semi").select("id", "line")
-    finer = stored(meeting(keys(finer, finer_keys)), "finer-segments")
-    found = stored(paired(shared.where("probe < 2"), texts, tau).unionAll(paired(finer, texts, tau)).distinct(), "candidates")
+    hot_lines = stored(texts.join(near(shared.where("probe = 2").select(F.col("id").alias("__hot")).distinct()), F.col("id") == F.col("__hot"), "left_semi").select("id", "line"), "hot-lines")
+    near_pieces, small, kept = template_links(hot_lines, tau, per_edit)
+    candidates = [paired(rows, texts, tau) for rows in (shared.where("probe < 2"), *small)]
+    found = stored(reduce(DataFrame.unionAll, candidates).distinct(), "candidates")
     both = (found.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b"))
     first = F.length("la") >= F.length("lb")
     ordered = both.select("a", "b", F.when(first, F.col("la")).otherwise(F.col("lb")).alias("p"), F.when(first, F.col("lb")).otherwise(F.col("la")).alias("t"))
     most = allowed(F.length("t"), tau, per_edit)
     close = ordered.where(F.length("p") - F.length("t") <= most).where(banded_distance(F.col("p"), F.col("t"), tau) <= most)
-    links = stored(close.select("a", "b"), "line-links")
-    for made in (hot, shared, finer, texts, found):
+    links = stored(reduce(DataFrame.unionAll, [close.select("a", "b"), *near_pieces]).distinct(), "line-links")
+    for made in (hot, shared, hot_lines, texts, found, *near_pieces, *kept):
         drop_stored(made)
     return links
 

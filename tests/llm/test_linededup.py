@@ -156,3 +156,49 @@ def test_pipeline_takes_short_lines(spark):
     assert got[1].split("\n") == docs.where("doc_id = 1").first().text.split("\n")
     # Share that/thes page: two edits and one at 15 characters; Part 1/Part 2 are other lines.
     assert got[2] == "some quite other words of this text\nShare that page\nPart 2\n\nlast"
+
+
+@pytest.mark.parametrize("few, lengths, per_edit", [(0, (24, 60), 0), (0, (10, 40), 10), (0, (10, 22), 0), (3, (150, 300), 10), (0, (150, 420), 10)])
+def test_pieces_that_are_left_out_lose_no_pair(spark, monkeypatch, few, lengths, per_edit):
+    """With every segment and every key hot, all links come from patterns of left-out pieces, also of pieces that are cut again."""
+    monkeypatch.setattr(linededup, "HOT_LINES", 1)
+    monkeypatch.setattr(linededup, "SAMPLED", 1)
+    monkeypatch.setattr(linededup, "FEW", few)
+    monkeypatch.setattr(linededup, "SHORT", 12)
+    docs = made_lines(17, lengths, 160 if lengths[1] < 100 else 96)
+    assert classes(spark, docs, min_chars=10, per_edit=per_edit) == brute_classes(docs, 10, per_edit)
+
+
+@pytest.mark.parametrize("template", ["Lot {0} of the catalogue", "Posted by user {0} in the forum of the town", "On {0} of May the member {1} wrote", "Order {0} of client {1} was sent on day {2} from the store",
+                                      "Terms of use number {0}: " + "the reader agrees with all that stands below and above " * 4 + "in the copy {1} of the paper"])
+def test_templates_of_lines(spark, monkeypatch, template):
+    monkeypatch.setattr(linededup, "HOT_LINES", 32)
+    monkeypatch.setattr(linededup, "FEW", 8)
+    rng = random.Random(11)
+    lines = [template.format(rng.randrange(3000), rng.randrange(300), rng.randrange(40)) for _ in range(260)]
+    lines += [edited(rng, x, 1) for x in rng.sample(lines, 30)]
+    docs = [(i, "\n".join(lines[i * 10:i * 10 + 10])) for i in range(29)]
+    assert classes(spark, docs) == brute_classes(docs, 10, 10)
+
+
+def test_a_large_template_takes_time_in_proportion(spark, monkeypatch):
+    """20 000 lines that differ in one number: classes of a sample are those of brute force, and few pairs are compared."""
+    rng = random.Random(13)
+    numbers = rng.sample(range(10**7), 20_000)
+    docs = [(i, f"Posted by the user {n:07d} in the general discussion forum of our site today") for i, n in enumerate(numbers)]
+    seen = []
+    paired = linededup.paired
+    monkeypatch.setattr(linededup, "paired", lambda *a: seen.append(paired(*a).distinct().count()) or paired(*a))
+    got = classes(spark, docs)
+    assert sum(seen) < 20 * len(docs)
+    # All numbers within two edits of one of a sample are in its class.
+    near = {}
+    for i, n in enumerate(numbers):
+        s = f"{n:07d}"
+        for a in range(7):
+            for b in range(a + 1, 7):
+                near.setdefault((a, b, s[:a] + s[a + 1:b] + s[b + 1:]), []).append(i)
+    for i in rng.sample(range(20_000), 300):
+        s = f"{numbers[i]:07d}"
+        mates = {j for a in range(7) for b in range(a + 1, 7) for j in near[a, b, s[:a] + s[a + 1:b] + s[b + 1:]]}
+        assert {got[j, 0][0] for j in mates} == {got[i, 0][0]}
