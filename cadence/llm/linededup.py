@@ -11,7 +11,7 @@ has that many characters for each edit at least, so short lines take fewer edits
   number, text) and each line probes it with those substrings for every partner length.
 - A segment that about ``HOT_LINES`` lines or more share (estimated on every 16th line by hash) compares nothing; the estimate decides only which way finds a pair.
   Lines that hold one are cut into t+``FINER`` segments instead. A partner within t edits differs in one of them, or (t = 2) in two by one edit each; a key is the line without these,
-  and the pieces left out are kept beside it. Keys whose lines all agree in one of two pieces are dropped, as other keys hold their pairs. A key of ``FEW`` lines or
+  and the pieces left out are kept beside it. Keys whose lines all agree in one of two segments are dropped, as other keys hold their pairs. A key of ``FEW`` lines or
   fewer gives pairs like any segment. The lines of a larger one (a template with a number in it) are not paired: they meet again by their left-out pieces, cut the same way while they are
   longer than ``SHORT``, and at last by all patterns of a piece with as many edits, each a wildcard or a deletion. Lines that share a pattern with k
   wildcards by d and d' deletions are within k+d+d' edits, so the line of fewest deletions stands for its pattern, and a link to it for each other line joins all that are near.
@@ -45,9 +45,9 @@ MIN_WORDS = 1
 PER_EDIT = 10
 HOT_LINES = 512
 SAMPLED = 16  #: one line in so many is read to find hot segments
-FINER = 10
+FINER = 3  #: segments beyond the number of edits
 FEW = 32
-SHORT = 16
+SHORT = 8
 GAP_OR_START = r"^[\x20\x09-\x0D]*"
 #: Blanks, digits and the small letters but four rare ones: one edit changes their counts by two in sum at most.
 LETTERS = " 0123456789abcdefghilmnoprstuvw"
@@ -106,41 +106,53 @@ def one_segment(line: Column, size: Column, gap: int, t: int) -> list[Column]:
     return out
 
 
-def ways(t: int) -> list[tuple[int, tuple[int, ...], tuple[int, ...]]]:
-    """Every way in which a line of the cut size and one ``gap`` longer differ by t edits: (gap, segments left out, by how much the text after each is moved)."""
-    parts = range(t + FINER)
-    out = [(gap, (i,), (gap,)) for gap in range(t + 1) for i in parts]
+def ways(t: int) -> list[tuple[int, list[int], list[int], list[int]]]:
+    """Every way in which a line of the cut size and one ``gap`` longer differ by t edits: (gap, lo, hi, m), the runs lo..hi of segments left out and by how much the text after each is moved.
+
+    All edits lie in one segment, or (t = 2) one each in two, which are one run where they are neighbours.
+    """
+    parts = t + FINER
+    out = [(gap, [i], [i], [gap]) for gap in range(t + 1) for i in range(parts)]
     if t == 2:
-        out += [(gap, h, (m, gap)) for gap in range(3) for m in (-1, 0, 1) if abs(gap - m) <= 1 for h in combinations(parts, 2)]
+        out += [(gap, [i], [i + 1], [gap]) for gap in range(3) for i in range(parts - 1)]
+        out += [(gap, [i, j], [i, j], [m, gap]) for gap in range(3) for m in (-1, 0, 1) if abs(gap - m) <= 1 for i, j in combinations(range(parts), 2) if j > i + 1]
     return out
 
 
 def ways_column(tau: int) -> Column:
     """The ways of all numbers of edits up to ``tau`` as an array of structs."""
-    each = [f"named_struct('t', {t}, 'gap', {gap}, 'h', array({', '.join(map(str, h))}), 'm', array({', '.join(map(str, m))}))" for t in range(1, tau + 1) for gap, h, m in ways(t)]
-    return F.expr("array(" + ", ".join(each) + ")")
+    fields = lambda t, gap, lo, hi, m: f"named_struct('t', {t}, 'gap', {gap}, 'lo', array({', '.join(map(str, lo))}), 'hi', array({', '.join(map(str, hi))}), 'm', array({', '.join(map(str, m))}))"
+    return F.expr("array(" + ", ".join(fields(t, *w) for t in range(1, tau + 1) for w in ways(t)) + ")")
 
 
-def without(text: Column, size: Column, parts: Column, h: Column, m: Column) -> Column:
-    """(kept, left): a text without the segments ``h`` of a cut of ``size`` into ``parts``, and those segments; m is by how much the text after each is moved."""
+def without(text: Column, size: Column, parts: Column | int, x: Column) -> Column:
+    """(kept, left, u, v) of a text by a way ``x``: the text without the runs of a cut of ``size`` into ``parts``, the runs, and hashes of the first and of the last segment left out."""
     at = lambda i: F.floor(size / parts).cast("int") * i + F.greatest(F.lit(0), i - (parts - size % parts)).cast("int")
-    before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(m, k - 1))
-    last = F.size(h)
+    moved = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(x["m"], k - 1))
+    last = F.size(x["lo"])
 
     def kept(k: Column) -> Column:
-        start = F.when(k == 0, F.lit(0)).otherwise(at(F.get(h, k - 1) + 1) + before(k))
-        end = F.when(k == last, F.length(text)).otherwise(at(F.get(h, k)) + before(k))
+        start = F.when(k == 0, F.lit(0)).otherwise(at(F.get(x["hi"], k - 1) + 1) + moved(k))
+        end = F.when(k == last, F.length(text)).otherwise(at(F.get(x["lo"], k)) + moved(k))
         return F.substring(text, start + 1, end - start)
 
     def left(i: Column, k: Column) -> Column:
-        start = at(i) + before(k)
-        return F.substring(text, start + 1, at(i + 1) + F.get(m, k) - start)
+        start = at(i) + moved(k)
+        return F.substring(text, start + 1, at(F.get(x["hi"], k) + 1) + F.get(x["m"], k) - start)
+
+    def run(w: Column) -> Column:
+        first, final = w[0], F.element_at(w, -1)
+        width = lambda i: at(i + 1) - at(i)
+        lo, hi = x["lo"][0], F.element_at(x["hi"], -1)
+        neighbours = (last == 1) & (lo != hi)
+        return F.struct(F.array_join(F.transform(F.sequence(F.lit(0), last), kept), "\n").alias("kept"), w.alias("left"),
+                        F.xxhash64(F.when(neighbours, F.substring(first, F.lit(1), width(lo))).otherwise(first)).alias("u"), F.xxhash64(F.when(neighbours, F.right(final, width(hi))).otherwise(final)).alias("v"))
 
-    return F.struct(F.array_join(F.transform(F.sequence(F.lit(0), last), kept), "\n").alias("kept"), F.transform(h, left).alias("left"))
+    return let(F.transform(x["lo"], left), run)
 
 
 def one_piece(rows: DataFrame, tau: int, edits) -> DataFrame:
-    """(key, id, own, pieces, t, short) of rows (g, id, pieces, t) of one piece: for its own size, and for partners shorter by each gap.
+    """(key, id, own, pieces, u, v, t, short) of rows (g, id, pieces, t) of one piece: for its own size, and for partners shorter by each gap.
 
     ``edits(size, t)``: what a piece of that size allows. Pieces of up to SHORT characters are not cut.
     """
@@ -151,33 +163,36 @@ def one_piece(rows: DataFrame, tau: int, edits) -> DataFrame:
 
     def keyed(x: Column) -> Column:
         size = n - x["gap"]
-        return let(without(text, size, x["t"] + FINER, x["h"], x["m"]), lambda w: F.struct(
-            F.xxhash64("g", size, x["h"], w["kept"]).alias("key"), ((x["gap"] == 0) & ~F.exists(x["m"], lambda m: m != 0)).alias("own"), w["left"].alias("pieces"), x["t"].alias("t"),
-            (F.ceil(size / (x["t"] + FINER)) <= SHORT).alias("short")))
+        return let(without(text, size, x["t"] + FINER, x), lambda w: F.struct(
+            F.xxhash64("g", size, x["lo"], x["hi"], w["kept"]).alias("key"), ((x["gap"] == 0) & ~F.exists(x["m"], lambda m: m != 0)).alias("own"), w["left"].alias("pieces"), w["u"].alias("u"), w["v"].alias("v"),
+            x["t"].alias("t"), (F.ceil(2 * size / (x["t"] + FINER)) <= SHORT).alias("short")))
+
+    here = F.filter(F.array(*[F.lit(g) for g in range(tau + 1)]), lambda g: (n - g <= SHORT) & (allowed_here(g) >= F.greatest(g, F.lit(1))))
+    whole = F.transform(here, lambda g: F.struct(F.xxhash64("g", n - g).alias("key"), (g == 0).alias("own"), F.col("pieces").alias("pieces"), F.xxhash64(text).alias("u"), F.xxhash64(text).alias("v"),
+                                                 allowed_here(g).alias("t"), F.lit(True).alias("short")))
+    return rows.select("id", F.explode(F.concat(F.transform(cut, keyed), whole)).alias("x")).select("x.key", "id", *[f"x.{c}" for c in MET])
+
 
-    whole = F.transform(F.filter(F.array(*[F.lit(g) for g in range(tau + 1)]), lambda g: (n - g <= SHORT) & (allowed_here(g) >= F.greatest(g, F.lit(1)))), lambda g: F.struct(
-        F.xxhash64("g", n - g).alias("key"), (g == 0).alias("own"), F.col("pieces").alias("pieces"), allowed_here(g).alias("t"), F.lit(True).alias("short")))
-    return rows.select("id", F.explode(F.concat(F.transform(cut, keyed), whole)).alias("x")).select("x.key", "id", "x.own", "x.pieces", "x.t", "x.short")
+MET = ("own", "pieces", "u", "v", "t", "short")
 
 
 def two_pieces(rows: DataFrame) -> DataFrame:
     """The same of rows of two pieces that may differ by one edit each, the longer of them cut further. Either line may be the shorter in a piece, so every row counts as its own."""
     def halves(text: Column) -> Column:
         n, parts = F.length(text), 1 + FINER
-        cut = F.expr("array(" + ", ".join(f"named_struct('gap', {gap}, 'h', array({i}))" for gap in (0, 1) for i in range(parts)) + ")")
 
         def made(x: Column) -> Column:
             size = n - x["gap"]
-            return let(without(text, size, F.lit(parts), x["h"], F.array(x["gap"])), lambda w: F.struct(
-                F.xxhash64(size, x["h"], w["kept"]).alias("key"), w["left"][0].alias("piece"), (F.ceil(size / parts) <= SHORT).alias("short")))
+            return let(without(text, size, parts, x), lambda w: F.struct(F.xxhash64(size, x["lo"], w["kept"]).alias("key"), w["left"][0].alias("piece"), (F.ceil(size / parts) <= SHORT).alias("short")))
 
-        long = F.transform(F.filter(cut, lambda x: n - x["gap"] > SHORT), made)
+        long = F.transform(F.filter(ways_column(1), lambda x: n - x["gap"] > SHORT), made)
         whole = F.transform(F.filter(F.array(F.lit(0), F.lit(1)), lambda g: (n - g <= SHORT) & (n >= g)), lambda g: F.struct(
             F.xxhash64(n - g).alias("key"), text.alias("piece"), F.lit(True).alias("short")))
         return F.concat(long, whole)
 
     both = rows.withColumns({"x": halves(F.col("pieces")[0]), "y": halves(F.col("pieces")[1])}).select("g", "id", "t", "y", F.explode("x").alias("x")).select("g", "id", "t", "x", F.explode("y").alias("y"))
-    return both.select(F.xxhash64("g", "x.key", "y.key").alias("key"), "id", F.lit(True).alias("own"), F.array("x.piece", "y.piece").alias("pieces"), "t", (F.col("x.short") & F.col("y.short")).alias("short"))
+    return both.select(F.xxhash64("g", "x.key", "y.key").alias("key"), "id", F.lit(True).alias("own"), F.array("x.piece", "y.piece").alias("pieces"), F.xxhash64("x.piece").alias("u"), F.xxhash64("y.piece").alias("v"), "t",
+                       (F.col("x.short") & F.col("y.short")).alias("short"))
 
 
 def one_edit(text: Column) -> Column:
@@ -223,8 +238,8 @@ def template_links(lines: DataFrame, tau: int, per_edit: int) -> tuple[list[Data
     edits = lambda size, t: allowed(size, tau, per_edit)
     while not rows.isEmpty():
         keyed = one_piece(rows.where(F.size("pieces") == 1), tau, edits).unionAll(two_pieces(rows.where(F.size("pieces") == 2)))
-        groups = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.max(F.size("pieces")).alias("wide"), F.max("own").alias("owned"), F.min("id").alias("lo"), F.max("id").alias("hi"), *[f(F.xxhash64(F.get("pieces", F.lit(j)))).alias(f"{n}{j}") for j in (0, 1) for n, f in (("x", F.min), ("y", F.max))])
-        several = stored(groups.where("owned and lo <> hi and x0 <> y0 and (wide = 1 or x1 <> y1)").select(F.col("key").alias("__key"), (F.col("rows") > FEW).alias("big")), "finer-keys")
+        groups = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.max("own").alias("owned"), *[f(c).alias(f"{n}_{c}") for c in ("id", "u", "v") for n, f in (("lo", F.min), ("hi", F.max))])
+        several = stored(groups.where("owned and lo_id <> hi_id and lo_u <> hi_u and lo_v <> hi_v").select(F.col("key").alias("__key"), (F.col("rows") > FEW).alias("big")), "finer-keys")
         met = stored(keyed.join(near(several), F.col("key") == F.col("__key")).drop("__key"), "finer-rows")
         small.append(met.where("not big").select("key", "id", F.when(F.col("own"), F.lit(0)).otherwise(F.lit(1)).alias("probe")).distinct())
         links.append(stored(pattern_links(met.where("big and short")), "template-links"))
