@@ -178,3 +178,14 @@ def significant_lags(df: DataFrame, keys: Sequence[str], t: str, value: str, lag
     sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__n"))
     known = each.join(sizes, list(keys)).where(F.col("lag") <= F.floor(F.col("__n") / 2))
     return known.groupBy(*keys).agg(F.max(F.when(F.col("lag") == 1, F.col("acf"))).alias("lag_1"), (1 + F.count_if("significant")).alias("significant_lags"))
+
+
+def metric_grid(rows: DataFrame, test_set: str = "department", t: str = "date") -> DataFrame:
+    """The seven metrics of every test set and model, and of every model over all sets (test set null), in one window and one aggregate.
+
+    Directions are compared with the actual before within a set and model, whatever the level.
+    """
+    known = rows.where(F.col("actual").isNotNull() & F.col("predicted").isNotNull()).withColumn("__before", F.lag("actual").over(Window.partitionBy(test_set, "model").orderBy(t)))
+    made = metric_columns(F.col("actual").cast("double"), F.col("predicted").cast("double"), F.col("__before").cast("double"))
+    whole = known.groupingSets([[F.col(test_set), F.col("model")], [F.col("model")]], test_set, "model").agg(F.count("*").alias("n"), F.grouping(test_set).alias("__all"), *[c.alias(n) for n, c in made.items()])
+    return whole.select(F.when(F.col("__all") == 0, F.col(test_set)).alias(test_set), "model", "n", *METRICS)

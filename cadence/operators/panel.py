@@ -166,3 +166,24 @@ def age_groups_long(df: DataFrame, keys: Sequence[str], groups: dict[str, str])
     """One row for each age group; ``groups`` maps its name to its count column."""
     named = df.select(*keys, *[F.col(c).cast("double").alias(g) for g, c in groups.items()])
     return named.unpivot(list(keys), list(groups), "age_group", "cases")
+
+
+def levels(df: DataFrame, sets: Sequence[Sequence[str]], columns: Sequence[str], **aggregates: Column) -> DataFrame:
+    """(columns, level, aggregates): several granularities from one pass; ``level`` names the columns that a row is grouped by, the others are null in it."""
+    out = df.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(F.grouping_id(*columns).alias("__id"), *[a.alias(n) for n, a in aggregates.items()])
+    name = F.concat_ws(",", *[F.when(F.col("__id").bitwiseAND(F.lit(1 << (len(columns) - 1 - i))) == 0, F.lit(c)) for i, c in enumerate(columns)])
+    return out.withColumn("level", name).drop("__id").select(*columns, "level", *aggregates)
+
+
+def annual_workflow(df: DataFrame, counts: Sequence[str]) -> DataFrame:
+    """National and departmental counts, population, rates per 100 000 and their change on the year before, in percent, of rows (department, year, population, counts); one scan."""
+    wide = levels(df, [["year"], ["department", "year"]], ["department", "year"], population=F.sum("population"), **{c: F.sum(c) for c in counts})
+    rates = with_rates(wide, counts)
+    w = Window.partitionBy("department", "level").orderBy("year")
+    return rates.withColumns({f"{c}_change": (F.try_divide(F.col(f"{c}_rate"), F.lag(f"{c}_rate").over(w)) - 1) * 100 for c in counts})
+
+
+def seasonality_workflow(df: DataFrame, value: str = "incidence") -> DataFrame:
+    """Mean, deviation and extremes of ``value`` by month, by year and month, by department and month, and by year, of rows (department, year, month, value); one scan."""
+    v = F.col(value)
+    return levels(df, [["month"], ["year", "month"], ["department", "month"], ["year"]], ["department", "year", "month"], n=F.count(v), mean=F.avg(v), std=F.stddev_samp(v), least=F.min(v), most=F.max(v))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -724,7 +725,7 @@ def train_pipeline_naive(spark, d):
 @query(I.sql(I.CLEAN, f"SELECT department, 'naive' AS model, count(*) AS n, max(week_start) AS last_date, {r('arg_max(cases, week_start)', 'predicted')} FROM clean GROUP BY 1"))
 def saved_models(spark, d):
     """Models fitted, written, read back and asked for a forecast."""
-    path = f"{shared_dir(spark)}/models"
+    path = own(spark, "models")
     c = I.clean(spark, d)
     sinks.write(models.fitted(c, DEPT, "week_start", "cases", "naive"), path)
     saved = sinks.parameters(spark, path)
@@ -734,8 +735,13 @@ def saved_models(spark, d):
 
 # --- sources: written as the files that readers take, then read ----------------------------------------
 
+def own(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run has."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
+
+
 def written(df: DataFrame, name: str, fmt: str = "csv") -> str:
-    path = f"{shared_dir(df.sparkSession)}/{name}"
+    path = own(df.sparkSession, name)
     sinks.write(df, path, fmt)
     return path
 
@@ -783,7 +789,7 @@ def csv_census(spark, d):
 @query(I.sql(I.CLEAN, f"SELECT department, week_start, {r('cases', 'cases')} FROM clean WHERE department = 'NATION_1' AND year(week_start) >= 1997"))
 def department_series(spark, d):
     """One key's series from a table partitioned by key: only its files are read."""
-    path = f"{shared_dir(spark)}/series"
+    path = own(spark, "series")
     sinks.write(I.clean(spark, d).withColumn("age_group", F.lit("all")), path, partition_by=["department", "age_group"])
     return rounded(readers.department_series(spark.read.parquet(path), "nation_1", "all", 1997).select("department", "week_start", "cases"), "cases")
 
@@ -792,7 +798,7 @@ def department_series(spark, d):
 def prediction_files(spark, d):
     """Predictions written as two files with rows in common, read back as one set."""
     rows = naive_points(spark, d).where("h = 1").select("date", F.lit("backtest").alias("split"), F.lit("naive").alias("model"), "actual", "predicted", "department", F.lit("all").alias("age_group"))
-    base = f"{shared_dir(spark)}/predictions"
+    base = own(spark, "predictions")
     for part in ("a", "b"):
         sinks.write(rows, f"{base}/{part}_predictions.csv", "csv")
     got = readers.predictions(spark, f"{base}/*_predictions.csv", age_group="all")
@@ -803,7 +809,7 @@ def prediction_files(spark, d):
 def report_files(spark, d):
     """One JSON report for each department, read back as rows."""
     scored = evaluate.by_horizon(naive_points(spark, d), DEPT)
-    base = f"{shared_dir(spark)}/reports"
+    base = own(spark, "reports")
     reports = scored.groupBy("department").agg(F.map_from_entries(F.collect_list(F.struct(F.col("h").cast("string"), F.struct(*MET)))).alias("metrics_by_horizon"))
     reports = reports.select("department", F.lit("all").alias("age_group"), F.lit("naive").alias("model"), "metrics_by_horizon")
     sinks.json_reports(reports, base)
@@ -875,12 +881,12 @@ def region_backtest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import learning  # noqa: F401  registers its own
+    from . import files, learning  # noqa: F401  register their own
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import learning  # noqa: F401
+    from . import files, learning  # noqa: F401
 
     return dict(_sql)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import day, number, padded, stripped
+from .sinks import write
 
 COUNTS = ("pneumonia_under5", "pneumonia_60plus", "hosp_under5", "hosp_60plus", "deaths_under5", "deaths_60plus")
 AGE_COLUMN = {"under5": "pneumonia_under5", "60plus": "pneumonia_60plus"}
@@ -41,9 +44,20 @@ def csv(spark: SparkSession, path: str, columns: Sequence[str] = (), schema: str
     return required(normalized(reader.schema(schema).csv(path) if schema else reader.csv(path)), columns)
 
 
-def table(spark: SparkSession, name: str, url: str, limit: int | None = None, **options: str) -> DataFrame:
-    """A database table over JDBC; filters, columns and the limit are pushed down, ``partitionColumn`` and bounds split the scan."""
-    df = spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+def table(spark: SparkSession, name: str, url: str, limit: int | None = None, columns: Sequence[str] = (), where: Column | None = None, split_by: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A database table over JDBC; columns, the filter and the limit are left to the database.
+
+    ``split_by``, a number or date column, deals the scan into ``parts`` ranges between its least and its greatest value, which the database tells; rows without one are in the first.
+    """
+    source = lambda **more: spark.read.format("jdbc").options(url=url, **options, **more)
+    if split_by is not None:
+        quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(split_by)
+        lo, hi = source(query=f"SELECT MIN({quoted}) AS lo, MAX({quoted}) AS hi FROM {name}").load().first()
+        if lo is not None:
+            options = options | {"partitionColumn": split_by, "lowerBound": str(lo), "upperBound": str(hi), "numPartitions": str(parts)}
+    df = source(dbtable=name).load()
+    df = df if where is None else df.where(where)
+    df = df.select(*columns) if columns else df
     return df if limit is None else df.limit(limit)
 
 
@@ -124,8 +138,28 @@ def top_names(ranking: DataFrame, n: int = 3, order: Column | None = None) -> Da
     return ranking.orderBy(*keys).select(F.col(name).alias("department")).limit(n)
 
 
-def excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
-    """A small spreadsheet, read on the driver where pandas has an engine for it."""
-    import pandas as pd
-
-    return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet).astype(str))
+def fingerprint(spark: SparkSession, paths: Sequence[str], options: dict) -> str:
+    """A digest of the files under ``paths`` (names, sizes, times of change) and of options: another one means that what was made of them is stale."""
+    seen = []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if not fs.exists(where):
+            raise FileNotFoundError(path)
+        files = fs.listFiles(where, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(json.dumps([sorted(seen), options], sort_keys=True, default=str).encode()).hexdigest()[:32]
+
+
+def processed(spark: SparkSession, base: str, inputs: Sequence[str], options: dict, make: Callable[[], DataFrame], partition_by: list[str] | None = None) -> tuple[DataFrame, bool]:
+    """The table made of ``inputs`` by ``options``, and whether it was there already.
+
+    It is kept under ``base`` by the fingerprint of its inputs, so it is made anew only where they or the options have changed; a job that failed leaves no success mark and is repeated.
+    """
+    path = f"{base}/{fingerprint(spark, inputs, options)}"
+    there = exists(spark, f"{path}/_SUCCESS")
+    if not there:
+        write(make(), path, partition_by=partition_by)
+    return spark.read.parquet(path), there

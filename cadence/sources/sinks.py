@@ -29,6 +29,15 @@ def write_splits(new: DataFrame, path: str) -> None:
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("department", "age_group", "model", "split").parquet(path)
 
 
+def replace_backtest(points: DataFrame, path: str, keys: tuple[str, ...] = ("department", "age_group", "model")) -> None:
+    """Blend the horizons of backtest ``points(keys, te, h, date, actual, predicted)``, the nearest one first, and replace only the ``backtest`` partitions of their keys.
+
+    The new rows are staged beside the table and moved in when the job has ended, so a job that fails leaves the old ones.
+    """
+    blended = points.groupBy(*keys, "date").agg(F.first("actual", True).alias("actual"), F.min_by("predicted", F.when(F.col("predicted").isNotNull(), F.col("h"))).alias("predicted"))
+    write_splits(blended.withColumn("split", F.lit("backtest")), path)
+
+
 def json_reports(reports: DataFrame, path: str) -> None:
     """A row for each report, as lines of JSON; Spark writes them where they are."""
     reports.write.mode("overwrite").json(path)
