@@ -12,7 +12,7 @@ has that many characters for each edit at least, so short lines take fewer edits
 - A segment that about ``HOT_LINES`` lines or more share (estimated on every 16th line by hash) compares nothing; the estimate decides only which way finds a pair.
   Lines that hold one are cut into t+``FINER`` segments instead. A partner within t edits differs in one of them, or (t = 2) in two by one edit each; a key is the line without these,
   and the pieces left out are kept beside it. Keys whose lines all agree in one of two segments are dropped, as other keys hold their pairs. A key of ``FEW`` lines or
-  fewer gives pairs like any segment. The lines of a larger one (a template with a number in it) are not paired: they meet again by their left-out pieces, cut the same way while they are
+  fewer gives pairs like any segment, and so do larger ones while all of them make few pairs. The lines of a larger one (a template with a number in it) are not paired: they meet again by their left-out pieces, cut the same way while they are
   longer than ``SHORT``, and at last by all patterns of a piece with as many edits, each a wildcard or a deletion. Lines that share a pattern with k
   wildcards by d and d' deletions are within k+d+d' edits, so the line of fewest deletions stands for its pattern, and a link to it for each other line joins all that are near.
   The number of rows grows with the lines, not with their pairs.
@@ -46,7 +46,8 @@ PER_EDIT = 10
 HOT_LINES = 512
 SAMPLED = 16  #: one line in so many is read to find hot segments
 FINER = 3  #: segments beyond the number of edits
-FEW = 32
+FEW = 32  #: rows of a key that are paired
+CUTS, PAIRS = (128, 512, 2048), 4_000_000  #: larger keys are, too, as long as the squares of all their sizes sum to no more
 SHORT = 8
 GAP_OR_START = r"^[\x20\x09-\x0D]*"
 #: Blanks, digits and the small letters but four rare ones: one edit changes their counts by two in sum at most.
@@ -228,7 +229,7 @@ def pattern_links(rows: DataFrame) -> DataFrame:
     two = pair.select(F.xxhash64("key", "x.p", "y.p").alias("at"), "id", "t", (F.col("x.k") + F.col("y.k")).alias("k"), (F.col("x.d") + F.col("y.d")).alias("d"))
     met = Window.partitionBy("at")
     each = one.unionAll(two).withColumn("lead", F.min(F.struct("d", "id")).over(met))
-    return each.where((F.col("lead.id") != F.col("id")) & (F.col("k") + F.col("d") + F.col("lead.d") <= F.col("t"))).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+    return each.where((F.col("lead.id") != F.col("id")) & (F.col("k") + F.col("d") + F.col("lead.d") <= F.col("t"))).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
 
 
 def template_links(lines: DataFrame, tau: int, per_edit: int) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
@@ -239,14 +240,18 @@ def template_links(lines: DataFrame, tau: int, per_edit: int) -> tuple[list[Data
     while not rows.isEmpty():
         keyed = one_piece(rows.where(F.size("pieces") == 1), tau, edits).unionAll(two_pieces(rows.where(F.size("pieces") == 2)))
         groups = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.max("own").alias("owned"), *[f(c).alias(f"{n}_{c}") for c in ("id", "u", "v") for n, f in (("lo", F.min), ("hi", F.max))])
-        several = stored(groups.where("owned and lo_id <> hi_id and lo_u <> hi_u and lo_v <> hi_v").select(F.col("key").alias("__key"), (F.col("rows") > FEW).alias("big")), "finer-keys")
-        met = stored(keyed.join(near(several), F.col("key") == F.col("__key")).drop("__key"), "finer-rows")
-        small.append(met.where("not big").select("key", "id", F.when(F.col("own"), F.lit(0)).otherwise(F.lit(1)).alias("probe")).distinct())
-        links.append(stored(pattern_links(met.where("big and short")), "template-links"))
+        several = stored(groups.where("owned and lo_id <> hi_id and lo_u <> hi_u and lo_v <> hi_v").select(F.col("key").alias("__key"), F.col("rows").alias("__rows")), "finer-keys")
+        most, n, *work = several.agg(F.max("__rows"), F.count("*"), *[F.sum(F.when(F.col("__rows") <= c, F.col("__rows") * F.col("__rows"))) for c in CUTS]).first()
+        few = max([FEW, *[c for c, w in zip(CUTS, work) if FEW and (w or 0) <= PAIRS]])
+        met = stored(keyed.join(F.broadcast(several) if n <= BROADCAST_IDS else several, F.col("key") == F.col("__key")).withColumn("big", F.col("__rows") > few).drop("__key", "__rows"), "finer-rows")
+        drop_stored(several)
+        small.append(met.where("not big").select("key", "id", F.when(F.col("own"), F.lit(0)).otherwise(F.lit(1)).alias("probe")))
         made.append(met)
+        if (most or 0) <= few:
+            break
+        links.append(stored(pattern_links(met.where("big and short")), "template-links"))
         rows = met.where("big and not short").select(F.col("key").alias("g"), "id", "pieces", "t").distinct()
         edits = lambda size, t: t
-        drop_stored(several)
     return links, small, made
 
 
@@ -376,8 +381,7 @@ def edit_links(lines: DataFrame, twice: DataFrame, tau: int, min_chars: int, per
     texts = stored(once.join(near(ids), F.col("id") == F.col("__want"), "left_semi").dropDuplicates(["id"]).select("id", "line", letter_counts(F.col("line")).alias("counts")), "candidate-lines")
     hot_lines = stored(texts.join(near(shared.where("probe = 2").select(F.col("id").alias("__hot")).distinct()), F.col("id") == F.col("__hot"), "left_semi").select("id", "line"), "hot-lines")
     near_pieces, small, kept = template_links(hot_lines, tau, per_edit)
-    candidates = [paired(rows, texts, tau) for rows in (shared.where("probe < 2"), *small)]
-    found = stored(reduce(DataFrame.unionAll, candidates).distinct(), "candidates")
+    found = stored(paired(reduce(DataFrame.unionAll, [shared.where("probe < 2"), *small]), texts, tau).distinct(), "candidates")
     both = (found.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b"))
     first = F.length("la") >= F.length("lb")
