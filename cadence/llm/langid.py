@@ -1,14 +1,15 @@
 """Language identification by nearest centroid.
 
-A text is the normalised TF-IDF vector of its hashed byte n-grams (ASCII upper case
-folded). Document frequencies come from all training rows. A bounded sample of each
+A text is the normalised TF-IDF vector of the hashed byte n-grams of its small letters; ASCII marks and
+digits, which tell no language, are left out. Document frequencies come from all training rows. A bounded sample of each
 language (``SAMPLE`` rows shared among the languages, chosen by hash) is clustered
 into several centroids by spherical k-means; a text gets the language of the centroid of
 largest cosine. A text whose distance to it exceeds the distance that all but a small share of
 that language's sample keeps is marked ``rejected``.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
-whole texts are read, however long; ties go to the first language by name; with no
+whole texts are read, however long; ties go to the first language by name; rows that repeat are judged alike and count as often as
+they stand in training; rows with a null id keep it; an empty table gives an empty table; columns other than those named are not read, whatever their names; with no
 training rows every text is ``und``.
 """
 
@@ -30,13 +31,19 @@ SAMPLE = 4000
 CENTROIDS = 4
 CHUNK = 1 << 20
 LETTER = regex.compile(r"\p{L}")
+MARKS = bytes(c for c in range(33, 128) if not chr(c).isalpha())
+
+
+def folded(text: bytes) -> bytes:
+    """Small letters without ASCII marks and digits, which tell no language; white space stays."""
+    return text.decode().lower().encode().translate(None, MARKS)
 
 
 def gram_counts(text: bytes, dim: int = DIM) -> np.ndarray:
     """Counts of hashed byte bigrams and trigrams of a whole text; long texts are read in overlapping chunks."""
-    total = np.zeros(dim, np.int64)
+    text, total = folded(text), np.zeros(dim, np.int64)
     for at in range(0, max(1, len(text)), CHUNK):
-        a = np.frombuffer(text[at:at + CHUNK + 2].lower(), np.uint8).astype(np.uint32)
+        a = np.frombuffer(text[at:at + CHUNK + 2], np.uint8).astype(np.uint32)
         if len(a) < 2:
             continue
         two = a[:-1] * np.uint32(0x01000193) + a[1:] * np.uint32(0x85EBCA6B)

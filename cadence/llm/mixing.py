@@ -8,7 +8,8 @@ budgets give larger thresholds, so the mixes of growing budgets are nested.
 
 Defined results: a null text has size 0 and is taken 0 times its size; a null source is
 a source of its own and comes last; rows that repeat an id share its hash and are taken
-together; sources of size 0 have target 0; an empty table gives an empty table.
+together; sources of size 0 have target 0; very long texts are counted whole and taken whole; an empty table gives an empty table; other columns pass
+through ``mixed_documents`` whatever their names and are not read elsewhere.
 """
 
 from __future__ import annotations

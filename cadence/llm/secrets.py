@@ -7,7 +7,7 @@ dictionary coverage, its path and the words beside it then removes false positiv
 trained on labelled findings, a table (candidate, before, after, path, label).
 
 Where there is no table of reviewed findings, ``seed_label`` labels candidates by what is assigned to them: 1 to a credential name,
-0 to an innocent name, 0 where nothing is assigned in running text without such names. The forest then never sees the assignment it was
+0 to an innocent name, 0 to plain words and numbers in running text without such names; other bare candidates teach nothing. The forest then never sees the assignment it was
 labelled by: it is cut from the neighbourhood before features are made (``withheld``). So it learns what secrets look like, and
 judges assigned words as well as secrets that stand bare.
 
@@ -126,19 +126,22 @@ def with_features(found: DataFrame, trigrams: list[str], withheld: bool = False)
     return found.withColumn("__beside", beside).withColumns({k: F.coalesce(made[k].cast("double"), F.lit(0.0)) for k in FEATURES}).drop("__beside")
 
 
-def seed_label(before: Column, after: Column) -> Column:
+def seed_label(before: Column, after: Column, candidate: Column) -> Column:
     """Labels of findings where no reviewed table is at hand: 1 for a value assigned to a credential name, quoted or not, 0 for one
-    assigned to an innocent name, or not assigned and without either kind of name before it; null where neither is clear."""
+    assigned to an innocent name, and 0 for words of small letters (hyphens, dots and slashes between them) and plain numbers that nothing assigns
+    and no credential's name precedes; null for all else, so what stands bare and mixes letters and digits is judged without having been taught."""
     b = F.coalesce(before, F.lit(""))
     end = r"[a-z0-9_.\-]*[\x22'`\]]?\s{0,3}[:=]{1,2}>?\s{0,3}[\x22'`]?$"
     innocent, secret = (b.rlike(r"(?i)(" + "|".join(x) + ")" + end) for x in (INNOCENT, NAMING))
     bare = ~b.rlike(r"[:=]\s*[\x22'`]?$") & (any_word(b, NAMING) == 0)
-    return F.when(secret & ~innocent, F.lit(1.0)).when(innocent & ~secret, F.lit(0.0)).when(bare, F.lit(0.0))
+    word = ~candidate.rlike("[0-9+=]") & ~F.substring(candidate, F.lit(2), F.length(candidate)).rlike("[A-Z]")
+    number = ~candidate.rlike("[A-Za-z]")
+    return F.when(secret & ~innocent, F.lit(1.0)).when(innocent & ~secret, F.lit(0.0)).when(bare & (word | number), F.lit(0.0))
 
 
 def train(findings: DataFrame, trigrams: list[str], max_findings: int = MAX_FINDINGS, withheld: bool = False) -> PipelineModel | None:
     """Forest of ``findings(candidate, before, after, path, label)``; None without both labels."""
-    rows = findings.where("label is not null and candidate is not null")
+    rows = findings.where("label is not null and candidate is not null").select("candidate", "before", "after", "path", F.col("label").cast("double").alias("label")).distinct()  # a finding that repeats teaches once
     counts = {float(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
     if {0.0, 1.0} - set(counts):
         return None
@@ -160,10 +163,10 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
     """
     found = stored(candidates(docs, id_col, text_col, path), "candidates")
     trigrams, withheld = common_trigrams(docs, text_col), findings is None
-    labelled = found.withColumn("label", seed_label(F.col("before"), F.col("after"))) if findings is None else findings
+    labelled = found.withColumn("label", seed_label(F.col("before"), F.col("after"), F.col("candidate"))) if findings is None else findings
     model = train(labelled, trigrams, withheld=withheld)
     if model is None:
-        scored = found.withColumn("score", F.coalesce(seed_label(F.col("before"), F.col("after")), F.lit(0.0)))
+        scored = found.withColumn("score", F.coalesce(seed_label(F.col("before"), F.col("after"), F.col("candidate")), F.lit(0.0)))
     else:
         scored = model.transform(with_features(found, trigrams, withheld)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
     return scored.select("doc_id", F.col("place").cast("long").alias("place"), "candidate", "before", "after", "score", (F.col("score") >= cutoff).alias("secret"))

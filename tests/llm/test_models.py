@@ -47,6 +47,17 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.predict(awkward(spark), empty).collect()} == {"und"}
 
 
+def test_marks_digits_and_capitals_tell_no_language(spark):
+    rng = random.Random(21)
+    rows = texts(1, 300)
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    junk = lambda t: " ".join(w.upper() + rng.choice(["!!", "***", "%%%", "###", "&&&", "$$$", " 4711"]) for w in t.split())
+    odd = [(i, junk(t), lang) for i, t, lang in rows[:120]]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(odd, "doc_id long, text string, lang string"), model).collect()}
+    assert sum(got[i] == lang for i, _, lang in odd) >= 0.98 * len(odd)
+    assert langid.folded("Été! 12 ÜBER-all\n".encode()) == "été  überall\n".encode()
+
+
 def test_long_texts_count_every_gram(monkeypatch):
     text = bytes(random.Random(0).choice(b"abc d") for _ in range(5000))
     whole = langid.gram_counts(text)
@@ -299,11 +310,19 @@ def test_secrets(spark):
     assert all(k in by[i] for i, k in planted.items())  # no candidate is lost: long, without digits, unquoted
     assert all(not any(c != k and k.startswith(c) for c in by[i]) for i, k in planted.items())  # nor cut short
     assert sum(by[i][k] for i, k in planted.items()) >= 0.95 * len(planted)
-    assert sum(by[i][k] for i, k in bare.items()) >= 0.7 * len(bare)  # though they were labelled 0
+    assert sum(by[i][k] for i, k in bare.items()) >= 0.9 * len(bare)
     assert sum(by[i][w] for i, w in false.items()) <= 0.1 * len(false)
     assert sum(v for i, c in by.items() if 1000 <= i < 2000 for v in c.values()) == 0
 
 
+def test_numbers_and_words_in_running_text_are_no_secrets(spark):
+    rng, words, rows, planted, around = secret_documents()
+    numbers = {4000 + i: "".join(rng.choices("0123456789", k=16)) for i in range(40)}
+    rows += [(i, f"{around()} {n} {around()}", None) for i, n in numbers.items()]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, path string"), path=F.col("path"))
+    assert got.where("doc_id >= 1000 and secret").count() == 0 and got.where("doc_id >= 4000").count() == 40
+
+
 def test_secret_candidates_equal_brute_force(spark):
     import re
 
