@@ -41,9 +41,9 @@ def folded(text: bytes) -> bytes:
 
 def gram_counts(text: bytes, dim: int = DIM) -> np.ndarray:
     """Counts of hashed byte bigrams and trigrams of a whole text; long texts are read in overlapping chunks."""
-    text, total = folded(text), np.zeros(dim, np.int64)
+    total = np.zeros(dim, np.int64)
     for at in range(0, max(1, len(text)), CHUNK):
-        a = np.frombuffer(text[at:at + CHUNK + 2], np.uint8).astype(np.uint32)
+        a = np.frombuffer(text[at:at + CHUNK + 2].lower(), np.uint8).astype(np.uint32)
         if len(a) < 2:
             continue
         two = a[:-1] * np.uint32(0x01000193) + a[1:] * np.uint32(0x85EBCA6B)
@@ -59,7 +59,7 @@ def vectors(texts: list[bytes | None], idf: np.ndarray) -> np.ndarray:
     out = np.zeros((len(texts), DIM), np.float32)
     for i, t in enumerate(texts):
         if t:
-            out[i] = np.sqrt(gram_counts(t))
+            out[i] = np.sqrt(gram_counts(folded(t)))
     out *= idf
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
     return out
@@ -93,7 +93,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
         for b in slices(batches):
             for t in b.column(0).cast(pa.binary()).to_pylist():
                 if t:
-                    df[:DIM] += gram_counts(t) > 0
+                    df[:DIM] += gram_counts(folded(t)) > 0
                     n += 1
         df[DIM] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIM + 1, dtype=np.int32)), pa.array(df)], ["gram", "df"])

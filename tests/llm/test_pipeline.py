@@ -9,6 +9,7 @@ def write(spark, tmp_path, docs):
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "brown fox jumps over the lazy dog and runs far")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, "http://a.org/x", ""), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, 0, "user", "hi there"), (1, None, None, None), (1, 0, "user", "hi there"), (2, 1, "bot", ""), (None, 0, "user", "lost"), (20, 0, "", None)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     return str(tmp_path)
 
 
@@ -30,8 +31,8 @@ def test_stages_keep_columns_and_clean_rows(spark, tmp_path):
 def test_every_query_runs_on_awkward_tables(spark, tmp_path):
     d = write(spark, tmp_path, awkward(spark))
     rows = {n: q(spark, d).count() for n, q in queries.queries().items()}
-    assert {rows[n] for n in rows if n.split("_")[0] in ("op2", "op3", "op4", "op7", "op8", "op9", "op10")} == {10}
-    assert rows["op6_url_filter"] == 2
+    assert {rows[n] for n in rows if n.split("_")[0] in ("op2", "op3", "op4", "op7", "op8", "op9", "op10", "op12")} == {10}
+    assert rows["op6_url_filter"] == 2 and rows["op11_prefix_trie"] > 1
 
 
 def empty_or(spark, tmp_path, documents=True, marks=True, items=True):
