@@ -125,9 +125,17 @@ def top_groups(df: DataFrame, value: str, n: int, key: str = "department") -> Da
     return df.join(F.broadcast(best), key, "left_semi")
 
 
-def top_of_each(df: DataFrame, measure: str, key: str, value: str, n: int) -> DataFrame:
-    """Rows of the ``n`` keys of highest mean within each measure, ties by name; the means are few, so only they are ranked."""
-    mean = df.where(F.col(value).isNotNull()).groupBy(measure, key).agg(F.avg(value).alias("__mean"))
+def exact_mean(value: str, digits: int) -> Column:
+    """Mean of values that have ``digits`` digits after the point: sums of whole units do not depend on the order of rows, so equal means are equal."""
+    return F.sum(F.round(F.col(value) * 10 ** digits).cast("long")) / F.count(value) / 10 ** digits
+
+
+def top_of_each(df: DataFrame, measure: str, key: str, value: str, n: int, digits: int | None = None) -> DataFrame:
+    """Rows of the ``n`` keys of highest mean within each measure, ties by name; the means are few, so only they are ranked.
+
+    With ``digits``, as many as the values have, means are exact; sums of doubles tell equal means apart by the order of their rows.
+    """
+    mean = df.where(F.col(value).isNotNull()).groupBy(measure, key).agg((F.avg(value) if digits is None else exact_mean(value, digits)).alias("__mean"))
     place = F.row_number().over(Window.partitionBy(measure).orderBy(F.desc("__mean"), key))
     return df.join(mean.withColumn("__place", place).where(F.col("__place") <= n).select(measure, key), [measure, key], "left_semi")
 

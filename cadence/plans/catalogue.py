@@ -406,7 +406,7 @@ RATED = f"{RATES}, tops AS (SELECT measure, department FROM (SELECT measure, dep
 @query(I.sql(RATED, "SELECT measure, department, year, value FROM tall JOIN tops USING (measure, department)"))
 def regional_workflow(spark, d):
     """The years of the three departments of highest mean rate, for all six measures in one plan."""
-    return longs(panel.top_of_each(tall_rates(spark, d), "measure", "department", "value", 3).select("measure", "department", "year", "value"), "year")
+    return longs(panel.top_of_each(tall_rates(spark, d), "measure", "department", "value", 3, digits=2).select("measure", "department", "year", "value"), "year")
 
 
 OUTLYING = f"""{RATES}, stat AS (SELECT measure, avg(value) AS m, stddev_samp(value) AS s, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM tall WHERE value IS NOT NULL GROUP BY 1),
@@ -819,7 +819,7 @@ def report_files(spark, d):
 
 @query(I.sql(RATES, "SELECT department FROM (SELECT department, avg(value) AS m FROM tall WHERE measure = 'pneumonia_under5_rate' GROUP BY 1) ORDER BY m DESC, department LIMIT 3"))
 def top_ranked(spark, d):
-    mean = panel.mean_by(tall_rates(spark, d).where("measure = 'pneumonia_under5_rate'"), ["department"], "value")
+    mean = tall_rates(spark, d).where("measure = 'pneumonia_under5_rate'").groupBy("department").agg(panel.exact_mean("value", 2).alias("value"))
     return readers.top_names(mean, 3, F.desc("value"))
 
 

@@ -150,3 +150,13 @@ def test_diagnostics(spark):
     assert got["b"].n is None and got["b"].adf is None
     walk = np.cumsum(rng.normal(size=300))
     assert models.dickey_fuller(walk) > -3.4 and models.dickey_fuller(np.diff(walk)) < -5
+
+
+def test_equal_means_are_ranked_by_name(spark):
+    """(0.1 + 0.2) + 0.3 is more than (0.3 + 0.2) + 0.1 in doubles; the means are equal."""
+    rows = [("m", "b", v) for v in (0.1, 0.2, 0.3)] + [("m", "a", v) for v in (0.3, 0.2, 0.1)] + [("m", "c", v) for v in (None, 0.1, 0.4)]
+    df = spark.createDataFrame(rows, "measure string, department string, value double").coalesce(1)
+    for n, want in ((1, {"c"}), (2, {"a", "c"}), (3, {"a", "b", "c"})):
+        assert {r.department for r in panel.top_of_each(df, "measure", "department", "value", n, digits=2).collect()} == want
+    means = {r.department: r.m for r in df.groupBy("department").agg(panel.exact_mean("value", 2).alias("m")).collect()}
+    assert means["a"] == means["b"] == 0.2 and means["c"] == 0.25
