@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+import glob
+import os
+import subprocess
+import tempfile
 import uuid
-
+import zipfile
+from collections.abc import Iterable, Iterator
+from urllib.parse import urlparse
+
+import pyarrow as pa
+import pyarrow.csv as pa_csv
+import pyspark
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, models, panel, series
@@ -14,28 +25,77 @@ from .catalogue import DEPT, MET, MONTHS, NAIVE, SPLIT, longs, month_incidence,
 
 # --- databases --------------------------------------------------------------------------------
 
-
-def database(spark, d) -> str:
-    """The orders in the embedded database of Spark's own jars. It lives in one JVM, so only a local master sees it."""
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("the embedded database is seen by a local master only; give readers.table the URL of a server")
-    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
-    rows = I.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"))
-    rows.write.format("jdbc").options(url=url, dbtable="orders", numPartitions="4", createTableColumnTypes="o_orderstatus VARCHAR(8)").save()
-    return url
+ORDERS = {"o_orderkey": ("long", "BIGINT"), "o_custkey": ("long", "BIGINT"), "o_orderstatus": ("string", "VARCHAR(32672)"), "o_totalprice": ("double", "DOUBLE"), "o_orderdate": ("date", "DATE")}
+
+
+def loaded(batches: Iterable[pa.RecordBatch], path: str) -> None:
+    """Rows of orders imported into an embedded database of their own, which becomes the archive ``path``; rows go through a file, so memory does not grow with them."""
+    jars = glob.glob(os.path.join(os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__), "jars", "derby*.jar"))
+    java = os.path.join(os.environ["JAVA_HOME"], "bin", "java") if os.environ.get("JAVA_HOME") else "java"
+    with tempfile.TemporaryDirectory() as home:
+        home, out = os.path.realpath(home), None  # the other process may have another working directory
+        for b in batches:
+            out = out or pa_csv.CSVWriter(f"{home}/orders.csv", b.schema, write_options=pa_csv.WriteOptions(include_header=False))
+            out.write_batch(b)
+        if out:
+            out.close()
+        columns = ", ".join(f'"{c}" {kind}' for c, (_, kind) in ORDERS.items())
+        script = ["connect 'jdbc:derby:orders;create=true'", f"CREATE TABLE orders ({columns})"]
+        script += [f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, 'ORDERS', '{home}/orders.csv', ',', '\"', 'UTF-8', 0)"] if out else []
+        script += ["connect 'jdbc:derby:orders;shutdown=true'"]
+        run = subprocess.run([java, "-Xmx256m", "-XX:+UseSerialGC", f"-Dderby.system.home={home}", "-cp", os.pathsep.join(jars), "org.apache.derby.tools.ij"],
+                             input=";\n".join([*script, "exit;\n"]), capture_output=True, text=True, cwd=home)
+        wrong = [line for line in run.stdout.splitlines() if "ERROR" in line and "ERROR 08006" not in line]  # 08006: the database was shut down
+        if run.returncode or wrong or "ERROR 08006" not in run.stdout:
+            raise RuntimeError(f"the database was not loaded: {run.stdout[-2000:]}{run.stderr[-2000:]}")
+        # Not compressed, so that the database reaches each of its pages at once.
+        with zipfile.ZipFile(f"{path}.{uuid.uuid4().hex}", "w", zipfile.ZIP_STORED) as z:
+            for folder, _, names in os.walk(f"{home}/orders"):
+                for n in names:
+                    z.write(f"{folder}/{n}", os.path.relpath(f"{folder}/{n}", home))
+        os.replace(z.filename, path)
+
+
+def database(spark, d) -> list[str]:
+    """URLs of the orders in embedded databases of Spark's own jars, one for each task that loads its rows.
+
+    A writable one is seen by one JVM only; these are read-only archives in the shared folder, which the driver and all executors open at once.
+    """
+    where = urlparse(own(spark, "databases"))
+    if where.scheme not in ("", "file"):
+        raise RuntimeError("embedded databases need a shared folder that is mounted; give readers.table the URL of a server")
+    folder = where.path
+    os.makedirs(folder)
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = f"{folder}/{TaskContext.get().partitionId()}.jar"
+        loaded(batches, path)
+        yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+    rows = I.table(spark, d, "orders").select(*[F.col(c).cast(kind).alias(c) for c, (kind, _) in ORDERS.items()])
+    paths = [r.path for r in rows.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(load, "path string").collect()]
+    if not paths:  # a table without files
+        paths = [f"{folder}/none.jar"]
+        loaded([], paths[0])
+    return [f"jdbc:derby:jar:({p})orders" for p in sorted(paths)]
+
+
+def orders(spark, d, **asked):
+    """What is asked of the orders in all databases; each is scanned as ``readers.table`` scans it."""
+    return I.union([readers.table(spark, "orders", url, **asked) for url in database(spark, d)])
 
 
 @query(f"SELECT o_orderkey, o_orderstatus, {r('o_totalprice', 'o_totalprice')} FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F'")
 def jdbc_scan(spark, d):
-    """A database table read in four ranges of its key; the database filters and picks the columns."""
-    got = readers.table(spark, "orders", database(spark, d), columns=["o_orderkey", "o_orderstatus", "o_totalprice"], where=(F.col("o_totalprice") > 200000) & (F.col("o_orderstatus") == "F"), split_by="o_orderkey", parts=4)
+    """Database tables read in four ranges of their key; the database filters and picks the columns."""
+    got = orders(spark, d, columns=["o_orderkey", "o_orderstatus", "o_totalprice"], where=(F.col("o_totalprice") > 200000) & (F.col("o_orderstatus") == "F"), split_by="o_orderkey", parts=4)
     return rounded(got, "o_totalprice")
 
 
 @query("SELECT CAST(least(100, count(*)) AS BIGINT) AS n, CAST(least(100, count(*)) AS BIGINT) AS n_keys FROM orders")
 def jdbc_limit(spark, d):
     """The first hundred rows that a database gives."""
-    return readers.table(spark, "orders", database(spark, d), limit=100).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("n_keys"))
+    return orders(spark, d, limit=100).limit(100).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("n_keys"))
 
 
 # --- spreadsheets -----------------------------------------------------------------------------

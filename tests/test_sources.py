@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadence.operators import evaluate, panel
-from cadence.plans import catalogue
+from cadence.plans import catalogue, files
 from cadence.sources import readers, sinks, workbooks
 
 
@@ -147,3 +147,13 @@ def test_a_second_run_leaves_the_first_result(spark, tmp_path, name):
     first = run(spark, d)
     second = run(spark, d)
     assert sorted(map(str, second.collect())) == sorted(map(str, first.collect()))
+
+
+def test_a_database_keeps_odd_rows(spark, tmp_path):
+    odd = [(1, None, 'a,"b"\nc', 0.1 + 0.2, datetime.date(2020, 1, 6)), (2, 7, "é" * 40, None, None), (None, 8, "F", 1e300, datetime.date(1, 1, 1))]
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate date"
+    for name, rows in (("some", odd), ("none", [])):
+        spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        assert sorted(map(tuple, files.orders(spark, f"{tmp_path}/{name}").collect()), key=str) == sorted(rows, key=str)
+    spark.createDataFrame([(i, i, "F", float(i), None) for i in range(250)], schema).repartition(3).write.parquet(f"{tmp_path}/more/orders.parquet")
+    assert len(files.database(spark, f"{tmp_path}/more")) == 3 and tuple(files.jdbc_limit(spark, f"{tmp_path}/more").first()) == (100, 100)
