@@ -2,6 +2,9 @@
 
 import datetime
 import io
+import os
+import subprocess
+import sys
 import uuid
 import zipfile
 
@@ -149,6 +152,27 @@ def test_a_second_run_leaves_the_first_result(spark, tmp_path, name):
     assert sorted(map(str, second.collect())) == sorted(map(str, first.collect()))
 
 
+ON_A_CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", sys.argv[2]).getOrCreate()
+scan = entry.queries()["jdbc_scan"](spark, sys.argv[1]).collect()
+print("GOT", len(scan), sum(r.o_orderkey for r in scan), *entry.queries()["jdbc_limit"](spark, sys.argv[1]).first())
+"""
+
+
+def test_executors_of_their_own_see_the_database(spark, tmp_path):
+    from .test_catalogue import write_tables
+
+    d = write_tables(spark, tmp_path / "tables")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    run = subprocess.run([sys.executable, "-c", ON_A_CLUSTER, d, f"file://{tmp_path}/shared"], capture_output=True, text=True, cwd=tmp_path, timeout=300,
+                         env={k: v for k, v in os.environ.items() if k != "PYSPARK_GATEWAY_PORT"} | {"PYTHONPATH": os.pathsep.join([root, *sys.path])})
+    want = spark.read.parquet(f"{d}/orders.parquet").where("o_totalprice > 200000 and o_orderstatus = 'F'").agg(F.count("*"), F.sum("o_orderkey")).first()
+    assert f"GOT {want[0]} {want[1]} 100 100" in run.stdout, run.stderr[-3000:]
+
+
 def test_a_database_keeps_odd_rows(spark, tmp_path):
     odd = [(1, None, 'a,"b"\nc', 0.1 + 0.2, datetime.date(2020, 1, 6)), (2, 7, "é" * 40, None, None), (None, 8, "F", 1e300, datetime.date(1, 1, 1))]
     schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate date"
