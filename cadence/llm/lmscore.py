@@ -11,9 +11,9 @@ Spark, except that words which occur once in all texts need no count; a second s
 **Model.** An id's embedding ``h`` and the mean ``u`` of the embeddings before it, weighted by one head of masked
 self-attention with learned distances, give the logits of a class of ids and of an id within its class (runs of ids in order of
 frequency, cut so that an id needs the fewest logits on average). Probabilities of ids sum to 1; ids that the training text lacks share
-one place. It is trained in numpy by Adagrad on a share of the training text that grows with it (``SHARE`` of the ids and
-``FLOOR`` ids, rows chosen by hash): tasks of about ``TASK_IDS`` ids each train from the same parameters, what they learnt is averaged
-by Spark, and ``ROUNDS`` such rounds follow. The driver holds one set of parameters, bounded by the vocabulary.
+one place. It is trained in numpy by Adagrad on the whole training text, whose rows are dealt over rounds and tasks by hash: tasks of
+about ``TASK_IDS`` ids in all rounds each train from the same parameters, what they learnt is averaged by Spark, and ``ROUNDS`` such rounds
+follow; less than ``FLOOR`` ids are read several times. The driver holds one set of parameters, bounded by the vocabulary.
 
 Texts are scored in windows of ``WINDOW`` ids that overlap by ``CONTEXT``: each id is scored once, with
 ``CONTEXT`` ids before it where they exist, in batches with a causal mask.
@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, slices, stored
+from .common import slices, stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How a word is cut before its bytes are merged (fixed value): letters, digits or marks, a blank before them.
@@ -48,7 +48,7 @@ HOT_SHARE, SHORT = 4_000_000, 4
 NO_ID = 0xFFFF  #: fills the names of words shorter than SHORT ids
 KEPT = 2_000_000  #: distinct words that a counting task holds before it adds up
 DIM, WINDOW, CONTEXT = 24, 32, 8
-SHARE, FLOOR, TASK_IDS = 0.02, 3_000_000, 4_000_000
+SHARE, FLOOR, TASK_IDS = 1.0, 3_000_000, 4_000_000
 ROUNDS, BATCH, RATE, EPOCHS = 4, 64, 0.2, 5
 FAN = 256  #: parameter sets that one task adds up at most
 BLOCK_ROWS = 4096
@@ -538,7 +538,7 @@ def averaged(model: Attention, changes: DataFrame, parts: int) -> None:
 
 
 def train_attention(texts: DataFrame, share: float = SHARE, floor: int = FLOOR, task_ids: int = TASK_IDS, rounds: int = ROUNDS) -> Attention:
-    """The model of ``texts(row, ids)``: counts from all of them, parameters from a share of the rows chosen by hash."""
+    """The model of ``texts(row, ids)``, counts and parameters: each row is in one task of one round of each epoch; a ``share`` below 1 takes rows by hash."""
     spark = texts.sparkSession
     counts = id_counts(texts)
     model, total = Attention(counts), int(counts.sum())
@@ -548,9 +548,8 @@ def train_attention(texts: DataFrame, share: float = SHARE, floor: int = FLOOR,
     parts = max(1, -(-int(want) // task_ids))
     epochs = int(np.clip(floor // max(1, total), 1, EPOCHS))
     h = F.xxhash64(F.col("row"), F.lit("lm"))
-    picked = stored(texts.where(F.pmod(h, F.lit(1 << 20)) < F.lit(int(np.ceil(want / total * (1 << 20)))))
-                    .select("row", "ids", F.pmod(F.shiftright(h, 20), F.lit(parts)).cast("int").alias("part"),
-                            F.pmod(F.shiftright(h, 40), F.lit(rounds)).cast("int").alias("round")), "lm-sample")
+    rows = texts if want == total else texts.where(F.pmod(h, F.lit(1 << 20)) < F.lit(int(np.ceil(want / total * (1 << 20)))))
+    dealt = rows.select("row", "ids", F.pmod(F.shiftright(h, 20), F.lit(parts)).cast("int").alias("part"), F.pmod(F.shiftright(h, 40), F.lit(rounds)).cast("int").alias("round"))
     steps = rounds * epochs
     for i in range(steps):
         sent = spark.sparkContext.broadcast(model)
@@ -563,10 +562,9 @@ def train_attention(texts: DataFrame, share: float = SHARE, floor: int = FLOOR,
             own.fit([np.frombuffer(x, np.uint16) for x in t.column("ids").to_pylist()], rates, i * 10_007 + part)
             return learnt(sent.value, own, part)
 
-        changes = picked.where(F.col("round") == i % rounds).select("row", "ids", "part").groupBy("part").applyInArrow(train, PARAMETERS)
+        changes = dealt.where(F.col("round") == i % rounds).select("row", "ids", "part").groupBy("part").applyInArrow(train, PARAMETERS)
         averaged(model, changes, parts)
         sent.unpersist()
-    drop_stored(picked)
     return model
 
 

@@ -248,6 +248,14 @@ def test_training_in_parts_beats_unigrams(spark):
     assert np.array_equal(lmscore.Scorer(again).score(held), lmscore.Scorer(lmscore.train_attention(texts, 1.0, 40_000, 8000, 2)).score(held))
 
 
+def test_the_model_learns_from_every_text(spark):
+    """More ids than the floor: the embedding of an id that one text has moves, whichever text it is."""
+    texts = spark.createDataFrame([(i, bytearray(np.full(50, i, np.uint16).tobytes())) for i in range(400)], "row long, ids binary")
+    model = lmscore.train_attention(texts, floor=1000, task_ids=6000)
+    moved = (model.w["embed"] != lmscore.Attention(lmscore.id_counts(texts)).w["embed"]).any(1)
+    assert all(moved[model.row[i]] for i in range(400))
+
+
 def test_sample_follows_the_text():
     small, large = (min(n, lmscore.FLOOR + lmscore.SHARE * n) for n in (10**8, 10**10))
     assert large > 30 * small
