@@ -39,6 +39,7 @@ SALTS = 64  #: parts in which rows of one fingerprint are chained
 BLOCK = 1 << 22
 BROADCAST_IDS = 500_000
 FEW_PAIRS = 200_000  #: candidates that are verified at once
+SAMPLE = 4000  #: texts that tell which shingles are frequent
 PROOF_BITS = 20  #: of 64: pairs of similarity 0.8 differ in 9.7 on average, strangers in 32
 
 
@@ -83,8 +84,12 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
 
 def signature(text: bytes | None, shingle: int, tables: int, width: int) -> np.ndarray:
     """``tables`` independent fingerprints of ``width`` bits: majorities of the bits of mixed hashes of the distinct shingles."""
+    return signature_of(shingle_set(text, shingle), tables, width)
+
+
+def signature_of(h: np.ndarray, tables: int, width: int) -> np.ndarray:
+    """``signature`` of a set of shingle hashes."""
     out = np.zeros(tables, np.int64)
-    h = shingle_set(text, shingle)
     n = len(h)
     if not n:
         return out
@@ -364,19 +369,74 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
             return good
 
 
+def often_met(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about SAMPLE texts hold, sorted, and in how many. They only tell which shingles to look at last; no result depends on them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [shingle_set(t, shingle) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["s"])
+
+    share = int(np.ceil(SAMPLE / max(SAMPLE, rows.count()) * (1 << 20)))
+    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share).select("text").mapInArrow(run, "s long")
+    found = some.groupBy("s").agg(F.count("*").alias("n")).where("n > 2").toArrow()
+    known = found.column("s").to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    return known[order], found.column("n").to_numpy()[order]
+
+
+def prefix(h: np.ndarray, known: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in one order of all shingles, rare ones first: so many that two sets of the Jaccard ``similarity`` or more have one in common."""
+    if not len(h):
+        return h
+    at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+    n = np.where(known[at] == h, often[at], 0) if len(known) else np.zeros(len(h), np.int64)
+    return h[np.lexsort((h, n))[:len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]]
+
+
+def missed_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b, ca, cb) of ``sets(node, component, size, prefix)`` in different components that may have the Jaccard ``similarity``: no other pair can.
+
+    Such sets share a shingle of both prefixes, their sizes are alike, and what follows the first shared shingle is long enough for the overlap.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2000):
+            found = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
+            n = [len(x) for x in found]
+            own = pa.array(np.repeat(np.arange(b.num_rows), n))
+            at = np.concatenate([np.zeros(0, np.int32), *(np.arange(k, dtype=np.int32) for k in n)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), *(b.column(i).take(own) for i in range(3)), pa.array(at)], ["s", "node", "component", "size", "at"])
+
+    rows = stored(sets.select("node", "component", "size", "prefix").mapInArrow(run, "s long, node long, component long, size int, at int"), "prefixes")
+    shared = rows.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
+    kept = stored(rows.join(shared, "s", "left_semi"), "shared-prefixes")
+    drop_stored(rows)
+    side = lambda x: kept.select("s", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "size", "at")])
+    rest = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
+    both = side("a").join(side("b"), "s").where(
+        (F.col("a_component") != F.col("b_component")) & (F.struct("a_size", "a_node") < F.struct("b_size", "b_node")) & (F.col("a_size") >= F.col("b_size") * similarity - 1e-9)
+        & (rest >= (F.col("a_size") + F.col("b_size")) * (similarity / (1 + similarity)) - 1e-6))
+    return both.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_component").alias("ca"), F.col("b_component").alias("cb")).distinct()
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, tables: int = 28, width: int = 32, radius: int = 2, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row with an id: groups linked by pairs whose sets of shingles have a Jaccard ``similarity`` or more.
 
     One 64-bit fingerprint within 4 bits finds only pairs that are almost equal. Pairs that any of several shorter
     fingerprints brings together are candidates: 28 of 32 bits within 2 find, by the binomial law of differing bits, over
     99.9 % of pairs of similarity 0.9, 99.8 % at 0.85 and 97 % at 0.8. Each candidate is then verified by its texts' shingles.
+    What fingerprints, chains and forests leave out is found exactly: pairs of different groups that share a shingle of their ``prefix`` are verified, too.
     """
     words = -(-64 // width)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sent = rows.sparkSession.sparkContext.broadcast(often_met(rows, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = sent.value
         for b in slices(batches):
-            made = [signature(t, shingle, tables + words, width).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["doc_id", "sign"])
+            sets = [shingle_set(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            made = [signature_of(h, tables + words, width).tobytes() for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary()), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int32()),
+                                              pa.array([prefix(h, known, often, similarity).tobytes() for h in sets], pa.binary())], ["doc_id", "sign", "digest", "size", "prefix"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 5000):
@@ -387,16 +447,23 @@ def similar_groups(docs: DataFrame, shingle: int = 5, tables: int = 28, width: i
             for t in range(tables):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(made), t, np.int32)), pa.array(made[:, t]), pa.array(proof)], ["node", "t", "fp", "proof"])
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(rows.mapInArrow(run, "doc_id long, sign binary"), "signatures")
+    signed = stored(rows.mapInArrow(run, "doc_id long, sign binary, digest binary, size int, prefix binary"), "signatures")
     # Rows of one whole signature are one node, named by the least doc_id.
     whole = stored(signed.groupBy("sign").agg(F.min("doc_id").alias("node")), "signature-nodes")
     nodes = stored(whole.select("node", "sign").mapInArrow(unpack, "node long, t int, fp long, proof long"), "signature-words")
     pairs = stored(candidate_pairs(nodes, radius, width), "candidate-pairs")
     drop_stored(nodes)
     found = components(verified(pairs, rows, shingle, similarity))
-    named = whole.join(found, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
-    return signed.join(named, "sign").select("doc_id", "component_id")
+    named = whole.join(found, "node", "left").select("sign", F.coalesce("component", "node").alias("component"))
+    grouped = stored(signed.join(named, "sign").select("doc_id", "component", "digest", "size"), "first-groups")
+    # Each set once in each group: equal sets share all links.
+    sets = grouped.groupBy("digest", "component").agg(F.min("doc_id").alias("doc_id")).join(signed.select("doc_id", "digest", "size", "prefix"), ["doc_id", "digest"])
+    missed = stored(missed_pairs(sets.withColumnRenamed("doc_id", "node"), similarity), "missed-pairs")
+    if missed.isEmpty():
+        return grouped.select("doc_id", F.col("component").alias("component_id"))
+    more = verified(missed.select("a", "b"), rows, shingle, similarity)
+    joined = components(missed.join(more, ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()).select("node", F.col("component").alias("last"))
+    return grouped.join(joined, F.col("component") == F.col("node"), "left").select("doc_id", F.coalesce("last", "component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, tables: int = 28, width: int = 32, radius: int = 2, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

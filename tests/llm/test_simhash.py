@@ -222,3 +222,24 @@ def test_spanning_forests_join_what_all_pairs_join():
 
         x, y = simhash.spanning(a, b, n)
         assert parts(x, y) == parts(a, b) and len(x) == n - len(set(parts(a, b)))
+
+
+def test_no_pair_of_the_similarity_is_left_out(spark):
+    """At 0.8 fingerprints miss some pairs; so do fewer of them."""
+    docs = planted(30, 300, 230, 25)
+    got = groups_of(spark, docs)
+    assert all((got[i + 1] == i) == (jaccard(docs[i], docs[i + 1]) >= 0.8) for i in range(0, len(docs), 2))
+    few = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), tables=1).collect()}
+    assert few == got
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(51)
+    for n in (1, 4, 5, 9, 10, 200):
+        for _ in range(50):
+            pool = np.unique(rng.integers(0, 1 << 63, 2 * n).astype(np.uint64))
+            a, b = pool[:n], np.sort(np.concatenate([pool[n - int(np.floor(n * 8 / 9)):n], pool[n:n + n // 9]]))
+            known = np.sort(rng.choice(pool, len(pool) // 2, replace=False))
+            often = rng.integers(3, 9, len(known))
+            if len(b) and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+                assert len(np.intersect1d(simhash.prefix(a, known, often, 0.8), simhash.prefix(b, known, often, 0.8)))
