@@ -40,6 +40,7 @@ BLOCK = 1 << 22
 BROADCAST_IDS = 500_000
 FEW_PAIRS = 200_000  #: candidates that are verified at once
 SAMPLE = 4000  #: texts that tell which shingles are frequent
+PART_ENTRIES = 500_000  #: shingles of prefixes that one group looks through
 PROOF_BITS = 20  #: of 64: pairs of similarity 0.8 differ in 9.7 on average, strangers in 32
 
 
@@ -262,7 +263,8 @@ def groups(nodes: DataFrame, radius: int, width: int, hot_variants: int | None =
     if radius < 2 or radius % 2:
         raise ValueError("radius must be even and 2 at least")
     r, limit = radius // 2, HOT_VARIANTS if hot_variants is None else hot_variants
-    rows = keyed(nodes, r, width, prefix_bits(nodes.count(), radius, width))
+    most = nodes.groupBy("t").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]  # tables have groups of their own
+    rows = keyed(nodes, r, width, prefix_bits(most, radius, width))
     while True:
         size = rows.groupBy("key", "done", "left").count().withColumn("v", F.col("count") * variants_of(width, r)).groupBy("key", "done").agg(F.sum("v").alias("v"))
         hot = stored(size.where((F.col("v") > limit) & (F.col("done") < width)).select("key", "done"), "hot-groups")
@@ -292,13 +294,14 @@ def candidate_pairs(nodes: DataFrame, radius: int, width: int, hot_variants: int
     the next of those that share the table's fingerprint.
     """
     r = radius // 2
-    mine = nodes.withColumns({"order": F.xxhash64("node"), "salt": F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(SALTS))})
+    lead = stored(nodes.groupBy("t", "fp").agg(F.min("node").alias("node"), F.max("node").alias("last")), "first-of-fingerprints")
+    # Most fingerprints have one node, which needs no chain.
+    mine = nodes.join(near(lead.where("node < last").select("t", "fp")), ["t", "fp"]).withColumns({"order": F.xxhash64("node"), "salt": F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(SALTS))})
     first = mine.groupBy("t", "fp", "salt").agg(F.min(F.struct("order", "node", "proof")).alias("x"), F.count("*").alias("n"))
     before = lambda c, *by: F.lag(c).over(Window.partitionBy(*by).orderBy("order"))
     chained = mine.withColumns({"b": before("node", "t", "fp", "salt"), "q": before("proof", "t", "fp", "salt")}).select(F.col("node").alias("a"), "b", F.col("proof").alias("p"), "q")
     parts = first.select("t", "fp", "x.*")
     chained = chained.unionByName(parts.withColumns({"b": before("node", "t", "fp"), "q": before("proof", "t", "fp")}).select(F.col("node").alias("a"), "b", F.col("proof").alias("p"), "q"))
-    lead = stored(parts.groupBy("t", "fp").agg(F.min(F.struct("order", "node", "proof")).alias("x")).select("t", "fp", "x.node", "x.proof"), "first-of-fingerprints")
 
     def meet(t: pa.Table) -> pa.Table:
         node, suffix = t.column("node").to_numpy(), width - t.column("done")[0].as_py()
@@ -393,23 +396,66 @@ def prefix(h: np.ndarray, known: np.ndarray, often: np.ndarray, similarity: floa
     return h[np.lexsort((h, n))[:len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]]
 
 
-def missed_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+def parity(h: np.ndarray) -> bytes:
+    """Of how many hashes of a set fall on each bit, whether it is odd; bits are a power of two, one for each hash at least."""
+    bits = max(64, 1 << int(np.ceil(np.log2(max(1, 1.5 * len(h))))))
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """How many elements two sets of these parities differ in at least: every bit that differs takes one. The longer is folded to the shorter."""
+    x, y = (np.frombuffer(v, np.uint64) for v in sorted((a, b), key=len))
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def close_enough(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Rows of ``pairs(a, b, ca, cb)`` but those whose parities in ``sets(doc_id, size, parity)`` rule out the Jaccard ``similarity``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 5000):
+            most = (b.column(4).to_numpy() + b.column(5).to_numpy()) * ((1 - similarity) / (1 + similarity)) + 1e-6
+            apart = np.fromiter(map(least_apart, b.column(6).to_pylist(), b.column(7).to_pylist()), np.int64, b.num_rows)
+            yield pa.RecordBatch.from_arrays(b.columns[:4], ["a", "b", "ca", "cb"]).filter(pa.array(apart <= most))
+
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("size").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ca", "cb", "na", "nb", "pa", "pb")
+    return both.mapInArrow(run, "a long, b long, ca long, cb long").distinct()
+
+
+def missed_pairs(sets: DataFrame, similarity: float, entries: int) -> DataFrame:
     """Pairs (a, b, ca, cb) of ``sets(node, component, size, prefix)`` in different components that may have the Jaccard ``similarity``: no other pair can.
 
     Such sets share a shingle of both prefixes, their sizes are alike, and what follows the first shared shingle is long enough for the overlap.
+    The prefixes have about ``entries`` shingles; they travel once, packed, to groups that keep the shingles of several components.
     """
+    parts = max(1, -(-entries // PART_ENTRIES))
+    kinds = {"s": np.int64, "node": np.int64, "component": np.int64, "size": np.int32, "at": np.int32}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2000):
+        for b in slices(batches, 5000):
             found = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
-            n = [len(x) for x in found]
-            own = pa.array(np.repeat(np.arange(b.num_rows), n))
-            at = np.concatenate([np.zeros(0, np.int32), *(np.arange(k, dtype=np.int32) for k in n)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), *(b.column(i).take(own) for i in range(3)), pa.array(at)], ["s", "node", "component", "size", "at"])
-
-    rows = stored(sets.select("node", "component", "size", "prefix").mapInArrow(run, "s long, node long, component long, size int, at int"), "prefixes")
-    shared = rows.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
-    kept = stored(rows.join(shared, "s", "left_semi"), "shared-prefixes")
-    drop_stored(rows)
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            own = np.repeat(np.arange(len(n)), n)
+            s = np.concatenate([np.zeros(0, np.int64), *found])
+            part = (s.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            of, edge = np.unique(part[order], return_index=True)
+            cols = [s[order], *(b.column(i).to_numpy()[own][order] for i in range(3)), (np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n))[order]]
+            packed = [pa.array([x.astype(k).tobytes() for x in np.split(c, edge[1:])] if len(of) else [], pa.binary()) for c, k in zip(cols, kinds.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(of), *packed], ["part", *kinds])
+
+    def several(t: pa.Table) -> pa.Table:
+        cols = [np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in kinds.items()]
+        order = np.argsort(cols[0], kind="stable")
+        s, component = cols[0][order], cols[2][order]
+        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        mixed = np.minimum.reduceat(component, first) < np.maximum.reduceat(component, first)
+        kept = order[np.repeat(mixed, np.diff(np.append(first, len(s))))]
+        return pa.table({c: x[kept] for c, x in zip(kinds, cols)})
+
+    packed = sets.select("node", "component", "size", "prefix").mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in kinds))
+    kept = stored(packed.groupBy("part").applyInArrow(several, "s long, node long, component long, size int, at int"), "shared-prefixes")
     side = lambda x: kept.select("s", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "size", "at")])
     rest = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
     both = side("a").join(side("b"), "s").where(
@@ -424,7 +470,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, tables: int = 28, width: i
     One 64-bit fingerprint within 4 bits finds only pairs that are almost equal. Pairs that any of several shorter
     fingerprints brings together are candidates: 28 of 32 bits within 2 find, by the binomial law of differing bits, over
     99.9 % of pairs of similarity 0.9, 99.8 % at 0.85 and 97 % at 0.8. Each candidate is then verified by its texts' shingles.
-    What fingerprints, chains and forests leave out is found exactly: pairs of different groups that share a shingle of their ``prefix`` are verified, too.
+    What fingerprints, chains and forests leave out is found exactly: pairs of different groups that share a shingle of their ``prefix`` are verified, too,
+    but those whose ``parity`` tells that they differ in too much.
     """
     words = -(-64 // width)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -436,7 +483,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, tables: int = 28, width: i
             sets = [shingle_set(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
             made = [signature_of(h, tables + words, width).tobytes() for h in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary()), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int32()),
-                                              pa.array([prefix(h, known, often, similarity).tobytes() for h in sets], pa.binary())], ["doc_id", "sign", "digest", "size", "prefix"])
+                                              pa.array([prefix(h, known, often, similarity).tobytes() for h in sets], pa.binary()), pa.array(map(parity, sets), pa.binary())], ["doc_id", "sign", "digest", "size", "prefix", "parity"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 5000):
@@ -447,7 +494,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, tables: int = 28, width: i
             for t in range(tables):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(made), t, np.int32)), pa.array(made[:, t]), pa.array(proof)], ["node", "t", "fp", "proof"])
 
-    signed = stored(rows.mapInArrow(run, "doc_id long, sign binary, digest binary, size int, prefix binary"), "signatures")
+    signed = stored(rows.mapInArrow(run, "doc_id long, sign binary, digest binary, size int, prefix binary, parity binary"), "signatures")
     # Rows of one whole signature are one node, named by the least doc_id.
     whole = stored(signed.groupBy("sign").agg(F.min("doc_id").alias("node")), "signature-nodes")
     nodes = stored(whole.select("node", "sign").mapInArrow(unpack, "node long, t int, fp long, proof long"), "signature-words")
@@ -458,7 +505,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, tables: int = 28, width: i
     grouped = stored(signed.join(named, "sign").select("doc_id", "component", "digest", "size"), "first-groups")
     # Each set once in each group: equal sets share all links.
     sets = grouped.groupBy("digest", "component").agg(F.min("doc_id").alias("doc_id")).join(signed.select("doc_id", "digest", "size", "prefix"), ["doc_id", "digest"])
-    missed = stored(missed_pairs(sets.withColumnRenamed("doc_id", "node"), similarity), "missed-pairs")
+    entries = signed.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
+    missed = stored(close_enough(missed_pairs(sets.withColumnRenamed("doc_id", "node"), similarity, entries), signed, similarity), "missed-pairs")
     if missed.isEmpty():
         return grouped.select("doc_id", F.col("component").alias("component_id"))
     more = verified(missed.select("a", "b"), rows, shingle, similarity)

@@ -243,3 +243,59 @@ def test_prefixes_of_similar_sets_meet():
             often = rng.integers(3, 9, len(known))
             if len(b) and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
                 assert len(np.intersect1d(simhash.prefix(a, known, often, 0.8), simhash.prefix(b, known, often, 0.8)))
+
+
+def test_parities_never_rule_out_similar_sets():
+    rng = np.random.default_rng(61)
+    ruled_out = 0
+    for n in (0, 1, 5, 43, 44, 200, 700, 5000):
+        for share in (0, 0.5, 0.8, 0.95, 1):
+            pool = np.unique(rng.integers(0, 1 << 63, 2 * n + 1).astype(np.uint64))
+            a, b = pool[:n], pool[n - int(n * share):2 * n - int(n * share) + int(rng.integers(0, n // 10 + 1))]
+            apart = len(np.setxor1d(a, b))
+            assert simhash.least_apart(simhash.parity(a), simhash.parity(b)) <= apart
+            ruled_out += simhash.least_apart(simhash.parity(a), simhash.parity(b)) > (len(a) + len(b)) / 9 and n >= 43 and share < 0.8
+    assert ruled_out == 10
+
+
+def test_strangers_that_share_a_passage_are_not_verified(spark, monkeypatch):
+    """Texts with a passage in common meet in their prefixes; only similar ones have their sets of shingles read."""
+    rng = np.random.default_rng(71)
+    passage = [f"p{i}" for i in range(40)]
+    docs = [" ".join([*passage, *(f"w{int(x)}" for x in rng.integers(0, 100_000, 160))]) for _ in range(200)]
+    docs += planted(30, 30, 230, 25)
+    seen, verified = [], simhash.verified
+
+    def counted(pairs, *more):
+        seen.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    got = groups_of(spark, docs)
+    assert all((got[200 + i + 1] == 200 + i) == (jaccard(docs[200 + i], docs[200 + i + 1]) >= 0.8) for i in range(0, 60, 2))
+    assert all(got[i] == i for i in range(200)) and sum(seen) < 60
+
+
+def test_missed_pairs_equal_brute_force_in_any_number_of_parts(spark, monkeypatch):
+    rng = np.random.default_rng(81)
+    rows = [(i, i // 2, 10, rng.choice(60, 3, replace=False).astype(np.int64)) for i in range(80)]
+    want = {(a, b) for a, ca, _, x in rows for b, cb, _, y in rows if a < b and ca != cb and any(u == v and 10 - max(i, j) >= 20 * 0.8 / 1.8 - 1e-6 for i, u in enumerate(x) for j, v in enumerate(y))}
+    sets = spark.createDataFrame([(a, c, n, bytearray(x.tobytes())) for a, c, n, x in rows], "node long, component long, size int, prefix binary")
+    for part in (1 << 20, 40):
+        monkeypatch.setattr(simhash, "PART_ENTRIES", part)
+        assert {(r.a, r.b) for r in simhash.missed_pairs(sets, 0.8, 240).collect()} == want and want
+    assert simhash.missed_pairs(sets.where("false"), 0.8, 0).count() == 0
+
+
+def test_groups_grow_with_their_own_table_only(spark):
+    """Fingerprints of many tables are flipped as often as those of one: groups are of one table."""
+    rng = np.random.default_rng(91)
+    fps = rng.integers(0, 1 << 31, 3000)
+    nodes = spark.createDataFrame([(i, t, int(f) ^ t) for t in range(28) for i, f in enumerate(fps)], "node long, t int, fp long")
+    one = simhash.groups(nodes.where("t = 0"), 2, 32).count()
+    assert one == 5 * 3000 and simhash.prefix_bits(60_606 * 8, 2, 32) > 2
+    simhash_limit, simhash.GROUP_VARIANTS = simhash.GROUP_VARIANTS, 3000
+    try:
+        assert simhash.groups(nodes, 2, 32).count() == 28 * simhash.groups(nodes.where("t = 0"), 2, 32).count()
+    finally:
+        simhash.GROUP_VARIANTS = simhash_limit
