@@ -11,7 +11,7 @@ Spark, except that words which occur once in all texts need no count; a second s
 **Model.** An id's embedding ``h`` and the mean ``u`` of the embeddings before it, weighted by one head of masked
 self-attention with learned distances, give the logits of a class of ids and of an id within its class (runs of ids in order of
 frequency, cut so that an id needs the fewest logits on average). Probabilities of ids sum to 1; ids that the training text lacks share
-one place. It is trained in numpy by Adagrad on the whole training text, whose rows are dealt over rounds and tasks by hash: tasks of
+one place. It is trained in numpy by Adagrad, in steps that grow with the pass, on the whole training text, whose rows are dealt over rounds and tasks by hash: tasks of
 about ``TASK_IDS`` ids in all rounds each train from the same parameters, what they learnt is averaged by Spark, and ``ROUNDS`` such rounds
 follow; less than ``FLOOR`` ids are read several times. The driver holds one set of parameters, bounded by the vocabulary.
 
@@ -48,13 +48,15 @@ HOT_SHARE, SHORT = 4_000_000, 4
 NO_ID = 0xFFFF  #: fills the names of words shorter than SHORT ids
 KEPT = 2_000_000  #: distinct words that a counting task holds before it adds up
 DIM, WINDOW, CONTEXT = 24, 32, 8
-SHARE, FLOOR, TASK_IDS = 1.0, 3_000_000, 4_000_000
-ROUNDS, BATCH, RATE, EPOCHS = 4, 64, 0.2, 5
+SHARE, FLOOR, TASK_IDS = 1.0, 3_000_000, 16_000_000
+ROUNDS, RATE, EPOCHS = 4, 0.2, 5
+BATCH, STEPS = (64, 512), 240  #: windows of a step: as many as leave so many steps in a pass, within these bounds
 FAN = 256  #: parameter sets that one task adds up at most
 BLOCK_ROWS = 4096
-WINDOWS_AT_ONCE = 256  #: what these take fits a core's own cache
+WINDOWS_AT_ONCE = 1024  #: enough that the calls for each class cost little beside their arithmetic
 
 _encoders: dict = {}
+_rooms: dict = {}
 
 
 def encoder(path: str):
@@ -289,6 +291,7 @@ class Attention:
         self.n_cls = len(self.lo) - 1
         own = np.repeat(np.arange(self.n_cls), np.diff(self.lo))
         self.cls = own.astype(np.int32)
+        self.several = np.flatnonzero(np.diff(self.lo) > 1).tolist()
         of_class = np.bincount(own, weights=mass)
         rng = np.random.default_rng(seed)
         g = lambda s, *d: (rng.standard_normal(d) * s).astype(np.float32)
@@ -303,16 +306,22 @@ class Attention:
 
     def attend(self, x: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Embeddings of windows ``x`` of rows, attention of the places from ``first`` on, and their means."""
-        h = self.w["embed"][x]
-        a = (h[:, first:] @ self.w["match"]) @ h.transpose(0, 2, 1)
+        h = self.w["embed"].take(x, 0)
+        u = np.empty((len(x), WINDOW - first, DIM), h.dtype)
+        return h, self.attention(h, turned(h), h[:, first:] @ self.w["match"], first, u), u
+
+    def attention(self, h: np.ndarray, h_turned: np.ndarray, asks: np.ndarray, first: int, u: np.ndarray) -> np.ndarray:
+        """Attention of the places from ``first`` on that ask for ``asks``; their means go to ``u``."""
+        a = np.matmul(asks, h_turned, out=room("a", (len(h), WINDOW - first, WINDOW), h.dtype))
         a += self.w["distance"][self.back][first:]
         if far(a):
             a -= np.where(self.sees[first:] > 0, a, -np.inf).max(-1, keepdims=True)
             np.minimum(a, 0, out=a)
         np.exp(a, out=a)
         a *= self.sees[first:]
-        a /= a.sum(-1, keepdims=True)
-        return h, a, a @ h
+        a /= (a @ np.ones(WINDOW, a.dtype))[..., None]
+        np.matmul(a, h, out=u)
+        return a
 
     def by_class(self, c: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first row, end row, places) of each class with several rows that ``c`` names."""
@@ -324,42 +333,74 @@ class Attention:
 
     def step(self, x: np.ndarray, y: np.ndarray, ok: np.ndarray, rate: float) -> None:
         """One step of Adagrad on windows ``x`` of rows, the rows ``y`` that follow and which places count."""
-        w, at = self.w, np.flatnonzero(ok.ravel())
-        h, a, u = self.attend(x, 0)
-        mix, y = np.concatenate([u, h], -1).reshape(-1, 2 * DIM)[at], y.ravel()[at]
-        c = self.cls[y]
-        d = softmax_less_own(mix @ w["class"].T + w["class_bias"], c)
-        g = {"class": d.T @ mix, "class_bias": d.sum(0)}
-        d_mix, inner = d @ w["class"], []
-        for lo, hi, i in self.by_class(c):
-            d = softmax_less_own(mix[i] @ w["inside"][lo:hi].T + w["inside_bias"][lo:hi], y[i] - lo)
-            d_mix[i] += d @ w["inside"][lo:hi]
-            inner.append((slice(lo, hi), d.T @ mix[i], d.sum(0)))
-        every = np.zeros((x.size, 2 * DIM), np.float32)
-        every[at] = d_mix
-        every = every.reshape(*x.shape, 2 * DIM)
-        d_u, d_h = every[..., :DIM], every[..., DIM:].copy()
-        d_h += a.transpose(0, 2, 1) @ d_u
-        d_a = d_u @ h.transpose(0, 2, 1)
-        d_a = a * (d_a - (d_a * a).sum(-1, keepdims=True))
+        w, at, n, kind = self.w, np.flatnonzero(ok), x.size, self.w["embed"].dtype
+        h = w["embed"].take(x, 0, out=room("h", (*x.shape, DIM), kind), mode="clip")
+        flat, h_turned = h.reshape(n, DIM), turned(h)
+        # What is multiplied by attention and its gradient: the gradient of means, and what places ask for.
+        right = room("right", (len(x), 2 * WINDOW, DIM), kind)
+        asks = right[:, WINDOW:]
+        asks[:] = (flat @ w["match"]).reshape(h.shape)
+        mixes = room("mixes", (n, 2 * DIM), kind)
+        u = mixes[:, :DIM]
+        a = self.attention(h, h_turned, asks, 0, u.reshape(h.shape))
+        mixes[:, DIM:] = flat
+        # Places in order of their classes, so that each class is one slice.
+        y = y.ravel()[at]
+        c = self.cls[y].astype(np.uint16)
+        order = np.argsort(c, kind="stable")
+        at, y, c = at[order], y[order], c[order]
+        mix = mixes.take(at, 0, out=room("mix", (len(at), 2 * DIM), kind), mode="clip")
+        # A row of zeros at the end stands for places that do not count.
+        d_mix = room("d_mix", (len(at) + 1, 2 * DIM), kind)
+        d_mix[-1] = 0
+        g = {"inside": np.zeros_like(w["inside"]), "inside_bias": np.zeros_like(w["inside_bias"])}
+        d = self.less_own(mix, "class", slice(None), c)
+        g["class"], g["class_bias"] = d.T @ mix, np.ones(len(d), kind) @ d
+        np.matmul(d, w["class"], out=d_mix[:-1])
+        edge = np.searchsorted(c, np.arange(self.n_cls + 1)).tolist()
+        for k in self.several:
+            if edge[k] < edge[k + 1]:
+                i, own = slice(edge[k], edge[k + 1]), slice(self.lo[k], self.lo[k + 1])
+                d = self.less_own(mix[i], "inside", own, y[i] - self.lo[k])
+                d_mix[i] += d @ w["inside"][own]
+                np.matmul(d.T, mix[i], out=g["inside"][own])
+                np.matmul(np.ones(len(d), kind), d, out=g["inside_bias"][own])
+        place = np.full(n, len(at))
+        place[at] = np.arange(len(at))
+        every = d_mix.take(place, 0, out=room("every", (n, 2 * DIM), kind), mode="clip")
+        d_u, d_h = every[:, :DIM], every[:, DIM:]
+        right[:, :WINDOW] = d_u.reshape(h.shape)
+        left = room("left", (len(x), 2 * WINDOW, WINDOW), kind)
+        left[:, :WINDOW], d_a = a, left[:, WINDOW:]
+        np.matmul(right[:, :WINDOW], h_turned, out=d_a)
+        d_a -= np.einsum("ij,ij->i", d_u, u).reshape(*x.shape, 1)
+        d_a *= a
         g["distance"] = np.bincount(self.back.ravel(), weights=(d_a.sum(0) * self.sees).ravel(), minlength=WINDOW).astype(np.float32)
-        matched = d_a @ h
-        g["match"] = np.tensordot(h, matched, ((0, 1), (0, 1)))
-        d_h += matched @ w["match"].T + d_a.transpose(0, 2, 1) @ (h @ w["match"])
-        rows, back = np.unique(x.ravel(), return_inverse=True)
-        order = np.argsort(back, kind="stable")
-        g_rows = np.add.reduceat(d_h.reshape(-1, DIM)[order], np.searchsorted(back[order], np.arange(len(rows))), axis=0)
+        matched = np.matmul(d_a, h, out=room("matched", h.shape, kind)).reshape(n, DIM)
+        g["match"] = flat.T @ matched
+        moved = np.matmul(left.transpose(0, 2, 1), right, out=room("moved", h.shape, kind)).reshape(n, DIM)
+        moved += d_h
+        moved += np.matmul(matched, w["match"].T, out=room("asked", (n, DIM), kind))
+        order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
+        rows = x.ravel()[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
         for name, grad in g.items():
             self._move(name, slice(None), grad, rate)
-        self._move("embed", rows, g_rows, rate)
-        for i, grad, bias in inner:
-            self._move("inside", i, grad, rate)
-            self._move("inside_bias", i, bias, rate)
+        self._move("embed", rows[first], np.add.reduceat(moved.take(order, 0, out=room("sorted", (n, DIM), kind), mode="clip"), first, axis=0), rate)
+
+    def less_own(self, mix: np.ndarray, level: str, rows: slice, own: np.ndarray) -> np.ndarray:
+        """The gradient of the loss by the logits of ``rows`` of a level of the softmax."""
+        z = np.matmul(mix, self.w[level][rows].T, out=room(level, (len(mix), len(self.w[level][rows])), mix.dtype))
+        z += self.w[level + "_bias"][rows]
+        return softmax_less_own(z, own)
 
     def _move(self, name: str, i, grad: np.ndarray, rate: float) -> None:
         s = self.s[name][i] + grad * grad
         self.s[name][i] = s
-        self.w[name][i] -= np.float32(rate) * grad / np.sqrt(s)
+        np.sqrt(s, out=s)
+        np.divide(grad, s, out=s)
+        s *= np.float32(rate)
+        self.w[name][i] -= s
 
     def rows_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What stands before each id of a text and its end, and their own rows."""
@@ -377,8 +418,9 @@ class Attention:
             oks.append(np.arange(len(y) + short) < len(y))
         x, y, ok = (np.concatenate(v).reshape(-1, WINDOW) for v in (xs, ys, oks))
         order = np.random.default_rng(seed).permutation(len(x))
-        for i in range(0, len(x), BATCH):
-            j = order[i:i + BATCH]
+        batch = int(np.clip(len(x) // STEPS, *BATCH))
+        for i in range(0, len(x), batch):
+            j = order[i:i + batch]
             self.step(x[j], y[j], ok[j], rates[0] + (rates[1] - rates[0]) * i / len(x))
 
 
@@ -405,31 +447,32 @@ class Scorer:
 
     def log_p(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Log probabilities of the rows ``y`` at the places after CONTEXT of windows ``x``, window after window."""
-        m = self.model
-        h = self.embed[x]
-        a = (h[:, CONTEXT:] @ self.match) @ h.transpose(0, 2, 1)
+        m, n = self.model, y.size
+        h = self.embed.take(x, 0, out=room("h", (*x.shape, DIM + 1), np.float32), mode="clip")
+        a = np.matmul(h[:, CONTEXT:] @ self.match, turned(h), out=room("a", (len(x), WINDOW - CONTEXT, WINDOW), np.float32))
         if not self.calm_match and far(a):
             a -= np.where(self.pull > 0, a, -np.inf).max(-1, keepdims=True)
             np.minimum(a, 0, out=a)
         np.exp(a, out=a)
         a *= self.pull
-        u = (a @ h).reshape(-1, DIM + 1)
-        u /= u[:, DIM:].copy()
+        mixes = room("mixes", (len(x), WINDOW - CONTEXT, 2 * DIM + 1), np.float32)
+        u = np.matmul(a, h, out=mixes[..., :DIM + 1])
+        u /= u[..., DIM:].copy()
+        mixes[..., DIM + 1:] = h[:, CONTEXT:, :DIM]
         # Once in order of classes, so that each class is one slice.
         c = self.cls[y]
         order = np.argsort(c, kind="stable")
         c, y = c[order], y[order]
         edge = np.searchsorted(c, np.arange(m.n_cls + 1))
-        mix = np.empty((len(y), 2 * DIM + 1), np.float32)
-        mix[:, :DIM + 1] = u[order]
-        mix[:, DIM + 1:] = m.w["embed"][x[:, CONTEXT:].ravel()[order]]
-        out = own_log_p(mix @ self.of_class, c, self.calm)
+        mix = mixes.reshape(n, -1).take(order, 0, out=room("mix", (n, 2 * DIM + 1), np.float32), mode="clip")
+        out = own_log_p(np.matmul(mix, self.of_class, out=room("class", (n, m.n_cls), np.float32)), c, self.calm)
         y = y - m.lo[c]  # places in their classes
         edge = edge.tolist()
         for k, inside in enumerate(self.inside):
             lo, hi = edge[k], edge[k + 1]
             if inside is not None and lo < hi:
-                out[lo:hi] += own_log_p(mix[lo:hi] @ inside, y[lo:hi], self.calm)
+                z = np.matmul(mix[lo:hi], inside, out=room("inside", (hi - lo, inside.shape[1]), np.float32))
+                out[lo:hi] += own_log_p(z, y[lo:hi], self.calm)
         back = np.empty_like(out)
         back[order] = out
         return back
@@ -459,6 +502,21 @@ class Scorer:
         return out
 
 
+def room(name: str, shape: tuple, kind: np.dtype) -> np.ndarray:
+    """Memory for an array of a step: what the name had before, as fresh pages would cost as much as the arithmetic."""
+    n, had = int(np.prod(shape)), _rooms.get((name, kind))
+    if had is None or len(had) < n:
+        had = _rooms[name, kind] = np.empty(n, kind)
+    return had[:n].reshape(shape)
+
+
+def turned(h: np.ndarray) -> np.ndarray:
+    """Each matrix transposed, laid out as products read it fastest."""
+    out = room("turned", (len(h), h.shape[2], h.shape[1]), h.dtype)
+    out[:] = h.transpose(0, 2, 1)
+    return out
+
+
 def far(z: np.ndarray) -> bool:
     """Whether exponentials of single precision need a shift."""
     return bool(z.size) and (z.max() > 60 or z.min() < -60)
@@ -475,9 +533,10 @@ def own_log_p(z: np.ndarray, own: np.ndarray, calm: bool = False) -> np.ndarray:
 
 def softmax_less_own(z: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Softmax of each row less 1 at ``own``: the gradient of its loss; ``z`` is used up."""
-    z -= z.max(1, keepdims=True)
+    if far(z):
+        z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     z[np.arange(len(z)), own] -= 1
     return z
 

@@ -222,6 +222,34 @@ def test_gradients_are_those_of_the_loss():
             assert math.isclose((up - down) / (2 * e), full[at], rel_tol=1e-3, abs_tol=1e-4), (name, at)
 
 
+def test_long_passes_take_large_steps(monkeypatch):
+    """A pass over many windows takes few steps, a short one small steps; each window is in one."""
+    model, rng = small_model(5)
+    for windows, most in ((300, 5), (512 * 240, 250)):
+        seen = []
+        monkeypatch.setattr(model, "step", lambda x, y, ok, rate: seen.append((len(x), int(ok.sum()))))
+        model.fit([rng.integers(0, 60, windows * lmscore.WINDOW - 1).astype(np.uint16)], (0.2, 0.1), 1)
+        assert sum(n for n, _ in seen) == windows and sum(n for _, n in seen) == windows * lmscore.WINDOW
+        assert len(seen) <= most and max(n for n, _ in seen) <= 512
+
+
+def test_steps_and_scores_do_not_depend_on_memory_used_before():
+    def trained(sizes):
+        model, rng = small_model(6, 40)
+        for n in sizes:
+            x, y, ok = rng.integers(0, model.start + 1, (n, lmscore.WINDOW)), rng.integers(0, model.start, (n, lmscore.WINDOW)), rng.random((n, lmscore.WINDOW)) < 0.8
+            model.step(x, y, ok, 0.1)
+        return model, lmscore.Scorer(model).score([np.arange(k, dtype=np.uint16) % 40 for k in (0, 3, 200)])
+
+    lmscore._rooms.clear()
+    model, scores = trained((2, 3, 2))
+    trained((9,))
+    for had in lmscore._rooms.values():
+        had[:] = np.nan
+    again, same = trained((2, 3, 2))
+    assert all(np.array_equal(model.w[k], again.w[k]) for k in model.w) and np.array_equal(scores, same) and np.isfinite(scores).all()
+
+
 def test_training_in_parts_beats_unigrams(spark):
     """Averaged tasks and rounds learn an order that frequencies cannot show."""
     rng = np.random.default_rng(1)
